@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("topk", "quality")
+MODULES = ("topk", "quality", "tokenbin", "packing")
 
 
 def queries():

@@ -28,15 +28,16 @@ def knapsack(value: np.ndarray, size: np.ndarray, room: int, most: np.ndarray |
     items = [i for i in range(len(size)) if value[i] > 1e-12 and (most is None or most[i] > 0)]
     if most is None:
         best, pick = np.zeros(room + 1), np.full(room + 1, -1)
-        sizes, values = size[items], value[items]
+        order = np.array(items, int)[np.argsort(size[items], kind="stable")]
+        sizes, values = size[order], value[order]
+        ends = np.searchsorted(sizes, np.arange(room + 1), side="right")
         for r in range(1, room + 1):
             best[r] = best[r - 1]
-            ok = np.flatnonzero(sizes <= r)
-            if len(ok):
-                c = best[r - sizes[ok]] + values[ok]
-                j = int(np.argmax(c))
+            if ends[r]:
+                c = best[r - sizes[:ends[r]]] + values[:ends[r]]
+                j = int(c.argmax())
                 if c[j] > best[r] + 1e-12:
-                    best[r], pick[r] = c[j], items[ok[j]]
+                    best[r], pick[r] = c[j], order[j]
         count, r = np.zeros(len(size), int), room
         while r > 0:
             if pick[r] < 0:
@@ -66,7 +67,7 @@ def knapsack(value: np.ndarray, size: np.ndarray, room: int, most: np.ndarray |
     return float(best[room]), count
 
 
-def patterns(demand: np.ndarray, size: np.ndarray, room: int, rounds: int = 400) -> list[tuple[np.ndarray, int]]:
+def patterns(demand: np.ndarray, size: np.ndarray, room: int, rounds: int = 3000) -> list[tuple[np.ndarray, int]]:
     """Patterns and how often each is cut, covering exactly the demand."""
     use = np.flatnonzero(demand > 0)
     if not len(use):
@@ -127,15 +128,16 @@ def pack(found: DataFrame, room: int = ROOM, grain: int = GRAIN) -> DataFrame:
     An empty table gives no rows.
     """
     spark = found.sparkSession
-    top = -(-room // grain)
+    if room % grain:
+        raise ValueError("grain must divide room")
+    top = room // grain
     named = found.withColumn("bin_", F.ceil(F.col("length") / grain).cast("int"))
     named = cut(named, "pieces")
     n = named.count()
     salts = max(1, -(-n // SALT_ROWS))
     named = named.withColumn("salt_", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int"))
     hist = {r["bin_"]: r["n"] for r in named.groupBy("bin_").agg(F.count("*").alias("n")).collect()}  # at most top rows
-    size = np.minimum(np.arange(1, top + 1) * grain, room)
-    plan = patterns(np.array([hist.get(b, 0) for b in range(1, top + 1)]), size, room)
+    plan = patterns(np.array([hist.get(b, 0) for b in range(1, top + 1)]), np.arange(1, top + 1), top)  # in grains
     # Slots of each bin in rank order: from, pieces a sequence, first sequence, slot there.
     slots: dict[int, list[tuple[int, int, int, int]]] = {}
     first, filled = 0, {}

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("topk", "quality", "tokenbin", "packing")
+MODULES = ("topk", "quality", "licenses", "tokenbin", "packing")
 
 
 def queries():

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("topk", "quality", "licenses", "tokenbin", "packing")
+MODULES = ("topk", "quality", "secrets", "licenses", "decontaminate", "tokenbin", "packing")
 
 
 def queries():

@@ -22,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import components, cut, drop_cut, table
 
@@ -85,7 +85,7 @@ def _sets(n: int):
     return run
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _confirm(a: pd.Series, b: pd.Series, percent: pd.Series) -> pd.Series:
     return pd.Series([similar(x, y, p) for x, y, p in zip(a, b, percent)])
 

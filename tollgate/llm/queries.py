@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("topk", "quality", "secrets", "licenses", "decontaminate", "neardup", "tokenbin", "packing")
+MODULES = ("topk", "quality", "secrets", "licenses", "decontaminate", "neardup", "tokenbin", "pii", "packing")
 
 
 def queries():

@@ -222,6 +222,8 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", length: in
     twice = wide.groupBy("w").agg(F.count("*").alias("n")).where("n > 1")
     wide = wide.join(twice, "w", "left_semi").select("id", "h", F.col("p").alias("lo"), (F.col("p") + length).alias("hi"))
     spans = cut(whole.unionByName(near).unionByName(wide), "spans")
+    for done in (found, kinds, todo, cutout):
+        drop_cut(done)
     # A text's spans, runs of them merged before they meet the text.
     w = Window.partitionBy("id", "h").orderBy("lo", "hi")
     ends = spans.withColumn("before", F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)))

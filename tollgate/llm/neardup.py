@@ -74,17 +74,48 @@ def similar(a: bytes, b: bytes, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _sets(n: int):
+def _signatures(n: int):
     def run(frames):
         for f in frames:
             rows = []
             for k, t in zip(f["key"], f["text"]):
                 s = shingles(t, n)
-                rows.append((k, len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, signature(s).tolist() if len(s) else None, s.tobytes()))
-            yield pd.DataFrame(rows, columns=["key", "n", "digest", "sig", "shingles"]).astype({"key": "Int64"})
+                rows.append((k, len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, signature(s).tolist() if len(s) else None))
+            yield pd.DataFrame(rows, columns=["key", "n", "digest", "sig"]).astype({"key": "Int64"})
     return run
 
 
+#: Bits of the filter below: 1 MB, whatever the input. A full filter only passes more rows.
+BITS = 1 << 23
+
+
+def _candidate_sets(base: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """key, shingles of the rows whose key is in a pair (and of few others): a second pass over the texts.
+
+    A bitmap of the keys' hashes, of a fixed size, keeps the rest out before anything is shuffled.
+    """
+    h = F.pmod(F.xxhash64("key"), F.lit(BITS)) + 1
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("key")).select(h.alias("h"))
+    got = ids.groupBy(F.bitmap_bucket_number("h").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+    have = {int(r["at"]): np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little") for r in got.collect()}  # BITS bits at most
+    size = 8 * 4096
+    mask = np.zeros(BITS + size, np.uint8)
+    for at, bits in have.items():
+        # Buckets are numbered from 1 and hold the positions after (at - 1) * size, the last being at * size.
+        lo = (at - 1) * size
+        mask[lo:lo + size] |= bits
+    packed = base.sparkSession.sparkContext.broadcast(np.packbits(mask))
+
+    def run(frames):
+        bits = np.unpackbits(packed.value)
+        for f in frames:
+            f = f[bits[f["at"].to_numpy()] == 1]
+            yield pd.DataFrame([(k, shingles(t, n).tobytes()) for k, t in zip(f["key"], f["text"])], columns=["key", "shingles"]).astype({"key": "int64"})
+
+    place = (F.bitmap_bucket_number(h) - 1) * size + F.bitmap_bit_position(h)
+    return cut(base.where("key is not null").select("key", "text", place.alias("at")).mapInPandas(run, "key long, shingles binary"), "candidates")
+
+
 @F.pandas_udf(T.BooleanType())
 def _confirm(a: pd.Series, b: pd.Series, percent: pd.Series) -> pd.Series:
     return pd.Series([similar(x, y, p) for x, y, p in zip(a, b, percent)])
@@ -99,16 +130,12 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(match: int):
-    """Pairs of different components within a block of a posting, or between two."""
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.drop_duplicates("key")
-        sig, comp, key, blk = np.stack(f["sig"].to_numpy()), f["comp"].to_numpy(), f["key"].to_numpy(), f["block"].to_numpy()
-        pre = np.stack(f["prefix"].to_numpy())  # whether each coordinate is in the class's prefix
-        i1, i2, c = int(f["b1"].iloc[0]), int(f["b2"].iloc[0]), int(f["coord"].iloc[0])
-        out = []
-        for i in range(len(f)):
-            if blk[i] != i1:
-                continue
+    """Pairs of different components within a block of a posting, or between two. Rows come sorted by
+    posting and blocks; a posting's rows that a batch cuts off wait for the next batch."""
+    names = ["coord", "value", "b1", "b2"]
+
+    def pairs(key, comp, blk, sig, pre, c, i1, i2):
+        for i in np.flatnonzero(blk == i1):
             js = np.flatnonzero((blk == i2) & (comp != comp[i]) & ((key > key[i]) if i1 == i2 else True))
             if not len(js):
                 continue
@@ -116,8 +143,34 @@ def _across(match: int):
             # The first coordinate that both post and agree on speaks for the pair.
             first = (eq & pre[js] & pre[i]).argmax(axis=1)
             for j in js[(eq.sum(axis=1) >= match) & (first == c)]:
-                out.append((min(key[i], key[j]), max(key[i], key[j])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                yield min(key[i], key[j]), max(key[i], key[j])
+
+    def work(f, last: bool):
+        """Pairs of f's whole postings, and the rows that may go on."""
+        ids = f[names].to_numpy()
+        edge = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]).any(axis=1), True]) if len(f) else np.array([0])
+        if not last:
+            edge = edge[:-1]
+        rest = f.iloc[edge[-1]:]
+        if len(edge) < 2:
+            return [], rest
+        sig, pre = np.stack(f["sig"].to_numpy()), np.stack(f["prefix"].to_numpy())
+        key, comp, blk = f["key"].to_numpy(), f["comp"].to_numpy(), f["block"].to_numpy()
+        out = []
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            if hi - lo > 1 and (comp[lo:hi] != comp[lo]).any():
+                c, _, i1, i2 = ids[lo]
+                out.extend(pairs(key[lo:hi], comp[lo:hi], blk[lo:hi], sig[lo:hi], pre[lo:hi], c, i1, i2))
+        return out, rest
+
+    def run(frames):
+        kept = None
+        for f in frames:
+            f = f if kept is None or not len(kept) else pd.concat([kept, f], ignore_index=True)
+            out, kept = work(f, False)
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        if kept is not None and len(kept):
+            yield pd.DataFrame(work(kept, True)[0], columns=["a", "b"], dtype="int64")
     return run
 
 
@@ -130,7 +183,7 @@ def groups(docs: DataFrame, id_col="doc_id", text_col="text", n: int = 5, percen
     null id is kept, with itself (null) as component.
     """
     base = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
-    all_sets = cut(base.mapInPandas(_sets(n), "key long, n long, digest binary, sig array<long>, shingles binary"), "sets")
+    all_sets = cut(base.mapInPandas(_signatures(n), "key long, n long, digest binary, sig array<long>"), "signatures")
     classes = cut(all_sets.where("digest is not null and key is not null").groupBy("digest").agg(F.min("key").alias("rep"), F.first("sig").alias("sig")), "classes")
     # Two different sets under one id keep separate classes by digest; the id ties them together below.
     posts = classes.select(F.col("rep").alias("key"), "digest", F.posexplode("sig").alias("coord", "value"))
@@ -144,7 +197,6 @@ def groups(docs: DataFrame, id_col="doc_id", text_col="text", n: int = 5, percen
     per = per.withColumn("prefix", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: F.exists("p", lambda x: x["coord"] == c)))
     per = cut(per.select("key", "sig", "prefix", "p"), "posts")
     posting = per.select("key", "sig", "prefix", F.explode("p").alias("x")).select("key", "sig", "prefix", "x.coord", "x.value")
-    sets = all_sets.where("digest is not null and key is not null").join(classes.select("digest", F.col("rep").alias("key")), ["digest", "key"], "left_semi").select("key", "shingles")
     # 1. Stars.
     star = posting.groupBy("coord", "value").agg(F.min(F.struct("key", "sig")).alias("s"), F.count("*").alias("m")).where("m > 1")
     same = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda a, v: a + v)
@@ -152,7 +204,7 @@ def groups(docs: DataFrame, id_col="doc_id", text_col="text", n: int = 5, percen
     pairs = cut(pairs.select(F.col("s.key").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
     # Rows that repeat an id with different sets belong together from the start.
     tied = all_sets.where("digest is not null and key is not null").join(classes.select("digest", "rep"), "digest").where("key != rep").select(F.col("rep").alias("a"), F.col("key").alias("b")).distinct()
-    first = cut(_links(pairs, sets, percent), "links")
+    first = cut(_links(pairs, _candidate_sets(base, pairs, n), percent), "links")
     comp = components(first.unionByName(tied))
     # 2. What is left between components.
     known = posting.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
@@ -160,8 +212,12 @@ def groups(docs: DataFrame, id_col="doc_id", text_col="text", n: int = 5, percen
     todo = known.join(mixed.select("coord", "value", "m"), ["coord", "value"])
     todo = todo.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     todo = todo.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("b1", F.least("block", "other")).withColumn("b2", F.greatest("block", "other"))
-    more = todo.groupBy("coord", "value", "b1", "b2").applyInPandas(_across(match), "a long, b long").distinct()
-    second = _links(more.join(pairs, ["a", "b"], "left_anti"), sets, percent)
+    # Dealt by posting and blocks; sorted rows stream through, so no posting costs a call of its own.
+    by = ["coord", "value", "b1", "b2"]
+    todo = todo.select(*by, "block", "key", "comp", "sig", "prefix").repartition(*by).sortWithinPartitions(*by)
+    more = todo.mapInPandas(_across(match), "a long, b long").distinct()
+    more = cut(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    second = cut(_links(more, _candidate_sets(base, more, n), percent), "links")
     comp = cut(components(first.unionByName(second).unionByName(tied)), "components")
     got = all_sets.select("key", "n").join(comp, F.col("key") == F.col("node"), "left")
     return got.select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"),

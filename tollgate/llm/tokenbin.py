@@ -26,7 +26,9 @@ from .tokens import batches, encoder
 
 #: Documents that the dictionary is trained on at most, ids of one that count, and its size.
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 1000, 4096, 64 << 10
-LEVEL, BLOCK_BYTES, SHARD_DOCS = 3, 4 << 20, 20_000
+LEVEL, BLOCK_BYTES, SHARD_DOCS = 3, 1 << 20, 20_000
+#: Parquet row groups, which writers and readers hold whole.
+ROW_GROUP = 8 << 20
 BLOCKS = "shard int, block int, dict_hash string, data binary, ids array<long>, offsets array<long>, lengths array<long>, n_tokens array<long>"
 
 
@@ -104,7 +106,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None,
             yield flush()
 
     laid = frames.repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "frame")
-    laid.mapInPandas(pack, BLOCKS).write.parquet(f"{path}/blocks")
+    laid.mapInPandas(pack, BLOCKS).write.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/blocks")
 
 
 class _Frames:
@@ -138,8 +140,8 @@ def read(spark, path: str, finish=None, schema="shard int, doc_id long, n_tokens
             for r in f.itertuples():
                 if r.dict_hash != digest:
                     raise ValueError(f"block {r.shard}/{r.block} needs dictionary {r.dict_hash}")
-                got = [(r.shard, i, n, d.decompress(r.data[o:o + k])) for i, o, k, n in zip(r.ids, r.offsets, r.lengths, r.n_tokens)]
-                out = pd.DataFrame([(s, None if i is None or i != i else int(i), n, x if finish is None else finish(x)) for s, i, n, x in got], columns=names)
+                got = ((i, n, d.decompress(r.data[o:o + k])) for i, o, k, n in zip(r.ids, r.offsets, r.lengths, r.n_tokens))
+                out = pd.DataFrame([(r.shard, None if i is None or i != i else int(i), n, x if finish is None else finish(x)) for i, n, x in got], columns=names)
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out
 

@@ -9,12 +9,18 @@ keeps a bounded memo of chunks' ids; a chunk that it lacks goes through the libr
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
 import numpy as np
 
 #: Chunks a worker's memo holds at most, and the longest chunk that it keeps.
-MEMO, LONGEST = 600_000, 64
+MEMO, LONGEST = 400_000, 64
+# The printable characters that byte-level tokenizers write for the 256 bytes.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+#: Words of ASCII and Latin-1 letters: already composed, lowered one to one.
+_WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!]?)").fullmatch
 _encoders: dict = {}
 
 
@@ -25,14 +31,20 @@ class Encoder:
 
         self.tokenizer, self.memo, self.whole_text = Tokenizer.from_file(path), {"": b""}, whole_text
         self.model = self.tokenizer.model
-        self.marks = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in ".,!"}
-        # The short way for ASCII words needs a tokenizer that lowers them and maps them to themselves.
-        probe = ["Abcde", "zebra", "In.", "QUARTZ!"]
+        self.marks = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in ".,!"} | {"": b""}
+        # The short way for such words needs a tokenizer that lowers them and merges their bytes.
+        probe = ["Abcde", "zebra", "In.", "QUARTZ!", "\u00c9cole", "gr\u00fc\u00dfe,"]
         self.short_way = all(self._short(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe)
 
     def _short(self, w: str) -> list[int]:
-        core, mark = (w, b"") if w.isalpha() else (w[:-1], self.marks[w[-1]])
-        return [x.id for x in self.model.tokenize(core.lower())] + np.frombuffer(mark, "<u4").tolist()
+        core, mark = _WORD(w).groups()
+        return np.frombuffer(self._core(core.lower()) + self.marks[mark], "<u4").tolist()
+
+    def _core(self, w: str) -> bytes:
+        """Ids of a lowered word of Latin-1 letters, by merges alone."""
+        if not w.isascii():
+            w = "".join(map(_BYTES.__getitem__, w.encode()))
+        return array("I", [x.id for x in self.model.tokenize(w)]).tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, without special tokens of its own."""
@@ -45,15 +57,13 @@ class Encoder:
             memo.clear()
             memo[""] = b""
             new = set().union(*parts)
-        plain, rest = self.model.tokenize, []
+        rest = []
         for w in new:
-            # Letters A-Z are lowered and then only merged; a final mark is a piece of its own.
-            if self.short_way and w.isascii() and (w[:-1] or w).isalpha() and (w[-1] in ".,!" or w.isalpha()):
-                core = (w if w.isalpha() else w[:-1]).lower()
+            if self.short_way and (m := _WORD(w)):
+                core = m[1].lower()
                 if (got := memo.get(core)) is None:
-                    got = array("I", [x.id for x in plain(core)]).tobytes()
-                    memo[core] = got
-                memo[w] = got if w[-1] not in ".,!" else got + self.marks[w[-1]]
+                    memo[core] = got = self._core(core)
+                memo[w] = got + self.marks[m[2]]
             elif w:
                 rest.append(w)
         for lo in range(0, len(rest), 4096):

@@ -5,6 +5,8 @@ import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
+# Threaded OpenBLAS can block for good in a process that has forked (a JVM, Spark's workers).
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
 

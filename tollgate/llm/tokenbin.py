@@ -41,15 +41,16 @@ def with_ids(docs: DataFrame, tokenizer: str, end_id: int | None, id_col="doc_id
     def run(frames):
         enc = encoder(tokenizer)
         for f in frames:
-            texts, keys = f["text"].fillna("").tolist(), f["key"].tolist()
+            texts, keys = f["text"].fillna("").tolist(), [None if no else k for k, no in zip(f["key"].tolist(), f["none"])]
             for lo, hi in batches(texts):
-                rows = [r for k, x in zip(keys[lo:hi], enc.ids(texts[lo:hi])) for r in finish(None if k is None or k != k else int(k), x + tail)]
+                rows = [r for k, x in zip(keys[lo:hi], enc.ids(texts[lo:hi])) for r in finish(k, x + tail)]
                 out = pd.DataFrame(rows, columns=names)
                 if "doc_id" in out:
                     out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out
 
-    return docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    key = F.col(id_col).cast("long")
+    return docs.select(F.coalesce(key, F.lit(0)).alias("key"), key.isNull().alias("none"), F.col(text_col).alias("text")).mapInPandas(run, schema)
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id, id_col="doc_id", text_col="text") -> bytes:
@@ -137,15 +138,19 @@ def read(spark, path: str, finish=None, schema="shard int, doc_id long, n_tokens
     def run(frames):
         d = zstandard.ZstdDecompressor(dict_data=_dict(data)) if data else zstandard.ZstdDecompressor()
         for f in frames:
-            for r in f.itertuples():
-                if r.dict_hash != digest:
-                    raise ValueError(f"block {r.shard}/{r.block} needs dictionary {r.dict_hash}")
-                got = ((i, n, d.decompress(r.data[o:o + k])) for i, o, k, n in zip(r.ids, r.offsets, r.lengths, r.n_tokens))
-                out = pd.DataFrame([(r.shard, None if i is None or i != i else int(i), n, x if finish is None else finish(x)) for i, n, x in got], columns=names)
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
-
-    return spark.read.schema(BLOCKS).parquet(f"{path}/blocks").mapInPandas(run, schema)
+            if (f["dict_hash"] != digest).any():
+                raise ValueError(f"a block needs dictionary {f['dict_hash'][f['dict_hash'] != digest].iloc[0]}")
+            got = map(d.decompress, f["frame"])
+            out = pd.DataFrame(zip(f["shard"], f["i"], f["n"], got if finish is None else map(finish, got)), columns=names)
+            out["doc_id"] = out["doc_id"].astype("Int64").mask(f["none"])  # nulls apart: a column with them would come as floats
+            yield out
+
+    # Frames are cut out before they leave the JVM, so a batch for Python holds frames, never many whole blocks.
+    frames = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").select(
+        "shard", "dict_hash", "data", F.explode(F.arrays_zip("ids", "offsets", "lengths", "n_tokens")).alias("x")).select(
+        "shard", "dict_hash", F.coalesce("x.ids", F.lit(0)).alias("i"), F.col("x.ids").isNull().alias("none"), F.col("x.n_tokens").alias("n"),
+        F.expr("substring(data, cast(x.offsets + 1 as int), cast(x.lengths as int))").alias("frame"))
+    return frames.mapInPandas(run, schema)
 
 
 def lookup(spark, path: str, doc_id: int) -> list[bytes]:

@@ -14,8 +14,8 @@ from array import array
 
 import numpy as np
 
-#: Chunks a worker's memo holds at most, and the longest chunk that it keeps.
-MEMO, LONGEST = 400_000, 64
+#: Chunks that each of the two generations of a worker's memo holds at most, and the longest chunk that it keeps.
+MEMO, LONGEST = 250_000, 64
 # The printable characters that byte-level tokenizers write for the 256 bytes.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
@@ -29,12 +29,22 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo, self.whole_text = Tokenizer.from_file(path), {"": b""}, whole_text
+        self.tokenizer, self.memo, self.old, self.whole_text = Tokenizer.from_file(path), {"": b""}, {}, whole_text
         self.model = self.tokenizer.model
         self.marks = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in ".,!"} | {"": b""}
         # The short way for such words needs a tokenizer that lowers them and merges their bytes.
         probe = ["Abcde", "zebra", "In.", "QUARTZ!", "\u00c9cole", "gr\u00fc\u00dfe,"]
         self.short_way = all(self._short(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe)
+        self.special = [x.content.lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def _lowered(self, t: str) -> str:
+        """t in lower case where the tokenizer would lower it letter by letter anyway, so that its chunks are fewer."""
+        try:
+            t.encode("latin-1")
+        except UnicodeEncodeError:
+            return t
+        low = t.lower()
+        return t if any(x in low for x in self.special) else low
 
     def _short(self, w: str) -> list[int]:
         core, mark = _WORD(w).groups()
@@ -50,20 +60,26 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of each text, without special tokens of its own."""
         if self.whole_text:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if self.short_way:
+            texts = map(self._lowered, texts)
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        memo = self.memo
-        new = set().union(*parts) - memo.keys()
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            memo[""] = b""
-            new = set().union(*parts)
-        rest = []
-        for w in new:
-            if self.short_way and (m := _WORD(w)):
-                core = m[1].lower()
+        chunks = set().union(*parts)
+        if len(self.memo) + len(chunks) > MEMO:  # chunks not seen since the last turn go
+            self.memo, self.old = {"": b""}, self.memo
+        memo, old, core_of = self.memo, self.old, self._core
+        rest, long = [], []
+        for w in chunks.difference(memo):
+            if (got := old.get(w)) is not None:
+                memo[w] = got
+            elif self.short_way and (m := _WORD(w)):
+                core, mark = m.groups()
+                core = core.lower()
                 if (got := memo.get(core)) is None:
-                    memo[core] = got = self._core(core)
-                memo[w] = got + self.marks[m[2]]
+                    memo[core] = got = old.get(core) or core_of(core)
+                if mark or core != w:
+                    memo[w] = got + self.marks[mark]
+                if len(w) > LONGEST:
+                    long += w, core
             elif w:
                 rest.append(w)
         for lo in range(0, len(rest), 4096):
@@ -71,9 +87,8 @@ class Encoder:
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                 memo[w] = np.array(e.ids, "<u4").tobytes()
         out = [b"".join(map(memo.__getitem__, p)) for p in parts]
-        for w in new:
-            if len(w) > LONGEST:
-                memo.pop(w, None)
+        for w in (*long, *(w for w in rest if len(w) > LONGEST)):
+            memo.pop(w, None)
         return out
 
 

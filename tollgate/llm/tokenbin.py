@@ -26,9 +26,11 @@ from .tokens import batches, encoder
 
 #: Documents that the dictionary is trained on at most, ids of one that count, and its size.
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 1000, 4096, 64 << 10
-LEVEL, BLOCK_BYTES, SHARD_DOCS = 3, 1 << 20, 20_000
-#: Parquet row groups, which writers and readers hold whole.
-ROW_GROUP = 8 << 20
+LEVEL, BLOCK_BYTES, SHARD_DOCS = 3, 1 << 18, 20_000
+#: Parquet row groups, which writers and readers hold whole. Sizes are looked at after every row, not every
+#: hundred, as a row is a block; frames are compressed already.
+PARQUET = {"parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 8,
+           "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 8, "compression": "none"}
 BLOCKS = "shard int, block int, dict_hash string, data binary, ids array<long>, offsets array<long>, lengths array<long>, n_tokens array<long>"
 
 
@@ -107,7 +109,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None,
             yield flush()
 
     laid = frames.repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "frame")
-    laid.mapInPandas(pack, BLOCKS).write.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/blocks")
+    laid.mapInPandas(pack, BLOCKS).write.options(**PARQUET).parquet(f"{path}/blocks")
 
 
 class _Frames:

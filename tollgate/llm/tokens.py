@@ -19,11 +19,26 @@ MEMO, LONGEST = 250_000, 64
 # The printable characters that byte-level tokenizers write for the 256 bytes.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
-#: Words of ASCII and Latin-1 letters: already composed, lowered one to one.
-_WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!]?)").fullmatch
+#: Words of ASCII and Latin-1 letters (already composed, lowered one to one), with up to four marks behind them.
+_WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([-!\"#$%&()*+,./:;=?@^_~]{0,4})").fullmatch
 _encoders: dict = {}
 
 
+class _Marks(dict):
+    """Ids of runs of marks, each encoded once while there are at most 20,000."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self[""] = b""
+
+    def __missing__(self, run):
+        if len(self) > 20_000:
+            self.clear()
+            self[""] = b""
+        self[run] = out = np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
+        return out
+
+
 class Encoder:
     def __init__(self, path: str, whole_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -31,9 +46,9 @@ class Encoder:
 
         self.tokenizer, self.memo, self.old, self.whole_text = Tokenizer.from_file(path), {"": b""}, {}, whole_text
         self.model = self.tokenizer.model
-        self.marks = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in ".,!"} | {"": b""}
+        self.marks = _Marks(self.tokenizer)
         # The short way for such words needs a tokenizer that lowers them and merges their bytes.
-        probe = ["Abcde", "zebra", "In.", "QUARTZ!", "\u00c9cole", "gr\u00fc\u00dfe,"]
+        probe = ["Abcde", "zebra", "In.", "QUARTZ!", "\u00c9cole", "gr\u00fc\u00dfe,", "end.###", "a-=&"]
         self.short_way = all(self._short(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe)
         self.special = [x.content.lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
 

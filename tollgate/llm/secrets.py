@@ -2,7 +2,7 @@
 
 Three families of parts are found in one pass: access identifiers (access keys, client and
 user ids), secrets (assigned values, hex runs) and endpoints (URLs, host names with a
-port). Weak candidates (long mixed runs of letters and digits, identifiers, endpoints)
+port). Weak candidates (long mixed runs of letters and digits, of any length, identifiers, endpoints)
 mean little alone: they are reported only where a complementary part lies within `scope`
 code points. That is an interval join of parts on (row, block of scope code points), the
 one side posted to its neighbours' blocks; it is a semi-join, so nothing multiplies.
@@ -25,7 +25,7 @@ BASE = ("assign", "access", "hex")
 # The method's own kinds and the family of every kind.
 CLIENT = r"(?i:client_?id|user_?name|account_?id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{4,}"
 ENDPOINT = r"(?i:https?|jdbc|postgres|mysql|mongodb|redis|amqp)://[^\s\"'<>]{4,}"
-WEAK = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,60}[0-9])(?=[0-9a-z+/_-]{0,60}[A-Z])(?=[0-9A-Z+/_-]{0,60}[a-z])[A-Za-z0-9+/_-]{32,60}(?![A-Za-z0-9+/_-])"
+WEAK = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9a-z+/_-]*+[A-Z])(?=[0-9A-Z+/_-]*+[a-z])[A-Za-z0-9+/_-]{32,}+"  # whole runs of 32 or more
 FAMILY = {"assign": "secret", "access": "id", "hex": "secret", "client": "id", "endpoint": "endpoint", "weak": "secret"}
 KINDS = tuple(FAMILY)
 SCOPE = 200

@@ -92,6 +92,16 @@ def test_secrets_long_keys(spark, n):
     assert got == {1: [(1, 0, 20), (5, 21, 21 + n)], 2: [], 3: [(1, 0, 20)]}
 
 
+def test_secrets_long_parts(spark):
+    key = "Zz9" * 12
+    data = []
+    for i, (lead, n, gap) in enumerate((a, n, g) for a in (0, 1, 77, 199) for n in (20, 250, 399, 700) for g in (1, 151, 200, 201)):
+        url = ("https://" + "x" * n)[:n]
+        data += [(2 * i, "." * lead + url + "<" * gap + key), (2 * i + 1, "." * lead + key + "<" * gap + url)]
+    got = {x.doc_id: [s.kind for s in x["all"]] for x in secrets.scan(spark.createDataFrame(data, DOCS)).collect()}
+    assert got == {i: [] if "<" * 201 in t else [4, 5] if i % 2 == 0 else [5, 4] for i, t in data}
+
+
 def test_licenses(spark, edge):
     data = [(1, "GNU General  Public-License x mit license, CC BY-NC cc by"), (2, "Apache\nLicense. apache licenses"), (3, "émit license"), (4, "Released under the MIT thing"), (5, None)]
     got = {x.doc_id: (x.n_words, x.n_base, x.first_word, x.last_word, x.base_labels, x.labels) for x in licenses.scan(spark.createDataFrame(data, DOCS)).collect()}

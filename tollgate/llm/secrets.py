@@ -5,7 +5,8 @@ user ids), secrets (assigned values, hex runs) and endpoints (URLs, host names w
 port). Weak candidates (long mixed runs of letters and digits, of any length, identifiers, endpoints)
 mean little alone: they are reported only where a complementary part lies within `scope`
 code points. That is an interval join of parts on (row, block of scope code points), the
-one side posted to its neighbours' blocks; it is a semi-join, so nothing multiplies.
+one side posted to all its blocks, the other to its own and their neighbours; it is a
+semi-join made distinct by span, so nothing multiplies.
 
 Native throughout: DataFrame functions only. The scan's small result is cut to the shared
 folder once; texts are read once and never shuffled.
@@ -84,11 +85,12 @@ def scan(docs: DataFrame, id_col="doc_id", text_col="text", scope: int = SCOPE)
     family = F.array(*[F.lit(FAMILY[k]) for k in KINDS])
     part = lambda c: d.where(F.size("own") > 0).select("row", F.explode(c).alias("s")).select("row", "s.*", F.element_at(family, F.col("s.kind") + 1).alias("family"))
     block = lambda c: F.floor(c / scope)
-    weak = part(F.col("own")).withColumn("block", block(F.col("start")))
+    weak = part(F.col("own")).withColumn("block", F.explode(F.sequence(block(F.col("start")), block(F.col("end")))))
     other = part(F.concat("base", "own")).select(F.col("row").alias("row2"), F.col("start").alias("start2"), F.col("end").alias("end2"), F.col("family").alias("family2"))
-    other = other.withColumn("block2", F.explode(F.sequence(block(F.col("start2")) - 2, block(F.col("end2")) + 1)))
+    other = other.withColumn("block2", F.explode(F.sequence(block(F.col("start2")) - 1, block(F.col("end2")) + 1)))
     linked = weak.join(other, (F.col("row") == F.col("row2")) & (F.col("block") == F.col("block2")) & (F.col("family") != F.col("family2"))
                        & (F.col("start2") - F.col("end") <= scope) & (F.col("start") - F.col("end2") <= scope), "left_semi")
+    linked = linked.select("row", "kind", "start", "end").distinct()
     linked = linked.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("linked"))  # one text's spans
     got = d.join(linked, "row", "left")
     return got.select("doc_id", "base", by_start(F.concat("base", F.coalesce("linked", F.array().cast(SPANS)))).alias("all"))

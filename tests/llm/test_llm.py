@@ -61,6 +61,19 @@ def test_quality(spark, edge):
     assert quality.score(empty(spark), none).count() == 0
 
 
+def test_quality_sees_whole_words(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SLICE", 256, raising=False)
+    scalar = np.random.default_rng(0).normal(0, 5, quality.BUCKETS)
+    data = [(i, head * n + tail) for i, (head, n, tail) in enumerate((h, n, t) for h in ("ab", "文字") for n in (33, 200, 3000) for t in ("cd ", "ef"))]
+    hashed = quality.xxhash.xxh32_intdigest
+    for x in quality.score(spark.createDataFrame(data, DOCS), (scalar, 0.0)).collect():
+        w = data[x.doc_id][1].strip()
+        f = [hashed(w)] + [hashed(f"<{w}>"[i:i + n], seed=n) for n in (3, 4) for i in range(len(w) + 3 - n)]
+        assert abs(x.quality_score - 1 / (1 + np.exp(-np.mean(scalar[np.array(f) % quality.BUCKETS])))) < 1e-9
+        ids, share = quality.bag(w)
+        assert set(ids) == {i % quality.BUCKETS for i in f} and abs(share.sum() - 1) < 1e-9
+
+
 BASE = [("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6),
         ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20), ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 24)]
 

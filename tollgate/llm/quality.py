@@ -23,17 +23,20 @@ BUCKETS, DIM, NGRAMS, EPOCHS, RATE, SEED = 1 << 17, 8, (3, 4), 6, 0.4, 13
 #: Labelled rows that training takes at most, and the features of one row at most kept in memory at once.
 TRAIN_ROWS = 4000
 MEMO = 400_000
+#: Words of more characters stay out of the memo; n-grams of a word are hashed in slices of so many.
+LONG, SLICE = 200, 1 << 16
 #: A word bigram of one word twice is hashed to one bucket, whatever the word, and counts as so many features.
 TWICE, TWICE_WEIGHT = xxhash.xxh32_intdigest("<twice>") % BUCKETS, 4
 
 
-def features(word: str) -> list[int]:
-    """Buckets of a word and of the 3- and 4-grams of it between bounds."""
-    out = [xxhash.xxh32_intdigest(word) % BUCKETS]
+def slices(word: str) -> Iterator[list[int]]:
+    """Buckets of a word and of all 3- and 4-grams of it between bounds, in lists of at most SLICE."""
+    yield [xxhash.xxh32_intdigest(word) % BUCKETS]
     s = f"<{word}>"
     for n in NGRAMS:
-        out += [xxhash.xxh32_intdigest(s[i:i + n], seed=n) % BUCKETS for i in range(min(len(s) - n + 1, 64))]
-    return out
+        end = len(s) - n + 1
+        for a in range(0, end, SLICE):
+            yield [xxhash.xxh32_intdigest(s[i:i + n], seed=n) % BUCKETS for i in range(a, min(a + SLICE, end))]
 
 
 def twice(words: list[str]) -> int:
@@ -46,15 +49,16 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     seen = (text or "").split()
     for w in seen:
         words[w] = words.get(w, 0) + 1
-    ids = [(f, n) for w, n in words.items() for f in features(w)]
+    held: dict[int, int] = {}
+    for w, n in words.items():
+        for part in slices(w):
+            for f in part:
+                held[f] = held.get(f, 0) + n
     if n := twice(seen):
-        ids.append((TWICE, n))
-    if not ids:
-        return np.empty(0, np.int64), np.empty(0)
-    a = np.array(ids)
-    u, inv = np.unique(a[:, 0], return_inverse=True)
-    c = np.bincount(inv, weights=a[:, 1])
-    return u, c / c.sum()
+        held[TWICE] = held.get(TWICE, 0) + n
+    u = np.array(sorted(held), np.int64)
+    c = np.array([held[f] for f in u.tolist()], float)
+    return u, c / c.sum() if len(c) else c
 
 
 def sgd(docs: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, float]:
@@ -107,7 +111,11 @@ class _Memo(dict):
         self.scalar = scalar
 
     def __missing__(self, word):
-        f = features(word)
+        if len(word) > LONG:
+            return sum(complex(float(self.scalar[f].sum()), len(f)) for f in slices(word))
+        f = []
+        for part in slices(word):
+            f += part
         if len(self) >= MEMO:
             self.clear()
         self[word] = out = complex(float(self.scalar[f].sum()), len(f))

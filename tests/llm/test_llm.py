@@ -122,6 +122,17 @@ def test_licenses(spark, edge):
     assert licenses.scan(edge).count() == len(EDGE) and licenses.scan(empty(spark)).count() == 0
 
 
+def test_licenses_wrapped(spark):
+    mit = """Permission is hereby granted, free of charge, to any person
+# obtaining a copy of this software and associated
+# documentation files (the "Software"), to deal"""
+    bsd = "x\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:\n"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\n\tLicense, v. 2.0. If a copy"
+    apart = mit.replace("\n", "\n" + "filler words here " * 30 + "\n")
+    got = {x.doc_id: (x.labels, x.score) for x in licenses.scan(spark.createDataFrame([(1, mit), (2, bsd), (3, mpl), (4, "All\nrights\nreserved"), (5, apart), (6, "\n".join(mpl.split()))], DOCS)).collect()}
+    assert got == {1: ("notice:mit-grant", 1.0), 2: ("notice:bsd", 1.0), 3: ("notice:mpl-2.0", 1.0), 4: ("notice:reserved", 1.0), 5: ("", 0.0), 6: ("notice:mpl-2.0", 1.0)}
+
+
 def test_decontaminate(spark, edge):
     r = random.Random(1)
     for _ in range(200):

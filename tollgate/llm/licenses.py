@@ -1,6 +1,7 @@
 """License scan: phrases, and an exact set-similarity join of text blocks with templates.
 
-A block is a line. A template is matched by a block that holds at least `threshold` of its
+A block is a line, or a window of words that crosses line ends, as long as the template's
+text over the threshold (so hard-wrapped notices are compared whole). A template is matched by a block that holds at least `threshold` of its
 distinct words. Words are ordered by how many documents hold them, counted over all
 documents, rare first. A block must hold one of the first |T| - need + 1 words of a
 template in that order (prefix filter), have at least `need` distinct words (length filter),
@@ -43,6 +44,11 @@ TEMPLATES = {
 THRESHOLD = 0.8
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _template_words() -> dict[str, list[str]]:
     import re
 
@@ -62,7 +68,7 @@ def word_order(docs: DataFrame, text_col="text") -> list[str]:
 
 
 def block_scores(low: Column, order: list[str], threshold: float = THRESHOLD) -> Column:
-    """Array of (label, containment) of the lines' matches, for a lowered text."""
+    """Array of (label, containment) of the matches of lines and windows, for a lowered text."""
     rank = {w: i for i, w in enumerate(order)}
     plans = {}
     for label, ws in _template_words().items():
@@ -86,14 +92,33 @@ def block_scores(low: Column, order: list[str], threshold: float = THRESHOLD) ->
             out.append(F.when(fits, F.struct(F.lit(label).alias("label"), (F.size(both) / F.lit(float(len(ws)))).alias("containment"))))
         return F.when(F.size(words) >= least, F.filter(F.array(*out), lambda x: x.isNotNull())).otherwise(F.array().cast("array<struct<label:string,containment:double>>"))
 
-    return F.flatten(F.transform(lines, scores))
+    def windows(words: Column) -> Column:
+        """The best windows at prefix words; those within a line give no more than the line does."""
+        at = F.filter(F.transform(words, lambda w, i: F.when(w.isin(*prefix), i + 1)), lambda i: i.isNotNull())
+        return let(at, lambda at: F.flatten(F.array(*[near(words, at, label, *plan) for label, plan in plans.items()])))
+
+    def near(words: Column, at: Column, label: str, ws: list[str], need: int) -> Column:
+        t = F.array(*map(F.lit, ws))
+        size = math.ceil(len(TEMPLATES[label].split()) / threshold - 1e-9)
+        start = lambda i: F.greatest(i - size + 1, F.lit(1))
+        held = lambda a, n: F.size(F.array_intersect(t, F.slice(words, a, F.lit(n))))
+        at = F.filter(at, lambda i: F.element_at(words, i).isin(*ws[:len(ws) - need + 1]) & (held(start(i), 2 * size - 1) >= need))
+        best = F.transform(at, lambda i: F.array_max(F.transform(F.sequence(start(i), i), lambda a: held(a, size))))
+        return F.transform(F.filter(best, lambda n: n >= need), lambda n: F.struct(F.lit(label).alias("label"), (n / F.lit(float(len(ws)))).alias("containment")))
+
+    def both(lines: Column) -> Column:
+        wrapped = F.when((F.size(lines) > 0) & low.contains("\n"), let(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)), windows))
+        found = F.flatten(F.transform(lines, scores))
+        return F.concat(found, F.coalesce(wrapped, F.array().cast("array<struct<label:string,containment:double>>")))
+
+    return let(lines, both)
 
 
 def scan(docs: DataFrame, id_col="doc_id", text_col="text", threshold: float = THRESHOLD) -> DataFrame:
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Null and empty texts have no words and no labels (empty strings) and score 0. Words are
-    numbered from 0. score is the best containment of a template in a line, 1 where a base
+    numbered from 0. score is the best containment of a template in a block, 1 where a base
     phrase stands. Repeated rows give repeated rows; a null id is kept.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -242,6 +242,19 @@ def test_pii(spark, edge):
     assert pii.scrub(edge).count() == len(EDGE)
 
 
+def test_pii_whole_names_and_phone_formats(spark):
+    names = ["Mr. McDonald", "Mrs. O'Brien", "Mr. Jean-Pierre Dupont", "Mr. John F. Kennedy", "Mr. John F Kennedy", "Ms. Anna Maria Lopez Garcia", "Mr. J. R. R. Tolkien", "Mr. Ludwig van Beethoven", "Mrs. O’Neil", "Господин Иван Иванович Петров"]
+    phones = ["+1 865 555 5454", "+18655555454", "+1 (865) 555-5454", "+44 20 7946 0958", "+442079460958", "+1-865-555-5454"]
+    data = list(enumerate([f"x {n}, y" for n in names] + phones + ["saw Mr. McDonald's car. I saw"]))
+    got = [x.text for x in sorted(pii.scrub(spark.createDataFrame(data, DOCS)).collect(), key=lambda x: x.doc_id)]
+    for t in got[:len(names)]:
+        assert re.fullmatch(r"x (Mr\.|Mrs\.|Ms\.|Господин)( [A-ZА-Я][a-zа-я]+){1,2}, y", t), t
+    digits = [re.sub(r"\D", "", t) for t in got[len(names):-1]]
+    assert digits[0] == digits[1] == digits[2] == digits[5] and digits[3] == digits[4]
+    assert digits[0][0] == "1" and digits[3][:2] == "44" and digits[0] != "18655555454"
+    assert re.fullmatch(r"saw Mr\. [A-Z][a-z]+'s car\. I saw", got[-1]) and got[-1][8:].split("'")[0] in got[0]
+
+
 def test_pii_redraws_collisions(spark):
     data = [(i, f"id 12{i % 10}-{10 + i // 10}-1234 a@b{i}.co") for i in range(60)]
     got = [x.text for x in pii.scrub(spark.createDataFrame(data, DOCS)).collect()]

@@ -28,7 +28,15 @@ CARD = r"(?<![0-9-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9-])"
 PHONE = r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|(?<![0-9A-Za-z+])\+[0-9]{8,14}(?![0-9])"
 MALE = "Mr|Sir|Herr|Monsieur|Señor|Господин"
 FEMALE = "Mrs|Ms|Miss|Madam|Frau|Madame|Señora|Госпожа"
-PERSON = rf"(?<![\p{{L}}])(?:{FEMALE}|{MALE})\.?\x20\p{{Lu}}[\p{{Ll}}'-]+(?:\x20\p{{Lu}}[\p{{Ll}}'-]+)?"
+# A name's word may have inner capitals, apostrophes and hyphens (but no possessive 's); further words may be initials or follow particles.
+_LETTERS = r"[\p{L}\p{M}]"
+_INNER = rf"(?:['’-](?!s(?!{_LETTERS})){_LETTERS}++)"
+NAME = rf"\p{{Lu}}(?:{_LETTERS}++{_INNER}*+|{_INNER}++)"
+INITIAL = rf"\p{{Lu}}(?:\.|(?=\x20\p{{Lu}}(?:[.'’-]|{_LETTERS})))"
+PARTICLE = r"(?:(?:van|von|der|den|de|del|della|di|da|dos|du|la|le|ter|ten|zu|bin|al|el)\x20){0,3}"
+PERSON = rf"(?<![\p{{L}}])(?:{FEMALE}|{MALE})\.?\x20{PARTICLE}(?:{NAME}|{INITIAL})(?:\x20{PARTICLE}(?:{NAME}|{INITIAL}))*+"
+# Country codes of one and two digits; the others have three.
+COUNTRY = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 ALL = "|".join((EMAIL, IP, SSN, CARD, PHONE, PERSON))
 NAMES = {
     ("m", "latin"): ("Adam", "Bruno", "Carl", "David", "Erik", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leon", "Marc", "Nils", "Oscar", "Paul"),
@@ -55,7 +63,7 @@ def kind(c: Column) -> Column:
 def normal(c: Column) -> Column:
     """The form under which mentions are one entity."""
     digits = F.regexp_replace(c, "[^0-9]", "")
-    return F.when(c.contains("@"), F.lower(c)).when(c.rlike(r"\p{L}"), F.regexp_replace(c, r"\.", "")).when(kind(c) == "ip", c).otherwise(digits)
+    return F.when(c.contains("@"), F.lower(c)).when(c.rlike(r"\p{L}"), F.regexp_replace(c, r"\.", "")).when(kind(c) == "ip", c).when(c.startswith("+"), F.concat(F.lit("+"), digits)).otherwise(digits)
 
 
 def _byte(stream: Column, i) -> Column:
@@ -98,8 +106,8 @@ def _draw(c: Column, k: Column, n: Column, stream: Column) -> Column:
 
     email = F.concat(F.when(F.lower(c) == c, mapped(F.substring_index(c, "@", 1))).otherwise(mapped(F.lower(F.substring_index(c, "@", 1)))), F.lit("@"), F.substring_index(c, "@", -1))
     ip = F.concat_ws(".", *[(F.pmod(_byte(stream, i) * 256 + _byte(stream, i + 8), F.lit(254)) + 1).cast("string") for i in range(4)])
-    # The country code of a phone number stays; a card keeps its first digit and its check.
-    country = F.char_length(F.regexp_replace(F.regexp_extract(c, r"^(\+[0-9]{1,3})(?=[ .(-])", 1), "[^0-9]", ""))
+    # The country code of a phone number stays, however it is written; a card keeps its first digit and its check.
+    country = F.char_length(F.regexp_extract(n, COUNTRY, 1))
     check = lambda head: F.pmod(F.lit(10) - _luhn(F.concat(F.regexp_replace(head, "[^0-9]", ""), F.lit("0"))), F.lit(10)).cast("string")
     valid = lambda drawn: F.when(_luhn(n) == 0, let(F.regexp_replace(drawn, "[0-9]$", ""), lambda head: F.concat(head, check(head)))).otherwise(drawn)
     card = let(mapped(c, F.lit(1)), valid)

@@ -33,3 +33,9 @@ def test_matches_sql(spark, duck, name):
     assert len(got) == len(want)
     for a, b in zip(got, want):
         assert all(x == y or (isinstance(x, float) and isinstance(y, float) and abs(x - y) < 2e-6) for x, y in zip(a, b)), (a, b)
+
+
+def test_psi_has_all_features(spark):
+    from tollgate.operators import drift
+
+    assert {r.feature for r in catalog.queries()["psi_feature_all"](spark, SF).collect()} == set(drift.FEATURES)

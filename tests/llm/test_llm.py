@@ -152,8 +152,28 @@ def test_decontaminate(spark, edge):
     assert decontaminate.mark(edge, bench.limit(0)).count() == len(EDGE)
 
 
-def test_near_duplicates(spark, edge):
-    r = random.Random(2)
+def near_brute(data, n=2, percent=80):
+    """id -> (set size, least id reachable) by comparing all pairs; rows of one id belong together."""
+    sets = []
+    for i, t in data:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split()
+        sets.append((i, {tuple(w[j:j + n]) for j in range(max(len(w) - n + 1, 1))} if w else set()))
+    par = {i: i for i, _ in sets}
+
+    def find(x):
+        while par[x] != x:
+            x = par[x]
+        return x
+
+    for i, x in sets:
+        for j, y in sets:
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
+                a, b = find(i), find(j)
+                par[max(a, b)] = min(a, b)
+    return sorted((i, len(x), find(i), find(i) == i) for i, x in sets)
+
+
+def near_data(r):
     words = [f"w{i}" for i in range(400)]
     data = []
     for g in range(12):
@@ -163,24 +183,27 @@ def test_near_duplicates(spark, edge):
             for _ in range(r.randint(0, 4)):
                 w[r.randrange(60)] = r.choice(words)
             data.append((len(data), " ".join(w)))
-    sets = {i: set(zip(t.split(), t.split()[1:])) for i, t in data}
-    par = {i: i for i in sets}
-
-    def find(x):
-        while par[x] != x:
-            x = par[x]
-        return x
-
-    for i in sets:
-        for j in range(i):
-            both = len(sets[i] & sets[j])
-            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
-                a, b = find(i), find(j)
-                par[max(a, b)] = min(a, b)
-    got = {x.doc_id: (x.n_shingles, x.component_id) for x in neardup.groups(spark.createDataFrame(data, DOCS), n=2).collect()}
-    assert got == {i: (len(sets[i]), find(i)) for i in sets}
-    e = sorted(((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in neardup.groups(edge, n=2).collect()), key=str)
-    assert (1, 0, 1, True) in e and (7, 3, 6, False) in e and len(e) == len(EDGE) and (None, 2, None, True) in e
+    base = [r.choice(words) for _ in range(100)]
+    for _ in range(60):  # one group whose members are alike to some others only
+        w = base[:]
+        for j in r.sample(range(100), r.randint(2, 14)):
+            w[j] = r.choice(words)
+        data.append((len(data), " ".join(w)))
+    return data + [(1000, data[3][1]), (1000, data[40][1]), (1001, "X y"), (1002, "x Y"), (1003, "")]
+
+
+@pytest.mark.parametrize("block, shingles, stars", [(2000, 1 << 20, 2), (3, 200, 1), (5, 64, 0)])
+def test_near_duplicates(spark, edge, monkeypatch, block, shingles, stars):
+    for k, v in (("BLOCK", block), ("BLOCK_SHINGLES", shingles), ("STARS", stars)):
+        monkeypatch.setattr(neardup, k, v)
+    data = near_data(random.Random(2))
+    got = sorted((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in neardup.groups(spark.createDataFrame(data, DOCS), n=2).collect())
+    assert got == near_brute(data)
+    if stars == 2:
+        e = sorted(((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in neardup.groups(edge, n=2).collect()), key=str)
+        want = near_brute([(i, t) for i, t in EDGE if i is not None]) + [(None, 2, None, True)]
+        assert e == sorted(want, key=str)
+        assert neardup.groups(empty(spark)).count() == 0
 
 
 def test_token_files(spark, edge):
@@ -195,9 +218,36 @@ def test_token_files(spark, edge):
     whole = Encoder(path, True)
     end = np.array([2], "<u4").tobytes()
     assert got == sorted(((i, len(b) // 4 + 1, b + end) for i, b in zip([i for i, _ in EDGE], whole.ids([t or "" for _, t in EDGE]))), key=str)
+    assert tokenbin.read(spark, out).columns == ["shard", "block", "start", "doc_id", "n_tokens", "ids"]
     assert tokenbin.lookup(spark, out, 6) == [whole.ids([EDGE[7][1]])[0] + end]
 
 
+def test_token_files_shards_and_starts(spark, monkeypatch):
+    for k, v in (("SHARD_CHARS", 3000), ("BLOCK_BYTES", 300)):
+        monkeypatch.setattr(tokenbin, k, v)
+    r = random.Random(4)
+    data = [(i // 3 if i % 2 else i, " ".join(r.choice("ab cde fgh the".split()) * r.randint(1, 4) for _ in range(r.randint(0, 60)))) for i in range(300)] + [(7, None), (None, "x"), (None, "y z")]
+    monkeypatch.setattr(tokenbin, "table", lambda *a: spark.createDataFrame(data, DOCS))
+    got = tokenbin.op7_token_ids(spark, "").collect()
+    whole = Encoder(public_tokenizers.path("word_bpe_49k.json"), True)
+    ids = [(i, b + np.array([2], "<u4").tobytes()) for (i, _), b in zip(data, whole.ids([t or "" for _, t in data]))]
+    assert sorted(((x.doc_id, x.n_tokens, x.ids_crc32) for x in got), key=str) == sorted(((i, len(b) // 4, zlib.crc32(b)) for i, b in ids), key=str)
+    at = 0
+    for x in sorted(got, key=lambda x: x.start):  # starts leave no gap and follow the ids
+        assert x.start == at
+        at += x.n_tokens
+    keys = [x.doc_id for x in sorted(got, key=lambda x: x.start)]
+    assert keys == [None, None] + sorted(k for k in keys if k is not None)
+    path = f"{shared_dir(spark)}/ids-shards"
+    tokenbin.write(spark.createDataFrame(data, DOCS), path, public_tokenizers.path("word_bpe_49k.json"), 2)
+    assert tokenbin._blocks(spark, path).select("shard").distinct().count() > 3
+    for i in (0, 7, 299):
+        assert sorted(tokenbin.lookup(spark, path, i)) == sorted(b for k, b in ids if k == i)
+    assert tokenbin.lookup(spark, path, 10**6) == []
+    tokenbin.write(empty(spark), path + "-none", public_tokenizers.path("word_bpe_49k.json"), 2)
+    assert tokenbin.read(spark, path + "-none").count() == 0
+
+
 def test_suffix_array_and_dedup(spark, edge):
     r = random.Random(1)
     for _ in range(1500):

@@ -14,14 +14,15 @@ from array import array
 
 import numpy as np
 
-#: Chunks that each of the two generations of a worker's memo holds at most, and the longest chunk that it keeps.
-MEMO, LONGEST = 250_000, 64
+from .common import held
+
+#: Bytes that a worker's memo holds about, and the longest chunk that it keeps.
+MEMO_BYTES, LONGEST = 160 << 20, 64
 # The printable characters that byte-level tokenizers write for the 256 bytes.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 #: Words of ASCII and Latin-1 letters (already composed, lowered one to one), with up to four marks behind them.
 _WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([-!\"#$%&()*+,./:;=?@^_~]{0,4})").fullmatch
-_encoders: dict = {}
 
 
 class _Marks(dict):
@@ -44,7 +45,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo, self.old, self.whole_text = Tokenizer.from_file(path), {"": b""}, {}, whole_text
+        self.tokenizer, self.memo, self.whole_text = Tokenizer.from_file(path), _Memo(self.chunk), whole_text
         self.model = self.tokenizer.model
         self.marks = _Marks(self.tokenizer)
         # The short way for such words needs a tokenizer that lowers them and merges their bytes.
@@ -71,47 +72,48 @@ class Encoder:
             w = "".join(map(_BYTES.__getitem__, w.encode()))
         return array("I", [x.id for x in self.model.tokenize(w)]).tobytes()
 
+    def chunk(self, w: str) -> bytes:
+        """Ids of a chunk between spaces."""
+        if self.short_way and (m := _WORD(w)):
+            core, mark = m.groups()
+            if mark or not core.islower():
+                return self.memo[core.lower()] + self.marks[mark]
+            return self._core(core)
+        return np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, without special tokens of its own."""
         if self.whole_text:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        get = self.memo.__getitem__
         if self.short_way:
             texts = map(self._lowered, texts)
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        chunks = set().union(*parts)
-        if len(self.memo) + len(chunks) > MEMO:  # chunks not seen since the last turn go
-            self.memo, self.old = {"": b""}, self.memo
-        memo, old, core_of = self.memo, self.old, self._core
-        rest, long = [], []
-        for w in chunks.difference(memo):
-            if (got := old.get(w)) is not None:
-                memo[w] = got
-            elif self.short_way and (m := _WORD(w)):
-                core, mark = m.groups()
-                core = core.lower()
-                if (got := memo.get(core)) is None:
-                    memo[core] = got = old.get(core) or core_of(core)
-                if mark or core != w:
-                    memo[w] = got + self.marks[mark]
-                if len(w) > LONGEST:
-                    long += w, core
-            elif w:
-                rest.append(w)
-        for lo in range(0, len(rest), 4096):
-            some = rest[lo:lo + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                memo[w] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join(map(memo.__getitem__, p)) for p in parts]
-        for w in (*long, *(w for w in rest if len(w) > LONGEST)):
-            memo.pop(w, None)
-        return out
+        return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
+
+
+class _Memo(dict):
+    """Chunks' ids. Past half of MEMO_BYTES they become the old generation; what is met again moves on."""
+
+    def __init__(self, chunk):
+        self.chunk, self.old, self.size = chunk, {}, 0
+        self[""] = b""
+
+    def __missing__(self, w):
+        if (got := self.old.get(w)) is None:
+            got = self.chunk(w)
+        if len(w) <= LONGEST:
+            self.size += 2 * len(w) + len(got) + 150  # about what an entry takes
+            if self.size > MEMO_BYTES // 2:
+                self.old, self.size = self.copy(), 0
+                self.clear()
+                self[""] = b""
+            self[w] = got
+        return got
 
 
 def encoder(path: str, whole_text: bool = False) -> Encoder:
-    """One encoder per worker process and file."""
-    if (path, whole_text) not in _encoders:
-        _encoders[path, whole_text] = Encoder(path, whole_text)
-    return _encoders[path, whole_text]
+    """One encoder per worker process."""
+    return held(("encoder", path, whole_text), lambda: Encoder(path, whole_text))
 
 
 def batches(texts, size: int = 1 << 20):

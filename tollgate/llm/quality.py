@@ -8,25 +8,22 @@ worker, a bounded memo of each word's sum.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
-from operator import eq
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import table
+from .common import held, table
 
 #: Fixed parameters of the model.
-BUCKETS, DIM, NGRAMS, EPOCHS, RATE, SEED = 1 << 17, 8, (3, 4), 6, 0.4, 13
+BUCKETS, DIM, NGRAMS, EPOCHS, RATE, SEED = 1 << 17, 8, (3, 4), 6, 2.0, 13
 #: Labelled rows that training takes at most, and the features of one row at most kept in memory at once.
 TRAIN_ROWS = 4000
-MEMO = 400_000
+#: Bytes that a worker's memo of words holds about.
+MEMO_BYTES = 64 << 20
 #: Words of more characters stay out of the memo; n-grams of a word are hashed in slices of so many.
 LONG, SLICE = 200, 1 << 16
-#: A word bigram of one word twice is hashed to one bucket, whatever the word, and counts as so many features.
-TWICE, TWICE_WEIGHT = xxhash.xxh32_intdigest("<twice>") % BUCKETS, 4
 
 
 def slices(word: str) -> Iterator[list[int]]:
@@ -39,25 +36,18 @@ def slices(word: str) -> Iterator[list[int]]:
             yield [xxhash.xxh32_intdigest(s[i:i + n], seed=n) % BUCKETS for i in range(a, min(a + SLICE, end))]
 
 
-def twice(words: list[str]) -> int:
-    return TWICE_WEIGHT * sum(map(eq, words, islice(words, 1, None)))
-
-
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct feature buckets of a whole text and their shares."""
     words: dict[str, int] = {}
-    seen = (text or "").split()
-    for w in seen:
+    for w in (text or "").split():
         words[w] = words.get(w, 0) + 1
-    held: dict[int, int] = {}
+    counts: dict[int, int] = {}
     for w, n in words.items():
         for part in slices(w):
             for f in part:
-                held[f] = held.get(f, 0) + n
-    if n := twice(seen):
-        held[TWICE] = held.get(TWICE, 0) + n
-    u = np.array(sorted(held), np.int64)
-    c = np.array([held[f] for f in u.tolist()], float)
+                counts[f] = counts.get(f, 0) + n
+    u = np.array(sorted(counts), np.int32)
+    c = np.array([counts[f] for f in u.tolist()], float)
     return u, c / c.sum() if len(c) else c
 
 
@@ -79,8 +69,7 @@ def sgd(docs: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, flo
         w -= rate * np.outer(p, h)
         b -= rate * p
         if len(ids):
-            # A bucket's step follows its share; the scale keeps rare buckets learning in long documents.
-            e[ids] -= rate * np.outer(np.minimum(share * 20, 1), back)
+            e[ids] -= rate * np.outer(share, back)
     return e @ (w[1] - w[0]), float(b[1] - b[0])
 
 
@@ -98,17 +87,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     def bags(frames: Iterator[pd.DataFrame]):
         for f in frames:
             got = [bag(t) for t in f["text"]]
-            yield pd.DataFrame({"id": f["id"], "y": f["y"], "ids": [x.tolist() for x, _ in got], "share": [s.tolist() for _, s in got]})
+            yield pd.DataFrame({"id": f["id"], "y": f["y"], "ids": [x.tobytes() for x, _ in got], "share": [s.astype(np.float32).tobytes() for _, s in got]})
 
     # The sample's side has at most `rows` rows of two numbers: its size is bounded, so it is broadcast.
-    got = text.join(F.broadcast(lab), "id").mapInPandas(bags, "id long, y int, ids array<int>, share array<double>").toLocalIterator()
-    seen = sorted(((r["id"], tuple(r["ids"]), np.array(r["share"]), r["y"]) for r in got), key=lambda x: (x[0], x[1]))
-    return sgd([(np.array(i, np.int64), s, y) for _, i, s, y in seen])
+    got = text.join(F.broadcast(lab), "id").mapInPandas(bags, "id long, y int, ids binary, share binary").toLocalIterator()
+    seen = sorted((r["id"], bytes(r["ids"]), bytes(r["share"]), r["y"]) for r in got)
+    return sgd([(np.frombuffer(i, np.int32), np.frombuffer(s, np.float32), y) for _, i, s, y in seen])
 
 
 class _Memo(dict):
+    """Each word's sum of scalars (real) and count of features (imaginary)."""
+
     def __init__(self, scalar):
-        self.scalar = scalar
+        self.scalar, self.size = scalar, 0
 
     def __missing__(self, word):
         if len(word) > LONG:
@@ -116,15 +107,14 @@ class _Memo(dict):
         f = []
         for part in slices(word):
             f += part
-        if len(self) >= MEMO:
+        self.size += 2 * len(word) + 180  # about what an entry takes
+        if self.size > MEMO_BYTES:
             self.clear()
+            self.size = 0
         self[word] = out = complex(float(self.scalar[f].sum()), len(f))
         return out
 
 
-_memos: dict = {}
-
-
 def score(docs: DataFrame, model, id_col="doc_id", text_col="text", keep: tuple[str, ...] = (), out_col="quality_score") -> DataFrame:
     """id, the columns of keep and the score (0 to 1, under out_col), for every row over its whole text.
 
@@ -144,16 +134,11 @@ def score(docs: DataFrame, model, id_col="doc_id", text_col="text", keep: tuple[
     def run(batches):
         import pyarrow as pa
 
-        if stamp not in _memos:
-            _memos.clear()
-            _memos[stamp] = _Memo(bc.value)
-        memo = _memos[stamp]
+        memo = held(("quality", stamp), lambda: _Memo(bc.value))
         for b in batches:
             out = []
             for t in b.column(text_col):
-                words = (t.as_py() or "").split()
-                n = twice(words)
-                s = sum(map(memo.__getitem__, words), complex(n * bc.value[TWICE], n))
+                s = sum(map(memo.__getitem__, (t.as_py() or "").split()), 0j)
                 z = (s.real / s.imag if s.imag else 0.0) + bias
                 out.append(1 / (1 + np.exp(-max(min(z, 500), -500))))
             yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + [pa.array(out, pa.float64())], names=[*names, out_col])

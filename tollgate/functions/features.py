@@ -10,6 +10,8 @@ from ..sources.attempts import RELATIONS
 
 # Spellings of an absent identifier.
 ABSENT = ("", "none", "nan", "null", "na", "n/a", "unknown", "unk", "-")
+# Free mail domains (the first two count for the network), and required columns.
+FREE_MAIL = ("gmail.com", "outlook.com", "yahoo.com")
 REQUIRED = ("ts_s", "amount", "approved", "email_domain", "device_id", "ip_id", "bin_id")
 
 
@@ -39,12 +41,12 @@ def hour(ts: Column) -> Column:
     return F.pmod(F.floor(ts / 3600), F.lit(24))
 
 
-def node_features(df: DataFrame, use_approved: bool = True, domains=("gmail", "outlook")) -> DataFrame:
+def node_features(df: DataFrame, use_approved: bool = True, domains=FREE_MAIL[:2]) -> DataFrame:
     return df.select("seq", F.log1p("amount").alias("f_log_amount"), (F.col("amount") < 25).cast("double").alias("f_small"),
                      (F.col("approved").cast("double") if use_approved else F.lit(0.0)).alias("f_approved"), (hour(F.col("ts_s")) / F.lit(24.0)).alias("f_hour"),
                      F.col("email_domain").isin(*domains).cast("double").alias("f_free_mail"), F.lit(1.0).alias("f_one"))
 
 
-def transaction_features(df: DataFrame, domains=("gmail", "yahoo", "outlook")) -> DataFrame:
+def transaction_features(df: DataFrame, domains=FREE_MAIL) -> DataFrame:
     return df.select("seq", F.col("amount"), F.log1p("amount").alias("log_amount"), hour(F.col("ts_s")).cast("double").alias("hour"),
                      F.col("approved").cast("double").alias("approved"), (F.col("amount") < 25).cast("double").alias("small"), F.col("email_domain").isin(*domains).cast("double").alias("free_mail"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
 
 
 def _stump(x: np.ndarray, grad: np.ndarray, least: int):
@@ -62,3 +64,22 @@ class Forecaster:
             return np.zeros(len(x)), np.zeros(len(x))
         p50 = np.maximum(self.mid.predict(x), 0)
         return p50, np.maximum(self.high.predict(x) + self.pad, p50)
+
+
+    def score(self, df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+        """df with p50 and p90 from the feature columns, in the executors."""
+        me = self
+
+        @F.pandas_udf("p50 double, p90 double")
+        def both(x: pd.DataFrame) -> pd.DataFrame:
+            mid, high = me.predict(x.to_numpy(float))
+            return pd.DataFrame({"p50": mid, "p90": high})
+
+        return df.withColumn("f_", both(F.struct(*columns))).select(*df.columns, "f_.p50", "f_.p90")
+
+
+def evaluate(df: DataFrame, cost: float = 73.0) -> DataFrame:
+    """Coverage of the upper quantile and errors of the median, for rows with remaining, p50 and p90."""
+    off = F.abs(F.col("remaining") - F.col("p50"))
+    return df.agg(F.count("*").alias("n_snapshots"), F.avg((F.col("remaining") <= F.col("p90")).cast("double")).alias("coverage_upper"), F.avg(off).alias("mae_p50"), F.percentile(off, F.lit(0.5)).alias("median_abs_err_p50"),
+                  F.avg("remaining").alias("mean_true_remaining"), F.avg("p50").alias("mean_p50"), F.avg("p90").alias("mean_upper"), (F.avg(off) * cost).alias("mae_exposure"))

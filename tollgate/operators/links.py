@@ -27,14 +27,16 @@ def degrees(df: DataFrame, e: DataFrame) -> DataFrame:
     return df.select("seq").join(ends, "seq", "left").select("seq", F.coalesce("d", F.lit(0)).alias("degree"))
 
 
-def shared_entity_score(df: DataFrame, relations: tuple[str, ...], window_s: float, cap: int = 32) -> DataFrame:
-    """Sum over relations of links / log1p(rows of the key)."""
-    total = None
-    for r in relations:
-        one = F.size(linked(r, window_s, cap)) / F.log1p(F.count("*").over(Window.partitionBy(r)).cast("double"))
-        df = df.withColumn(f"s_{r}", F.when(F.col(r).isNull(), 0.0).otherwise(one))
-        total = F.col(f"s_{r}") if total is None else total + F.col(f"s_{r}")
-    return df.withColumn("shared", total).drop(*[f"s_{r}" for r in relations])
+def shared_entity_score(df: DataFrame, relations: tuple[str, ...], window_s: float, cap: int = 32, also: tuple[str, ...] = ()) -> DataFrame:
+    """Sum over relations of links / log1p(rows of the key), within groups of `also` (a shard, a tenant).
+
+    Unpivoted to (row, relation, key) first: one shuffle serves all relations, null keys stay out.
+    """
+    one = [F.struct(F.lit(r).alias("rel"), F.col(r).cast("string").alias("key")) for r in relations]
+    long = df.select("seq", "ts_s", *also, F.explode(F.array(*one)).alias("x")).select("seq", "ts_s", *also, "x.*").where("key is not null")
+    links = F.size(linked("key", window_s, cap, also=("rel", *also))) / F.log1p(F.count("*").over(Window.partitionBy("rel", *also, "key")).cast("double"))
+    got = long.withColumn("s_", links).groupBy("seq", *also).agg(F.sum("s_").alias("shared"))
+    return df.join(got, ["seq", *also], "left").withColumn("shared", F.coalesce("shared", F.lit(0.0)))
 
 
 def evidence(df: DataFrame, rel: str, window_s: float, cap: int = 32, most: int = 6) -> DataFrame:
@@ -43,22 +45,40 @@ def evidence(df: DataFrame, rel: str, window_s: float, cap: int = 32, most: int
     return got.select("seq", F.col(rel).alias("value"), F.slice(F.reverse(F.col("l_.seq")), 1, most).alias("ids"), F.size("l_").alias("total"))
 
 
-def message_layer(df: DataFrame, state: str, relations: tuple[str, ...], w_self, bias, w_rel, mix, window_s: float, cap: int = 32, out: str = "h") -> DataFrame:
-    """ReLU(W_self x + b + sum over relations of mix * W_r mean(x of links)), with fixed weights.
+def softmax(att) -> list[float]:
+    """Mixing weights of the relations from their learned attention."""
+    import math
+
+    top = max(att)
+    e = [math.exp(a - top) for a in att]
+    return [x / sum(e) for x in e]
 
-    The mean goes first, as it commutes with the linear map: one vector a row and relation.
+
+def message_layer(df: DataFrame, state: str, relations: tuple[str, ...], w_self, bias, w_rel, mix, window_s: float, cap: int = 32, out: str = "h", gate=None, also: tuple[str, ...] = ()) -> DataFrame:
+    """ReLU(W_self x + b + sum over relations of mix * W_r m_r), with fixed weights.
+
+    m_r is the mean of the links' vectors; with a gate (a vector a relation) their sum weighted by
+    sigmoid(gate . |x_src - x_dst|), over the weights' sum or 1. It goes first, as it commutes with
+    the linear map: one vector a row and relation.
     """
+    if not len(relations) == len(w_rel) == len(mix):
+        raise ValueError("one matrix and one weight a relation")
+
     def matmul(rows, vec):
         return [sum((F.lit(float(a)) * F.get(vec, F.lit(j)) for j, a in enumerate(r)), F.lit(0.0)) for r in rows]
 
     dim = len(w_self[0])
-    for r in relations:
-        l = linked(r, window_s, cap, (state,))  # the frame's rows carry the vectors
-        df = df.withColumn(f"l_{r}", l)
-        n = F.greatest(F.size(f"l_{r}"), F.lit(1)).cast("double")
-        add = lambda j: lambda a, x: a + F.get(x[state], F.lit(j))
-        means = [F.aggregate(F.col(f"l_{r}"), F.lit(0.0), add(j)) / n for j in range(dim)]
-        df = df.withColumn(f"m_{r}", F.array(*means)).drop(f"l_{r}")
+    for k, r in enumerate(relations):
+        df = df.withColumn(f"l_{r}", linked(r, window_s, cap, (state,), also))  # the frame's rows carry the vectors
+        if gate is None:
+            df = df.withColumn(f"g_{r}", F.transform(f"l_{r}", lambda x: F.lit(1.0)))
+        else:
+            dot = lambda x: sum((F.lit(float(g)) * F.abs(F.get(x[state], F.lit(j)) - F.get(state, F.lit(j))) for j, g in enumerate(gate[k])), F.lit(0.0))  # noqa: B023, E731
+            df = df.withColumn(f"g_{r}", F.transform(f"l_{r}", lambda x: 1 / (1 + F.exp(-dot(x)))))
+        total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+        n = F.greatest(total(F.col(f"g_{r}")), F.lit(1.0))
+        part = lambda j: total(F.zip_with(f"l_{r}", f"g_{r}", lambda x, g: F.get(x[state], F.lit(j)) * g)) / n  # noqa: B023, E731
+        df = df.withColumn(f"m_{r}", F.array(*[part(j) for j in range(dim)])).drop(f"l_{r}", f"g_{r}")
     own = matmul(w_self, F.col(state))
     parts = [matmul(w, F.col(f"m_{r}")) for r, w in zip(relations, w_rel)]
     rows = [own[i] + float(bias[i]) + sum((F.lit(float(m)) * p[i] for m, p in zip(mix, parts)), F.lit(0.0)) for i in range(len(w_self))]

@@ -92,3 +92,20 @@ def latency_curve(df: DataFrame, hit: Column, campaign: str, checkpoints: tuple[
 def quantiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Exact, linearly interpolated median and 2.5 and 97.5 percentiles; nulls are left out."""
     return df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("median"), F.percentile(value, F.lit(0.025)).alias("low"), F.percentile(value, F.lit(0.975)).alias("high"))
+
+
+def latency_percentiles(df: DataFrame, ms: str) -> DataFrame:
+    """p50, p95, p99 and mean of times in ms, and rows a second at one after another."""
+    return df.agg(*[F.percentile(ms, F.lit(q)).alias(f"p{round(q * 100)}") for q in (0.5, 0.95, 0.99)], F.avg(ms).alias("mean"), (F.count(ms) * 1000 / F.sum(ms)).alias("per_s"))
+
+
+def against_baseline(runs: DataFrame, baseline: DataFrame, on: str = "seed", fp: str = "fp") -> DataFrame:
+    """runs with ratio: the baseline's false positives on the same seed over their own; null where there are none."""
+    ref = baseline.select(on, F.col(fp).alias("ref_"))
+    return runs.join(ref, on, "left").withColumn("ratio", F.when(F.col(fp) > 0, F.col("ref_") / F.col(fp))).drop("ref_")
+
+
+def cost_loss(df: DataFrame, score: str, y: str) -> DataFrame:
+    """Mean expected cost of misses and false alarms."""
+    p, l = F.col(score), F.col(y)
+    return df.agg(F.avg((1 - p) * l * COST_MISS + p * (1 - l) * COST_FALSE).alias("loss"))

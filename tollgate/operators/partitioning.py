@@ -30,3 +30,17 @@ def placements(df: DataFrame, primary: Column, replicate: dict[str, Column], lea
         got = got.withColumn(f"r_{c}", F.when(F.col(c).isNotNull() & (F.count("*").over(Window.partitionBy(c)) >= least), s))
         more.append(F.col(f"r_{c}"))
     return got.select("seq", F.explode(F.array_distinct(F.array_compact(F.array("p_", *more)))).alias("shard"))
+
+
+def edges_surviving(edges: DataFrame, placed: DataFrame) -> DataFrame:
+    """Per relation the share of links whose ends share a shard among all that they are placed in."""
+    at = placed.groupBy("seq").agg(F.collect_set("shard").alias("s"))  # as many as there are relations, and one
+    d = edges.join(at.select(F.col("seq").alias("src"), F.col("s").alias("s1")), "src").join(at.select(F.col("seq").alias("dst"), F.col("s").alias("s2")), "dst")
+    return d.groupBy("rel").agg(F.count("*").alias("edges"), F.sum(F.arrays_overlap("s1", "s2").cast("long")).alias("kept")).withColumn("share", F.col("kept") / F.col("edges"))
+
+
+def score_sharded(df: DataFrame, shards: DataFrame, scorer, out: str = "score") -> DataFrame:
+    """scorer(rows, also) run within shards (seq, shard; a row may be placed in several): per row the highest score,
+    0 at least, and how many copies it had."""
+    got = scorer(df.join(shards.select("seq", "shard"), "seq"), ("shard",))
+    return got.groupBy("seq").agg(F.greatest(F.max(out), F.lit(0.0)).alias(out), F.count("*").alias("copies"))

@@ -31,3 +31,17 @@ def evaluate(inc: DataFrame) -> DataFrame:
     triage = F.when(F.col("policy") == "event_thresholding", F.col("n_attempts") * TRIAGE_MIN).otherwise(0.0)
     minutes = triage + F.coalesce(*[F.when(F.col("action") == a[0], F.lit(a[4])) for a in ACTIONS])
     return long.groupBy("policy").agg(F.sum(realised(F.col("action"), F.col("is_true"), F.col("remaining")) + triage * MINUTE).alias("cost"), F.sum(minutes).alias("minutes"), F.count("*").alias("n"))
+
+
+def remaining_after(df: DataFrame, moments: DataFrame) -> DataFrame:
+    """campaign_id, t, remaining: attempts of the campaign later than each moment (campaign_id, t)."""
+    d = moments.select("campaign_id", "t").join(df.where("campaign_id is not null").select("campaign_id", "ts_s"), "campaign_id", "left")
+    return d.groupBy("campaign_id", "t").agg(F.count_if(F.col("ts_s") > F.col("t")).alias("remaining"))
+
+
+def incident_reliability(inc: DataFrame, bins: int = 5) -> DataFrame:
+    """Per bin of incident risk the mean risk and the share of real incidents; empty bins are kept with nulls."""
+    from .metrics import reliability
+
+    got = reliability(inc.withColumn("y_", F.col("is_true").cast("int")), "risk", "y_", bins)
+    return got.select(((F.col("bin") + 0.5) / bins).alias("bin_mid"), F.col("mean_score").alias("predicted"), F.col("mean_label").alias("observed"), "n")

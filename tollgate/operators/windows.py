@@ -5,43 +5,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+def _span(agg: str, keys: list[str], window_s: float, ts: str = "ts_s") -> Column:
+    """agg over [ts - window, ts] of the keys; the window may be a fraction of a second."""
+    part = f"PARTITION BY {', '.join(keys)} " if keys else ""
+    return F.expr(f"{agg} OVER ({part}ORDER BY {ts} RANGE BETWEEN {float(window_s)!r}D PRECEDING AND CURRENT ROW)")
+
+
 def trailing_count(key, window_s: float, seq: str | list[str] = "seq", ts: str = "ts_s") -> Column:
     """Rows of the key in [ts - window, this row]: a range count without the tied rows that come later."""
     seq = [seq] if isinstance(seq, str) else seq
     keys = [key] if isinstance(key, str) else list(key)
-    part = Window.partitionBy(*keys)
-    near = F.count("*").over(part.orderBy(ts).rangeBetween(-int(window_s), 0))
     tied = Window.partitionBy(*keys, ts)
-    return near - F.count("*").over(tied) + F.row_number().over(tied.orderBy(*seq))
+    return _span("count(*)", keys, window_s, ts) - F.count("*").over(tied) + F.row_number().over(tied.orderBy(*seq))
+
+
+def counts_by_entity(df: DataFrame, entities: tuple[str, ...], window_s: float) -> DataFrame:
+    """seq, entity, c: the trailing count of each identifier that a row has.
+
+    One shuffle serves all entities; null identifiers never enter it, and a key's rows are
+    dealt by slices of the window, so a hot key is spread over its slices.
+    """
+    one = [F.struct(F.lit(e).alias("entity"), F.col(e).cast("string").alias("key")) for e in entities]
+    long = df.select("seq", "ts_s", F.explode(F.array(*one)).alias("x")).select("seq", "ts_s", "x.*").where("key is not null")
+    got = sliced(long, window_s).withColumn("c", trailing_count(["entity", "key", "slice_"], window_s))
+    return got.where("own_").select("seq", "entity", "c")
 
 
 def velocity(df: DataFrame, key: str, tau: int, window_s: float, seq="seq") -> Column:
     return F.when(F.col(key).isNull(), 0).otherwise(F.greatest(trailing_count(key, window_s, seq) - tau, F.lit(0)))
 
 
-def multi_velocity(df: DataFrame, taus: dict[str, int], window_s: float) -> DataFrame:
-    got = df
-    for k, t in taus.items():
-        got = got.withColumn(f"v_{k}", velocity(df, k, t, window_s))
-    return got.withColumn("velocity", F.greatest(*[F.col(f"v_{k}") for k in taus]) if len(taus) > 1 else F.col(f"v_{next(iter(taus))}")).drop(*[f"v_{k}" for k in taus])
+def multi_velocity(df: DataFrame, taus: dict[str, int], window_s: float, counts: DataFrame | None = None) -> DataFrame:
+    """df with velocity: the most that any entity's trailing count exceeds its threshold by; counts may be given."""
+    c = counts_by_entity(df, tuple(taus), window_s) if counts is None else counts
+    over = sum((F.when(F.col("entity") == e, F.greatest(F.col("c") - t, F.lit(0))).otherwise(0) for e, t in taus.items()), F.lit(0))
+    best = c.groupBy("seq").agg(F.max(over).alias("velocity"))
+    return df.join(best, "seq", "left").withColumn("velocity", F.coalesce("velocity", F.lit(0)))
 
 
-def tune_velocity(df: DataFrame, entities: tuple[str, ...], window_s: float, budget: float = 0.01) -> DataFrame:
+def tune_velocity(df: DataFrame, entities: tuple[str, ...], window_s: float, budget: float = 0.01, counts: DataFrame | None = None) -> DataFrame:
     """Per entity the least tau of 2 or more whose share of rows above it is within budget / entities.
 
     One histogram of counts per entity; its size is that of distinct counts, not of rows.
     """
     n = df.count()
-    out = None
-    for e in entities:
-        c = df.withColumn("c", F.when(F.col(e).isNull(), 0).otherwise(trailing_count(e, window_s))).groupBy("c").agg(F.count("*").alias("m"))
-        above = F.coalesce(F.sum("m").over(Window.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        # A tau between two counts passes as the lower count does.
-        ok = c.select("c", "m").unionByName(_two(df)).groupBy("c").agg(F.sum("m").alias("m")).withColumn("above", above)
-        best = ok.where((F.col("c") >= 2) & (F.col("above") / F.lit(float(max(n, 1))) <= budget / len(entities))).agg(F.min("c").cast("long").alias("tau"))
-        got = best.select(F.lit(e).alias("entity"), "tau")
-        out = got if out is None else out.unionByName(got)
-    return out
+    counts = counts_by_entity(df, entities, window_s) if counts is None else counts
+    hist = counts.groupBy("entity", "c").agg(F.count("*").alias("m"))
+    two = _two(df).select(F.explode(F.array(*map(F.lit, entities))).alias("entity"), "c", "m")
+    # A tau between two counts passes as the lower count does.
+    hist = hist.unionByName(two).groupBy("entity", "c").agg(F.sum("m").alias("m"))
+    above = F.coalesce(F.sum("m").over(Window.partitionBy("entity").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ok = (F.col("c") >= 2) & (F.col("above") / F.lit(float(max(n, 1))) <= budget / len(entities))
+    return hist.withColumn("above", above).where(ok).groupBy("entity").agg(F.min("c").cast("long").alias("tau"))
 
 
 def _two(df: DataFrame) -> DataFrame:
@@ -58,21 +73,23 @@ def sliced(df: DataFrame, window_s: float, ts: str = "ts_s") -> DataFrame:
 def trailing_rate(df: DataFrame, flag: Column, window_s: float) -> DataFrame:
     """Share of flagged rows of the whole stream in [ts - window, this row]; no task holds the stream."""
     d = sliced(df.withColumn("flag_", flag.cast("long")), window_s)
-    part = Window.partitionBy("slice_")
     tied = Window.partitionBy("slice_", "ts_s")
     upto = tied.orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rng = part.orderBy("ts_s").rangeBetween(-int(window_s), 0)
-    n = F.count("*").over(rng) - F.count("*").over(tied) + F.count("*").over(upto)
-    k = F.sum("flag_").over(rng) - F.sum("flag_").over(tied) + F.sum("flag_").over(upto)
+    n = _span("count(*)", ["slice_"], window_s) - F.count("*").over(tied) + F.count("*").over(upto)
+    k = _span("sum(flag_)", ["slice_"], window_s) - F.sum("flag_").over(tied) + F.sum("flag_").over(upto)
     return d.withColumn("n_", n).withColumn("k_", k).where("own_").withColumn("rate", F.col("k_") / F.col("n_")).drop("flag_", "slice_", "own_", "n_", "k_")
 
 
 def ring_summary(df: DataFrame, alert: Column, window_s: float) -> DataFrame:
-    """Alerts in the trailing window of the whole stream, and the first one's time, at each row."""
-    d = sliced(df.withColumn("a_", alert), window_s)
-    rng = Window.partitionBy("slice_").orderBy("ts_s").rangeBetween(-int(window_s), 0)
-    d = d.withColumn("alerts", F.sum(F.col("a_").cast("long")).over(rng)).withColumn("first_alert_s", F.min(F.when(F.col("a_"), F.col("ts_s"))).over(rng))
-    return d.where("own_").drop("a_", "slice_", "own_")
+    """Alerts in the trailing window of the whole stream up to this row, the first one's time, and the seconds since it."""
+    d = sliced(df.withColumn("a_", alert.cast("long")), window_s).withColumn("t_", F.when(F.col("a_") == 1, F.col("ts_s")))
+    tied = Window.partitionBy("slice_", "ts_s")
+    upto = tied.orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    n = _span("sum(a_)", ["slice_"], window_s) - F.sum("a_").over(tied) + F.sum("a_").over(upto)
+    # An alert at this very time counts only if its row is not a later one.
+    first = _span("min(t_)", ["slice_"], window_s)
+    d = d.withColumn("alerts", n).withColumn("f_", first).withColumn("first_alert_s", F.when(F.col("f_") < F.col("ts_s"), F.col("f_")).otherwise(F.min("t_").over(upto)))
+    return d.withColumn("since_s", F.col("ts_s") - F.col("first_alert_s")).where("own_").drop("a_", "t_", "f_", "slice_", "own_")
 
 
 def interarrival(df: DataFrame, slice_s: float = 86_400.0) -> DataFrame:

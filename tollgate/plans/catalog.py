@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features
 from ..operators import drift, incidents, links, metrics, partitioning, windows
+from ..operators.components import ensure_checkpoint
 from ..sources import attempts
 from ..sources.sinks import replay_subset
 
@@ -74,13 +75,15 @@ def tune_velocity(spark, d):
 SELECT seq, CAST(velocity AS BIGINT) AS velocity, label FROM v WHERE velocity >= 1""")
 def velocity_alerts(spark, d):
     e = _ev(spark, d)
-    taus = {r["entity"]: r["tau"] for r in windows.tune_velocity(e, ENTITIES, DAY).collect()}  # one row an entity
-    return windows.multi_velocity(e, taus, DAY).where("velocity >= 1").select("seq", F.col("velocity").cast("long"), "label")
+    ensure_checkpoint(spark)
+    counts = windows.counts_by_entity(e, ENTITIES, DAY).checkpoint()  # counted once: tuned on, then filtered
+    taus = {r["entity"]: r["tau"] for r in windows.tune_velocity(e, ENTITIES, DAY, counts=counts).collect()}  # one row an entity
+    return windows.multi_velocity(e, taus, DAY, counts).where("velocity >= 1").select("seq", F.col("velocity").cast("long"), "label")
 
 
 for _k in ("device", "ip"):
     def _velocity(spark, d, k=f"{_k}_id"):
-        return _ev(spark, d).select("seq", windows.velocity(_ev(spark, d), k, 2, DAY).cast("long").alias("velocity"))
+        return windows.multi_velocity(_ev(spark, d), {k: 2}, DAY).select("seq", F.col("velocity").cast("long"))
     _velocity.__name__ = f"velocity_{_k}"
     query(f"WITH {EV} SELECT seq, CAST(greatest({_trail(_k + '_id', DAY)} - 2, 0) AS BIGINT) AS velocity FROM ev")(_velocity)
 
@@ -93,7 +96,7 @@ def velocity_multi(spark, d):
 @query(f"WITH {EV}, v AS (SELECT greatest({_trail('device_id', DAY)} - 2, 0) AS v FROM ev) SELECT round(avg(CASE WHEN v > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS false_positive_rate FROM v")
 def false_positive_rate(spark, d):
     e = _ev(spark, d)
-    return e.select(windows.velocity(e, "device_id", 2, DAY).alias("v")).agg(_r(F.avg((F.col("v") > 0).cast("double"))).alias("false_positive_rate"))
+    return windows.multi_velocity(e, {"device_id": 2}, DAY).select(F.col("velocity").alias("v")).agg(_r(F.avg((F.col("v") > 0).cast("double"))).alias("false_positive_rate"))
 
 
 @query(f"""WITH li AS (SELECT epoch_us(l_shipdate) / 1e6::DOUBLE AS ts_s, * FROM lineitem),
@@ -499,7 +502,7 @@ def message_pass_layer1(spark, d):
 
 @query(f"WITH {EV} SELECT round(avg((1 - score) * label * 73 + score * (1 - label) * 40), 6) AS loss FROM ev")
 def expected_cost_loss(spark, d):
-    return _ev(spark, d).agg(_r(F.avg((1 - F.col("score")) * F.col("label") * metrics.COST_MISS + F.col("score") * (1 - F.col("label")) * metrics.COST_FALSE)).alias("loss"))
+    return metrics.cost_loss(_ev(spark, d), "score", "label").select(_r("loss").alias("loss"))
 
 
 @query(f"WITH {EV} SELECT seq, round(1 / (1 + exp(-((amount - 50) / 20.0::DOUBLE * 0.7 + (score - 0.5) / 0.25::DOUBLE * -0.4))), 6) AS risk FROM ev")
@@ -508,11 +511,12 @@ def incident_risk_predict(spark, d):
 
 
 def queries():
-    return dict(Q)
+    from . import extended
 
+    return Q | extended.Q
 
-def oracle_sql():
-    return dict(O)
 
+def oracle_sql():
+    from . import extended
 
-QUERIES, ORACLES = Q, O
+    return O | extended.O

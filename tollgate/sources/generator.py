@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 # Share of distinct values and skew of each entity; mail domains and their shares.
 SHAPES = {"device_id": (0.80, 0.45), "ip_id": (0.25, 0.70), "bin_id": (0.02, 0.90)}
-DOMAINS = (("gmail", 0.55), ("yahoo", 0.15), ("outlook", 0.15), ("corp", 0.10), ("other", 0.05))
+DOMAINS = (("gmail.com", 0.55), ("yahoo.com", 0.15), ("outlook.com", 0.15), ("corp.example", 0.10), ("other.example", 0.05))
 
 
 @dataclass(frozen=True)
@@ -70,7 +70,7 @@ def campaign(spark: SparkSession, c: Campaign, like: DataFrame) -> DataFrame:
     ranks = like.select((F.row_number().over(Window.orderBy("row")) - 1).alias("r"), "amount", "email_domain")
     d = d.select("id", (c.start_s + uniform(c.seed, "ts") * c.duration_s).alias("ts_s"), *[deal(k).alias(k) for k in SHAPES],
                  F.floor(uniform(c.seed, "amount from") * m).alias("ra"), F.floor(uniform(c.seed, "mail from") * m).alias("rm"), (uniform(c.seed, "hidden") < c.camouflage).alias("hidden"),
-                 F.round(1 + 19 * uniform(c.seed, "small"), 2).alias("own_amount"), F.when(uniform(c.seed, "mail") < 0.5, "gmail").otherwise("outlook").alias("own_mail"), (uniform(c.seed, "approved") < 0.04).alias("approved"))
+                 F.round(1 + 19 * uniform(c.seed, "small"), 2).alias("own_amount"), F.when(uniform(c.seed, "mail") < 0.5, "gmail.com").otherwise("outlook.com").alias("own_mail"), (uniform(c.seed, "approved") < 0.04).alias("approved"))
     d = d.join(ranks.select(F.col("r").alias("ra"), "amount"), "ra", "left").join(ranks.select(F.col("r").alias("rm"), "email_domain"), "rm", "left")
     return d.select(F.col("id").alias("row"), "ts_s", F.when(F.col("hidden"), F.col("amount")).otherwise(F.col("own_amount")).alias("amount"), F.concat(F.lit(f"card_{c.name}_"), "id").alias("card_id"),
                     *SHAPES, F.when(F.col("hidden"), F.col("email_domain")).otherwise(F.col("own_mail")).alias("email_domain"), "approved", F.lit(1).alias("label"), F.lit(c.name).alias("campaign_id"))

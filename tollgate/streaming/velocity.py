@@ -1,6 +1,6 @@
 """Streaming forms: replay in micro-batches over a state table, quarantine, sliding counts.
 
-Late rows are scored, never dropped: arrival order defines the past. State older than the
+Late rows are scored, never dropped, among the rows that are earlier in time and still held. State older than the
 window behind the largest event time seen is left out of the next state table. The state
 is a Parquet table in the checkpoint folder, a new version per batch, so a restarted batch
 reads the version it started from.
@@ -11,30 +11,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.features import reasons
+from ..operators import graphnet, metrics
 from ..operators.links import linked
 from ..operators.windows import trailing_count
 
 
+def state(spark, folder: str, batch: int) -> DataFrame | None:
+    """The state table that a batch starts from; none for the first."""
+    return spark.read.parquet(f"{folder}/v{batch}") if batch else None
+
+
 class TrailingCounts:
     """foreachBatch body: trailing count per key over state and batch; quarantined rows go to a side sink."""
 
     def __init__(self, state_dir: str, out_dir: str, key: str, window_s: float):
         self.state_dir, self.out_dir, self.key, self.window_s = state_dir, out_dir, key, window_s
 
-    def _state(self, spark, batch: int):
-        try:
-            return spark.read.parquet(f"{self.state_dir}/v{batch}")
-        except Exception as e:  # the first batch has no state
-            if batch == 0 and "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
-
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         why = reasons(batch)
         good, bad = batch.where(F.size(why) == 0), batch.where(F.size(why) > 0)
         bad.withColumn("reasons", why).write.mode("overwrite").parquet(f"{self.out_dir}/quarantine/batch={batch_id}")
-        old = self._state(spark, batch_id) if batch_id else None
+        old = state(spark, self.state_dir, batch_id)
         cols = good.columns
         all_ = good.withColumn("new_", F.lit(True))
         if old is not None:
@@ -46,9 +44,43 @@ class TrailingCounts:
         keep.write.mode("overwrite").parquet(f"{self.state_dir}/v{batch_id + 1}")
 
 
+class RelationalScorer:
+    """foreachBatch body: scores of the relational network over state and batch, with each layer's vectors kept.
+
+    State rows bring the vectors of their own time, so links that have left the window since do
+    not change them; in order, the scores are those of one batch over the whole stream.
+    """
+
+    def __init__(self, state_dir: str, out_dir: str, net, features, feature_cols: tuple[str, ...], threshold: float):
+        self.state_dir, self.out_dir, self.net, self.features, self.feature_cols, self.threshold = state_dir, out_dir, net, features, feature_cols, threshold
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        why = reasons(batch)
+        good, bad = batch.where(F.size(why) == 0), batch.where(F.size(why) > 0)
+        bad.withColumn("reasons", why).write.mode("overwrite").parquet(f"{self.out_dir}/quarantine/batch={batch_id}")
+        layers = [f"h{i}_" for i in range(len(self.net.layers) + 1)]
+        cols = ["seq", "ts_s", *self.net.relations]
+        new = good.select(*cols).join(self.features(good), "seq").withColumn("new_", F.lit(True)).withColumn("h0_", F.array(*[F.col(c).cast("double") for c in self.feature_cols]))
+        new = new.select(*cols, "new_", "h0_", *[F.lit(None).cast("array<double>").alias(h) for h in layers[1:]])
+        old = state(spark, self.state_dir, batch_id)
+        all_ = new if old is None else new.unionByName(old.withColumn("new_", F.lit(False)))
+        got = graphnet.score(all_, self.net, self.feature_cols, keep_layers=True).persist()
+        mine = got.where("new_").select("seq", "ts_s", "score", metrics.alert(F.col("score"), self.threshold).alias("alert"))
+        mine.write.mode("overwrite").parquet(f"{self.out_dir}/scored/batch={batch_id}")
+        high = got.agg(F.max("ts_s")).first()[0]  # one number
+        keep = got.where(F.col("ts_s") >= (high if high is not None else 0.0) - self.net.window_s)
+        keep.select(*cols, *layers).write.mode("overwrite").parquet(f"{self.state_dir}/v{batch_id + 1}")
+        got.unpersist()
+
+
 def replay(stream: DataFrame, checkpoint: str, state_dir: str, out_dir: str, key: str, window_s: float):
-    """Run a stream of attempts to its end."""
-    body = TrailingCounts(state_dir, out_dir, key, window_s)
+    """Run a stream of attempts to its end, with trailing counts of a key."""
+    return run(stream, checkpoint, TrailingCounts(state_dir, out_dir, key, window_s))
+
+
+def run(stream: DataFrame, checkpoint: str, body):
+    """Run a stream of attempts to its end through a foreachBatch body."""
     q = stream.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return q

@@ -3,11 +3,12 @@
 A vector's score for a query is a sum over blocks of dimensions; each block is one list
 of partial scores. Phase one takes every list's local best k per partition and resolves
 them; the k-th best of those totals is a lower bound t on the k-th best score. Phase two
-broadcasts t / lists: whoever is below it in every list is below t in total. Phase three
-resolves the rest exactly, in the task that holds them.
+broadcasts t / lists: whoever is below it in every list is below t in total, and is not
+collected. Phase three resolves the collected entries' totals exactly, in the task that holds
+them.
 
 Queries go in blocks of a fixed number, so what is broadcast has a fixed size; each block
-is one pass over the vectors. A pass emits at most k rows per query and partition.
+is two passes over the vectors. A pass emits at most k rows per query and task.
 """
 
 from __future__ import annotations
@@ -49,15 +50,51 @@ def _dot(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.vectorize(lambda x: max(-LONG, min(LONG, x)), otypes=[object])(exact)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
+class _Best:
+    """The k best (query, id, score) of each query, ties to the smaller id; pending rows are folded in now and then."""
+
+    def __init__(self, k: int):
+        self.k, self.parts, self.size = k, [], 0
+
+    def add(self, query, vid, score) -> None:
+        self.parts.append((query, vid, score))
+        self.size += len(query)
+        if self.size > 1 << 20:
+            self.fold()
+
+    def fold(self):
+        query, vid, score = (np.concatenate(x) for x in zip(*self.parts)) if self.parts else (np.zeros(0, np.int64),) * 3
+        order = np.lexsort((vid, -score, query))
+        query, vid, score = query[order], vid[order], score[order]
+        first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.zeros(0, int)
+        rank = np.arange(len(query)) - np.repeat(first, np.diff(np.r_[first, len(query)]))
+        keep = rank < self.k
+        self.parts = [(query[keep], vid[keep], score[keep])]
+        self.size = 0  # what is kept is bounded by queries * k
+        return self.parts[0]
+
+
+def collected(partial: list[np.ndarray], k: int, cutoff: np.ndarray | None):
+    """Which entries the lists hand in: without a cutoff each list's best k + 1 of every query (one may be the
+    query itself), else those of cutoff / lists or more."""
+    take = np.zeros(partial[0].shape, bool)
+    for p in partial:
+        if cutoff is not None:
+            take |= p >= (cutoff / len(partial))[:, None]
+            continue
+        n = min(k + 1, p.shape[1])
+        at = np.argpartition(-p, n - 1, axis=1)[:, :n] if p.dtype != object else np.argsort(-p, axis=1)[:, :n]
+        np.put_along_axis(take, at, True, axis=1)
+    return take
 
 
 def _pass(ids, q, k: int, lists: int, cutoff=None):
-    """mapInPandas body. Without cutoff: phase one; with it: phases two and three."""
+    """mapInPandas body. Without cutoff: phase one; with it: phases two and three. Totals are resolved
+    for collected entries only; a task gives at most k rows a query."""
     blocks = np.array_split(np.arange(q.shape[1]), min(lists, max(q.shape[1], 1)))
 
     def run(frames: Iterator[pd.DataFrame]):
+        best = _Best(k)
         for f in frames:
             for lo in range(0, len(f), 2048):
                 part = f.iloc[lo:lo + 2048]
@@ -65,27 +102,16 @@ def _pass(ids, q, k: int, lists: int, cutoff=None):
                 for qa in range(0, len(ids), 512):
                     qs, qi = q[qa:qa + 512], ids[qa:qa + 512]
                     partial = [_dot(qs[:, b], v[:, b]) for b in blocks]
-                    total = sum(partial[1:], partial[0])
-                    own = qi[:, None] == vid[None, :]
-                    if cutoff is None:
-                        take = np.zeros(total.shape, bool)
-                        for p in partial:
-                            p = np.where(own, -np.inf, p) if p.dtype != object else p
-                            n = min(k + 1, p.shape[1])
-                            at = np.argpartition(-p, n - 1, axis=1)[:, :n] if p.dtype != object else np.argsort(-p, axis=1)[:, :n]
-                            np.put_along_axis(take, at, True, axis=1)
-                    else:
-                        t = cutoff[qa:qa + 512]
-                        take = np.zeros(total.shape, bool)
-                        for p in partial:
-                            take |= p >= (t / len(blocks))[:, None]
-                        take &= total >= t[:, None]
-                    take &= ~own
-                    for i in np.flatnonzero(take.any(axis=1)):
-                        at = np.flatnonzero(take[i])
-                        s = total[i, at]
-                        keep = _best(s, vid[at], k)
-                        yield pd.DataFrame({"query_id": np.full(len(keep), qi[i]), "vec_id": vid[at][keep], "score": s[keep].astype("int64")})
+                    t = None if cutoff is None else cutoff[qa:qa + 512]
+                    i, j = np.nonzero(collected(partial, k, t) & (qi[:, None] != vid[None, :]))
+                    total = sum((p[i, j] for p in partial[1:]), partial[0][i, j])
+                    if t is not None:
+                        ok = (total >= t[i]).astype(bool)
+                        i, j, total = i[ok], j[ok], total[ok]
+                    if len(i):
+                        best.add(qi[i], vid[j], np.clip(total, -LONG, LONG).astype("int64"))
+        query, vid, score = best.fold()
+        yield pd.DataFrame({"query_id": query, "vec_id": vid, "score": score})
     return run
 
 

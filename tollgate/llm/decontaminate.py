@@ -7,7 +7,7 @@ automaton; each hit fixes where the item would lie, and Myers' bit-parallel algo
 the least edit distance of the whole item to any stretch there.
 
 Items go in groups of a fixed number of characters, one pass each, so what is broadcast
-has a fixed bound.
+and indexed has a fixed bound (one item of more is a group of its own).
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import table
+from .common import cut, held, table
 
 #: Share of an item's characters that may differ; items this short must stand exactly, between word ends.
 ERRORS, SHORT = 0.05, 20
@@ -112,44 +112,44 @@ class Index:
         return [(self.items[n][0], *v) for n, v in sorted(best.items())]
 
 
-_indexes: dict = {}
-
-
-def leaks(text: Column, items: list[tuple[int, str]], errors: float = ERRORS) -> Column:
-    """Column of LEAKS for items of (id, plain text), a bounded group of them."""
-    key = hash((tuple(items), errors))
+def leaks(docs: DataFrame, text: Column, items: list[tuple[int, str]], errors: float = ERRORS) -> Column:
+    """Column of LEAKS for items of (id, plain text), a bounded group of them: broadcast once, indexed once a worker."""
+    key, sent = hash((tuple(items), errors)), docs.sparkSession.sparkContext.broadcast(items)
 
     @F.pandas_udf(LEAKS)
     def search(t: pd.Series) -> pd.Series:
-        if key not in _indexes:
-            _indexes.clear()
-            _indexes[key] = Index(items, errors)
-        x = _indexes[key]
+        x = held(("items", key), lambda: Index(sent.value, errors))
         return pd.Series([[dict(zip(("item_id", "distance", "start", "end"), r)) for r in x.search(plain(s))] for s in t])
 
     return search(text)
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, text_col="text", out="leaks") -> DataFrame:
-    """docs with one more column: the items found in each row's whole text.
+    """docs with one more column: the items found in each row's whole text, by item id.
 
-    Positions are those of the plain text. Null or empty texts and items match nothing;
-    items with a null id are left out; repeated items of one id and text count once.
+    Positions are those of the plain text; of several stretches of one distance the first
+    found is told. Null or empty texts and items match nothing; items with a null id are left
+    out; repeated items of one id and text count once. A text of any length is searched whole
+    in one task. out must be no column of docs. Beyond GROUP_CHARS of items there is a pass for
+    each group, written between, so driver and workers hold one group at a time.
     """
+    if out in docs.columns:
+        raise ValueError(f"there is a column {out} already")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("item_id is not null and text is not null").distinct()
-    group, size, columns = [], 0, []
+    got, group, size = docs.withColumn(out, F.array().cast(LEAKS)), [], 0
     for r in items.orderBy("item_id", "text").toLocalIterator():
-        x = plain(r["text"])
-        if x:
-            group.append((r["item_id"], x))
-            size += len(x)
-        if size > GROUP_CHARS:
-            columns.append(group)
+        if not (x := plain(r["text"])):
+            continue
+        if size + len(x) > GROUP_CHARS and group:
+            got = cut(_more(got, text_col, out, group, errors), "leaks")
             group, size = [], 0
-    if group:
-        columns.append(group)
-    got = [leaks(F.col(text_col), g, errors) for g in columns]
-    return docs.withColumn(out, F.concat(*got) if got else F.array().cast(LEAKS))
+        group.append((r["item_id"], x))
+        size += len(x)
+    return _more(got, text_col, out, group, errors) if group else got
+
+
+def _more(docs: DataFrame, text_col: str, out: str, group, errors: float) -> DataFrame:
+    return docs.withColumn(out, F.concat(out, leaks(docs, F.col(text_col), group, errors)))
 
 
 def op5_decontaminate(spark, sf_dir):

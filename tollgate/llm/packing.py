@@ -13,6 +13,8 @@ holds a third of all pieces is ranked by many tasks.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -90,6 +92,8 @@ def patterns(demand: np.ndarray, size: np.ndarray, room: int, rounds: int = 3000
             row = inv[j] / y[j]
             inv = inv - np.outer(y, row)
             inv[j] = row
+    else:
+        warnings.warn(f"column generation stopped after {rounds} rounds; the packing covers the demand but may need more sequences")
     times = np.floor(np.maximum(np.linalg.solve(a, d), 0) + 1e-9).astype(int)
     left, out = d.astype(int), []
     for j in np.argsort(-times, kind="stable"):
@@ -125,9 +129,11 @@ def pack(found: DataFrame, room: int = ROOM, grain: int = GRAIN) -> DataFrame:
 
     Sequences are numbered by pattern and occurrence from 0; offsets within one are gapless
     from 0, larger bins first. Rows that repeat an id are packed as rows of their own.
-    An empty table gives no rows.
+    Equal (doc_id, start) are ordered by a hash of the whole row. An empty table gives no rows.
+    Columns named sequence_id or offset, or those that the work needs, are refused.
     """
-    spark = found.sparkSession
+    if clash := {"sequence_id", "offset", "bin_", "salt_", "rank_", "base_", "at_", "slot_"} & set(found.columns):
+        raise ValueError(f"columns {sorted(clash)} are needed here")
     if room % grain:
         raise ValueError("grain must divide room")
     top = room // grain
@@ -152,7 +158,7 @@ def pack(found: DataFrame, room: int = ROOM, grain: int = GRAIN) -> DataFrame:
     tables = {b: np.array(v, dtype=np.int64) for b, v in slots.items()}
     per = named.groupBy("bin_", "salt_").agg(F.count("*").alias("n"))
     per = per.withColumn("base_", F.sum("n").over(Window.partitionBy("bin_").orderBy("salt_").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).drop("n")
-    ranked = named.withColumn("rank_", F.row_number().over(Window.partitionBy("bin_", "salt_").orderBy("doc_id", "start", *([F.crc32("ids")] if "ids" in found.columns else []))) - 1)
+    ranked = named.withColumn("rank_", F.row_number().over(Window.partitionBy("bin_", "salt_").orderBy("doc_id", "start", F.xxhash64(*found.columns))) - 1)
     ranked = ranked.join(per, ["bin_", "salt_"]).withColumn("rank_", F.col("rank_") + F.col("base_"))
 
     @F.pandas_udf("sequence_id long, slot long")

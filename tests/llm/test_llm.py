@@ -19,6 +19,7 @@ from tollgate.llm.tokens import Encoder
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string"
+KEY = "a key of the tests"
 EDGE = [(1, None), (2, ""), (3, " \n "), (4, "one"), (4, "one"), (None, "null id text"), (5, "ab cd " * 20000), (6, "same words here twice"), (7, "same words here twice")]
 
 
@@ -276,7 +277,7 @@ def test_suffix_array_and_dedup(spark, edge):
 def test_pii(spark, edge):
     data = [(1, "Call +1 (865) 555-5454 or resokt.75@mail7.example.com; 57.72.54.219, 4113677509365772, Mrs. Anna Smith, Mr Jones, Господин Иванов"), (2, "resokt.75@mail7.example.com +1 865 555 5454"), (3, None), (4, "")]
     df = spark.createDataFrame(data, DOCS)
-    got = {x.doc_id: (x.text, x.n_entities) for x in pii.scrub(df).collect()}
+    got = {x.doc_id: (x.text, x.n_entities) for x in pii.scrub(df, KEY).collect()}
     for s in ("865", "resokt", "57.72.54.219", "4113677509365772", "Smith", "Jones", "Иванов"):
         assert s not in got[1][0]
     assert got[1][1] == 7 and got[3] == (None, 0) and got[4] == ("", 0)
@@ -286,17 +287,17 @@ def test_pii(spark, edge):
     old = pii.REDRAWS
     try:
         pii.REDRAWS = -1
-        assert {x.doc_id: (x.text, x.n_entities) for x in pii.scrub(df).collect()} == got
+        assert {x.doc_id: (x.text, x.n_entities) for x in pii.scrub(df, KEY).collect()} == got
     finally:
         pii.REDRAWS = old
-    assert pii.scrub(edge).count() == len(EDGE)
+    assert pii.scrub(edge, KEY).count() == len(EDGE)
 
 
 def test_pii_whole_names_and_phone_formats(spark):
     names = ["Mr. McDonald", "Mrs. O'Brien", "Mr. Jean-Pierre Dupont", "Mr. John F. Kennedy", "Mr. John F Kennedy", "Ms. Anna Maria Lopez Garcia", "Mr. J. R. R. Tolkien", "Mr. Ludwig van Beethoven", "Mrs. O’Neil", "Господин Иван Иванович Петров"]
     phones = ["+1 865 555 5454", "+18655555454", "+1 (865) 555-5454", "+44 20 7946 0958", "+442079460958", "+1-865-555-5454"]
     data = list(enumerate([f"x {n}, y" for n in names] + phones + ["saw Mr. McDonald's car. I saw"]))
-    got = [x.text for x in sorted(pii.scrub(spark.createDataFrame(data, DOCS)).collect(), key=lambda x: x.doc_id)]
+    got = [x.text for x in sorted(pii.scrub(spark.createDataFrame(data, DOCS), KEY).collect(), key=lambda x: x.doc_id)]
     for t in got[:len(names)]:
         assert re.fullmatch(r"x (Mr\.|Mrs\.|Ms\.|Господин)( [A-ZА-Я][a-zа-я]+){1,2}, y", t), t
     digits = [re.sub(r"\D", "", t) for t in got[len(names):-1]]
@@ -307,7 +308,7 @@ def test_pii_whole_names_and_phone_formats(spark):
 
 def test_pii_redraws_collisions(spark):
     data = [(i, f"id 12{i % 10}-{10 + i // 10}-1234 a@b{i}.co") for i in range(60)]
-    got = [x.text for x in pii.scrub(spark.createDataFrame(data, DOCS)).collect()]
+    got = [x.text for x in pii.scrub(spark.createDataFrame(data, DOCS), KEY).collect()]
     assert len(set(got)) == 60
     mails = [t.split()[-1] for t in got]
     assert len(set(mails)) == 60

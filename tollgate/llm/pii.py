@@ -18,7 +18,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import cut, drop_cut, table
 
+#: The key of the registered query and the pipeline, for repeatable results. It protects nothing: production callers
+#: pass a secret of their own, or set tollgate.pii.key in the session.
 KEY = "tollgate-surrogates"
+#: Mail domains that say nothing about a person; others are replaced.
+PUBLIC_MAIL = ("gmail.com", "outlook.com", "hotmail.com", "yahoo.com", "icloud.com", "example.com", "example.org")
 REDRAWS = 500
 # Patterns of the kinds, titles by gender, and names by gender and script.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
@@ -82,17 +86,24 @@ def _luhn(digits: Column) -> Column:
     return F.pmod(F.aggregate(ds, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))), F.lit(10))
 
 
-def surrogate(c: Column, k: Column, n: Column, attempt: Column, key: str = KEY) -> Column:
+def _stream(key: str, *parts: Column) -> Column:
+    """256 hex digits by a nested keyed hash (an inner and an outer pass, each with the key in front)."""
+    inner = F.sha2(F.concat_ws("|", F.lit(f"{key}|inner"), *parts), 512)
+    return let(inner, lambda i: F.concat(*[F.sha2(F.concat(F.lit(f"{key}|outer{j}|"), i), 512) for j in range(2)]))
+
+
+def surrogate(c: Column, k: Column, n: Column, attempt: Column, key: str) -> Column:
     """The replacement of entity c of kind k and normal form n in its attempt-th draw."""
-    seed = F.concat_ws("|", F.lit(key), k, n, attempt.cast("string"))
-    stream = F.concat(F.sha2(F.concat(seed, F.lit("|0")), 512), F.sha2(F.concat(seed, F.lit("|1")), 512))
-    return let(F.struct(c.alias("c"), k.alias("k"), n.alias("n"), stream.alias("stream")), lambda x: _draw(x["c"], x["k"], x["n"], x["stream"]))
+    stream = _stream(key, k, n, attempt.cast("string"))
+    domain = F.when(c.contains("@"), _stream(key, F.lit("domain"), F.lower(F.substring_index(c, "@", -1))))
+    return let(F.struct(c.alias("c"), k.alias("k"), n.alias("n"), stream.alias("stream"), domain.alias("domain")), lambda x: _draw(x["c"], x["k"], x["n"], x["stream"], x["domain"]))
 
 
-def _draw(c: Column, k: Column, n: Column, stream: Column) -> Column:
+def _draw(c: Column, k: Column, n: Column, own: Column, of_domain: Column) -> Column:
+    stream = own
     chars = lambda s: F.split(s, "")
 
-    def mapped(s: Column, fixed: int | Column = 0) -> Column:
+    def mapped(s: Column, fixed: int | Column = 0, stream: Column = own) -> Column:
         """Digits (after the first `fixed`) and letters replaced one by one, by their rank among letters and digits."""
         zero = F.struct(F.lit(0).alias("n"), F.lit("").alias("out"))
 
@@ -104,7 +115,9 @@ def _draw(c: Column, k: Column, n: Column, stream: Column) -> Column:
 
         return F.aggregate(chars(s), zero, step, lambda a: a["out"])
 
-    email = F.concat(F.when(F.lower(c) == c, mapped(F.substring_index(c, "@", 1))).otherwise(mapped(F.lower(F.substring_index(c, "@", 1)))), F.lit("@"), F.substring_index(c, "@", -1))
+    # A domain has one surrogate wherever it stands; public ones and the last label stay.
+    domain = lambda d: F.when(F.lower(d).isin(*PUBLIC_MAIL), d).otherwise(F.concat(mapped(F.lower(F.regexp_extract(d, r"^(.*)(\.[^.]*)$", 1)), 0, of_domain), F.regexp_extract(d, r"(\.[^.]*)$", 1)))
+    email = F.concat(F.when(F.lower(c) == c, mapped(F.substring_index(c, "@", 1))).otherwise(mapped(F.lower(F.substring_index(c, "@", 1)))), F.lit("@"), let(F.substring_index(c, "@", -1), domain))
     ip = F.concat_ws(".", *[(F.pmod(_byte(stream, i) * 256 + _byte(stream, i + 8), F.lit(254)) + 1).cast("string") for i in range(4)])
     # The country code of a phone number stays, however it is written; a card keeps its first digit and its check.
     country = F.char_length(F.regexp_extract(n, COUNTRY, 1))
@@ -121,7 +134,7 @@ def _draw(c: Column, k: Column, n: Column, stream: Column) -> Column:
             .when(k == "phone", mapped(c, country)).otherwise(mapped(c)))
 
 
-def redraws(docs: DataFrame, text_col="text", key: str = KEY, rounds: int = 20) -> DataFrame:
+def redraws(docs: DataFrame, key: str, text_col="text", rounds: int = 20) -> DataFrame:
     """kind, norm, attempt of the entities whose first surrogate collides, over all rows."""
     found = docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(ALL), F.lit(0))).alias("e"))
     ents = cut(found.select(kind(F.col("e")).alias("kind"), normal(F.col("e")).alias("norm"), "e").groupBy("kind", "norm").agg(F.min("e").alias("e")), "entities")
@@ -139,13 +152,19 @@ def redraws(docs: DataFrame, text_col="text", key: str = KEY, rounds: int = 20)
     raise RuntimeError("redraws: surrogates still collide; the corpus holds nearly all values of a format")
 
 
-def scrub(docs: DataFrame, text_col="text", key: str = KEY) -> DataFrame:
+def scrub(docs: DataFrame, key: str, text_col="text") -> DataFrame:
     """docs with text_col scrubbed and one more column, n_entities.
 
     Null texts stay null with no entities. Rows without entities are unchanged. All other
-    columns pass through. Equal rows get equal results.
+    columns pass through. Equal rows get equal results, as does a text of any length. Columns
+    named n_entities, new_, row_ or odd_ are refused. Whoever lacks the key can't draw the
+    surrogates of guessed entities.
     """
-    odd = redraws(docs, text_col, key)
+    if not key:
+        raise ValueError("a key is needed")
+    if clash := {"n_entities", "new_", "row_", "odd_"} & set(docs.columns):
+        raise ValueError(f"columns {sorted(clash)} are needed here")
+    odd = redraws(docs, key, text_col)
     t = F.col(text_col)
     few = odd.limit(REDRAWS + 1).collect()
     entities = F.regexp_extract_all(t, F.lit(ALL), F.lit(0))
@@ -175,9 +194,13 @@ def scrub(docs: DataFrame, text_col="text", key: str = KEY) -> DataFrame:
     return got.select(*docs.columns, F.when(F.col("n_entities") > 0, F.col("n_entities")).otherwise(0).alias("n_entities"))
 
 
+def session_key(spark) -> str:
+    return spark.conf.get("tollgate.pii.key", KEY)
+
+
 def op9_pii_surrogates(spark, sf_dir):
     """doc_id, text with surrogates, n_entities: one row per document."""
-    return scrub(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scrub(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
 
 
 QUERIES = {"op9_pii_surrogates": op9_pii_surrogates}

@@ -1,13 +1,7 @@
 """The subpackage's registered queries and their SQL."""
 
-from importlib import import_module
+from . import decontaminate, licenses, neardup, packing, pii, quality, secrets, suffixdedup, tokenbin, topk
 
-MODULES = ("topk", "quality", "secrets", "licenses", "decontaminate", "neardup", "tokenbin", "suffixdedup", "pii", "packing")
-
-
-def queries():
-    return {k: f for m in MODULES for k, f in import_module(f"{__package__}.{m}").QUERIES.items()}
-
-
-def oracle_sql():
-    return {k: f for m in MODULES for k, f in import_module(f"{__package__}.{m}").ORACLES.items()}
+MODULES = (topk, quality, secrets, licenses, decontaminate, neardup, tokenbin, suffixdedup, pii, packing)
+QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+ORACLES = {k: f for m in MODULES for k, f in m.ORACLES.items()}

@@ -28,11 +28,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (word 5-grams, similarity 0.8): its smallest id.
 
-    Rows that repeat an id count as one document; rows with a null id stay.
+    Rows that repeat an id are of one group by that, whatever their texts; the row of the
+    smallest text stays (of equal texts the smallest row as JSON). Rows with a null id stay.
     """
     groups = neardup.groups(docs, n=5, percent=80)
-    keep = groups.where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    keep = cut(groups.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
+    out = docs.join(keep.where("rows = 1").select("doc_id"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    if not (many := keep.where("rows > 1").select("doc_id")).isEmpty():
+        row = F.struct(*docs.columns)
+        one = docs.join(many, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("row"))
+        out = out.unionByName(one.select("row.*"))
+    return out.select(*docs.columns)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +49,9 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with surrogates for personal data; n_chars follows the text."""
-    got = pii.scrub(docs).select(*docs.columns)
+    own = [f"c{i}" for i in range(len(docs.columns))]  # names that clash with none of the operator's
+    at = own[docs.columns.index("text")]
+    got = pii.scrub(docs.toDF(*own), pii.session_key(spark), at).select(*own).toDF(*docs.columns)
     return got.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else got
 
 

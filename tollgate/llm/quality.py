@@ -14,7 +14,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import held, table
+from .common import cut, drop_cut, held, table
 
 #: Fixed parameters of the model.
 BUCKETS, DIM, NGRAMS, EPOCHS, RATE, SEED = 1 << 17, 8, (3, 4), 6, 2.0, 13
@@ -90,8 +90,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
             yield pd.DataFrame({"id": f["id"], "y": f["y"], "ids": [x.tobytes() for x, _ in got], "share": [s.astype(np.float32).tobytes() for _, s in got]})
 
     # The sample's side has at most `rows` rows of two numbers: its size is bounded, so it is broadcast.
-    got = text.join(F.broadcast(lab), "id").mapInPandas(bags, "id long, y int, ids binary, share binary").toLocalIterator()
-    seen = sorted((r["id"], bytes(r["ids"]), bytes(r["share"]), r["y"]) for r in got)
+    got = cut(text.join(F.broadcast(lab), "id").mapInPandas(bags, "id long, y int, ids binary, share binary"), "bags")  # by all tasks at once
+    seen = sorted((r["id"], bytes(r["ids"]), bytes(r["share"]), r["y"]) for r in got.toLocalIterator())
+    drop_cut(got)
     return sgd([(np.frombuffer(i, np.int32), np.frombuffer(s, np.float32), y) for _, i, s, y in seen])
 
 

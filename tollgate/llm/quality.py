@@ -21,7 +21,7 @@ BUCKETS, DIM, NGRAMS, EPOCHS, RATE, SEED = 1 << 17, 8, (3, 4), 6, 2.0, 13
 #: Labelled rows that training takes at most, and the features of one row at most kept in memory at once.
 TRAIN_ROWS = 4000
 #: Bytes that a worker's memo of words holds about.
-MEMO_BYTES = 64 << 20
+MEMO_BYTES = 96 << 20
 #: Words of more characters stay out of the memo; n-grams of a word are hashed in slices of so many.
 LONG, SLICE = 200, 1 << 16
 

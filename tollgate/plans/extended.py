@@ -107,13 +107,13 @@ def _groups(spark, d):
     return _ev(spark, d).withColumn("component", F.substring("device_id", 2, 20).cast("long"))
 
 
-@query(f"""WITH {GROUP_SQL} SELECT component, m, m::DOUBLE AS n_observed, round(ln(1 + m::DOUBLE), 6) AS log_n, round(t1 - t0, 4) AS age_s, round(ln(1 + t1 - t0), 6) AS log_age, round(m / greatest(t1 - t0, 1), 6) AS rate,
+@query(f"""WITH {GROUP_SQL} SELECT component, m, m::DOUBLE AS n_observed, round(ln(1 + m::DOUBLE), 6) AS log_n, round(t1 - t0, 6) AS age_s, round(ln(1 + t1 - t0), 6) AS log_age, round(m / greatest(t1 - t0, 1), 6) AS rate,
 round(half / greatest(t1 - th, 1e-6::DOUBLE) / greatest(half / greatest(th - t0, 1e-6::DOUBLE), 1e-9::DOUBLE), 4) AS rate_trend, round(ms, 6) AS mean_score, round(coalesce(late - early, 0), 6) AS score_trend, round(dr, 6) AS decline_ratio,
-nd AS n_devices, ni AS n_ips, nb AS n_bins, round(m / greatest(nd + ni + nb, 1), 6) AS entity_density, remaining, round(t1, 4) AS t_snapshot FROM g""")
+nd AS n_devices, ni AS n_ips, nb AS n_bins, round(m / greatest(nd + ni + nb, 1), 6) AS entity_density, remaining, round(t1, 6) AS t_snapshot FROM g""")
 def snapshot_features(spark, d):
     got = incidents.snapshot_features(_groups(spark, d))
-    six = ("log_n", "log_age", "rate", "mean_score", "score_trend", "decline_ratio", "entity_density")
-    return got.select("component", "m", "n_observed", *[_r(c).alias(c) for c in six], *[_r(c, 4).alias(c) for c in ("age_s", "rate_trend", "t_snapshot")], "n_devices", "n_ips", "n_bins", "remaining")
+    six = ("age_s", "log_n", "log_age", "rate", "mean_score", "score_trend", "decline_ratio", "entity_density", "t_snapshot")
+    return got.select("component", "m", "n_observed", *[_r(c).alias(c) for c in six], _r("rate_trend", 4).alias("rate_trend"), "n_devices", "n_ips", "n_bins", "remaining")
 
 
 FORECAST_SQL = f"{EV}, f AS (SELECT (seq % 60)::DOUBLE AS remaining, (seq % 40)::DOUBLE AS p50, (seq % 40 + seq % 25)::DOUBLE AS p90 FROM ev)"
@@ -153,11 +153,11 @@ def incident_reliability(spark, d):
     return got.select(_r("bin_mid").alias("bin_mid"), _r("predicted").alias("predicted"), _r("observed").alias("observed"), "n")
 
 
-@query(f"WITH {EV}, t AS (SELECT campaign_id, min(ts_s) + 604800 AS t FROM ev WHERE campaign_id IS NOT NULL GROUP BY 1) SELECT campaign_id, round(t, 4) AS t, count(*) FILTER (ts_s > t) AS remaining FROM t JOIN ev USING (campaign_id) GROUP BY 1, 2")
+@query(f"WITH {EV}, t AS (SELECT campaign_id, min(ts_s) + 604800 AS t FROM ev WHERE campaign_id IS NOT NULL GROUP BY 1) SELECT campaign_id, round(t, 6) AS t, count(*) FILTER (ts_s > t) AS remaining FROM t JOIN ev USING (campaign_id) GROUP BY 1, 2")
 def remaining_after(spark, d):
     e = _ev(spark, d)
     moments = e.where("campaign_id is not null").groupBy("campaign_id").agg((F.min("ts_s") + 604800).alias("t"))
-    return policies.remaining_after(e, moments).withColumn("t", _r("t", 4))
+    return policies.remaining_after(e, moments).withColumn("t", _r("t"))
 
 
 NUM_SQL = f"{EV}, inc AS (SELECT CAST(substr(device_id, 2) AS BIGINT) AS component, min(ts_s) AS t_start, count(*) AS n_attempts, max(score) AS risk, avg(label::DOUBLE) AS purity FROM ev WHERE score >= 0.9 GROUP BY 1)"

@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import ipaddress
+import itertools
 import random
 import re
 import zlib
@@ -306,6 +308,29 @@ def test_pii_whole_names_and_phone_formats(spark):
     assert re.fullmatch(r"saw Mr\. [A-Z][a-z]+'s car\. I saw", got[-1]) and got[-1][8:].split("'")[0] in got[0]
 
 
+def test_pii_coreference_gender_and_ranges(spark):
+    text = "Mr. John Smith met Mrs. Smith and Mr. Smith. MR Mr. JOHN SMITH, Mr Jim Smith; Госпожа Иванова и Господин Иванов; Mr. van Dyk; 10.1.22.133 172.20.1.1 192.168.0.7 127.0.0.1 8.8.4.4 93.184.216.34 201.1.1.1"
+    got = pii.scrub(spark.createDataFrame([(1, text)], DOCS), KEY).first().text
+    m = re.fullmatch(r"Mr\. (\S+) (\S+) met Mrs\. (\S+) and Mr\. (\S+)\. MR Mr\. (\S+) (\S+), Mr (\S+) (\S+); Госпожа (\S+) и Господин (\S+); Mr\. ([A-Z]\S+); (.*)", got).groups()
+    assert m[1] == m[2] == m[3] == m[7] != "Smith" and m[4:6] == (m[0].upper(), m[1].upper()) and m[6] != m[0]
+    assert m[8] == m[9] + "а" and m[8] != "Иванова"
+    old, new = text.split("; ")[-1].split(), m[11].split()
+    for a, b in zip(old, new, strict=True):
+        assert a != b and [len(x) for x in a.split(".")][2:] == [len(x) for x in b.split(".")][2:]
+        x, y = ipaddress.ip_address(a), ipaddress.ip_address(b)
+        assert x.is_private == y.is_private and x.is_loopback == y.is_loopback
+    assert new[0].startswith("10.") and new[1].startswith("172.") and new[2].startswith("192.168.")
+
+
+def test_pii_many_given_names_of_one_family_and_crowded_range(spark):
+    """More mentions than given names or addresses of a form: all surrogates differ and none is an entity of the corpus."""
+    first = ["".join(x).title() for x in itertools.product("bdfg", "aeio", "lmnr", "au")]
+    rows = [(i, f"Mr. {f} Smith") for i, f in enumerate(first)] + [(1000 + i, f"10.0.0.{i}") for i in range(10)]
+    got = {x.doc_id: x.text for x in pii.scrub(spark.createDataFrame(rows, DOCS), KEY).collect()}
+    assert len(set(got.values())) == len(rows) and not set(got.values()) & {t for _, t in rows}
+    assert len({t.split()[-1] for i, t in got.items() if i < 1000}) == 1
+
+
 def test_pii_redraws_collisions(spark):
     data = [(i, f"id 12{i % 10}-{10 + i // 10}-1234 a@b{i}.co") for i in range(60)]
     got = [x.text for x in pii.scrub(spark.createDataFrame(data, DOCS), KEY).collect()]

@@ -125,6 +125,46 @@ def test_licenses(spark, edge):
     assert licenses.scan(edge).count() == len(EDGE) and licenses.scan(empty(spark)).count() == 0
 
 
+def license_brute(text):
+    """The base fields by runs of words; labels and score by comparing every line and window with every template."""
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = re.findall(licenses.WORD, low)
+    at, base = [], set()
+    for phrase, label in licenses.PHRASES.items():
+        p = phrase.split()
+        here = [i for i in range(len(words)) if words[i:i + len(p)] == p]
+        at, base = at + here, base | ({label} if here else set())
+    best = {}
+    for label, t in licenses.TEMPLATES.items():
+        t = re.findall(licenses.WORD, t)
+        size = -(-len(t) * 5 // 4)
+        blocks = [re.findall(licenses.WORD, line) for line in low.split("\n")] + [words[i:i + size] for i in range(len(words))]
+        n = max(len(set(t) & set(b)) for b in blocks)
+        if n >= 0.8 * len(set(t)):
+            best[label] = n / len(set(t))
+    score = 1.0 if at else max(best.values(), default=0.0)
+    return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | set(best))), round(score, 9)
+
+
+def test_licenses_against_brute_force(spark, monkeypatch):
+    r = random.Random(5)
+    frag = [w for t in licenses.TEMPLATES.values() for w in t.split()] + ["filler", "é", "x-y", "MIT", "CC"]
+    seps = [" ", " ", " ", "  ", "\n", ", "]
+    data = [(0, None), (1, ""), (2, "\n \n")]
+    for i in range(3, 400):
+        parts = []
+        for _ in range(r.randint(0, 4)):
+            t = r.choice(list(licenses.TEMPLATES.values()) + list(licenses.PHRASES)).split()
+            for _ in range(r.randint(0, 4)):
+                t[r.randrange(len(t))] = r.choice(frag)
+            r.random() < 0.3 and r.shuffle(t)
+            parts += t + r.choices(frag, k=r.randint(0, 6))
+        data.append((i, "".join(w + r.choice(seps) for w in parts)))
+    monkeypatch.setattr(licenses, "table", lambda *a: spark.createDataFrame(data, DOCS))
+    got = {x.doc_id: (x.n_words, x.n_base, x.first_word, x.last_word, x.base_labels, x.labels, round(x.score, 9)) for x in licenses.op4_license_scan(spark, "").collect()}
+    assert got == {i: license_brute(t) for i, t in data}
+
+
 def test_licenses_wrapped(spark):
     mit = """Permission is hereby granted, free of charge, to any person
 # obtaining a copy of this software and associated

@@ -5,8 +5,8 @@ text over the threshold (so hard-wrapped notices are compared whole). A template
 distinct words. Words are ordered by how many documents hold them, counted over all
 documents, rare first. A block must hold one of the first |T| - need + 1 words of a
 template in that order (prefix filter), have at least `need` distinct words (length filter),
-and, at its first match in that order, have enough words left in both (positional filter);
-what passes is counted in full. The template side is a fixed list of literals, so nothing is
+and, from its first match on in that order, have that many left (positional filter); only
+what passes all three is intersected with the template and counted. The template side is a fixed list of literals, so nothing is
 shuffled but the word counts (one row a word), and no key is hot.
 
 Native throughout: DataFrame functions only.
@@ -15,6 +15,7 @@ Native throughout: DataFrame functions only.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -50,9 +51,7 @@ def let(value: Column, body) -> Column:
 
 
 def _template_words() -> dict[str, list[str]]:
-    import re
-
-    return {k: list(dict.fromkeys(re.findall(r"[a-z0-9]+", v))) for k, v in TEMPLATES.items()}
+    return {k: list(dict.fromkeys(re.findall(WORD, v))) for k, v in TEMPLATES.items()}
 
 
 def lowered(text: Column) -> Column:
@@ -82,15 +81,21 @@ def block_scores(low: Column, order: list[str], threshold: float = THRESHOLD) ->
     lines = F.filter(F.split(low, "\n"), lambda x: x.rlike(some))
 
     def scores(line: Column) -> Column:
-        words = F.array_distinct(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)))
-        out = []
-        for label, (ws, need) in plans.items():
-            t = F.array(*map(F.lit, ws))
-            both = F.array_intersect(t, words)  # in the global order
-            first = F.array_position(t, F.element_at(both, 1))
-            fits = (F.size(words) >= need) & (F.size(both) >= need) & (first <= len(ws) - need + 1)
-            out.append(F.when(fits, F.struct(F.lit(label).alias("label"), (F.size(both) / F.lit(float(len(ws)))).alias("containment"))))
-        return F.when(F.size(words) >= least, F.filter(F.array(*out), lambda x: x.isNotNull())).otherwise(F.array().cast("array<struct<label:string,containment:double>>"))
+        """A line's ordered words (those that no template has come first in the global order and match nothing, so they
+        are left out), then per template the length, prefix and positional filters before any full intersection."""
+        words = F.array_intersect(F.array(*map(F.lit, order)), F.regexp_extract_all(line, F.lit(WORD), F.lit(0)))
+        none = F.array().cast("array<struct<label:string,containment:double>>")
+        return F.when(words_in(line) >= least, let(words, lambda held: F.filter(F.array(*[joined(held, label, *plan) for label, plan in plans.items()]), lambda x: x.isNotNull()))).otherwise(none)
+
+    def words_in(line: Column) -> Column:
+        return F.regexp_count(line, F.lit(WORD))
+
+    def joined(held: Column, label: str, ws: list[str], need: int) -> Column:
+        head = F.array(*map(F.lit, ws[:len(ws) - need + 1]))
+        first = F.array_position(held, F.get(F.array_intersect(head, held), F.lit(0)))  # null without a prefix word
+        fits = F.when(F.size(held) >= need, F.size(held) - first + 1 >= need)  # the rest of the block, from its first match on
+        n = F.size(F.array_intersect(F.array(*map(F.lit, ws)), held))
+        return F.when(fits, let(n, lambda n: F.when(n >= need, F.struct(F.lit(label).alias("label"), (n / F.lit(float(len(ws)))).alias("containment")))))
 
     def windows(words: Column) -> Column:
         """The best windows at prefix words; those within a line give no more than the line does."""
@@ -99,7 +104,7 @@ def block_scores(low: Column, order: list[str], threshold: float = THRESHOLD) ->
 
     def near(words: Column, at: Column, label: str, ws: list[str], need: int) -> Column:
         t = F.array(*map(F.lit, ws))
-        size = math.ceil(len(TEMPLATES[label].split()) / threshold - 1e-9)
+        size = math.ceil(len(re.findall(WORD, TEMPLATES[label])) / threshold - 1e-9)
         start = lambda i: F.greatest(i - size + 1, F.lit(1))
         held = lambda a, n: F.size(F.array_intersect(t, F.slice(words, a, F.lit(n))))
         at = F.filter(at, lambda i: F.element_at(words, i).isin(*ws[:len(ws) - need + 1]) & (held(start(i), 2 * size - 1) >= need))

@@ -101,3 +101,19 @@ def test_stream_matches_batch(spark, tmp_path):
     replay(stream, str(tmp_path / "cp"), str(tmp_path / "state"), str(tmp_path / "out"), "device_id", 50)
     got = {r.seq: r["count"] for r in spark.read.parquet(str(tmp_path / "out/scored")).collect()}
     assert got == brute_counts(data, 50)
+
+
+def test_running_totals_and_quantiles_over_ranges(spark):
+    r = random.Random(9)
+    data = [(k, float(r.randrange(400)) if k != "d" else None) for k in "aaaabbbcd" for _ in range(90 if k != "c" else 1)]
+    df = spark.createDataFrame(data, "k string, x double")
+    got = {x.k: (x.median, x.low, x.high) for x in metrics.quantiles(df, ["k"], "x").collect()}
+    want = {x.k: (x.a, x.b, x.c) for x in df.groupBy("k").agg(*[F.percentile("x", F.lit(q)).alias(n) for q, n in ((0.5, "a"), (0.025, "b"), (0.975, "c"))]).collect()}
+    assert got == want and got["d"] == (None, None, None)
+    g = df.where("x is not null").groupBy("x").agg(F.count("*").alias("m"))
+    at = 0
+    for x in metrics.running(g, "x", ("m",), parts=7).orderBy("x").collect():
+        at += x.m
+        assert x.upto_m == at and x.total_m == g.agg(F.sum("m")).first()[0]
+    assert metrics.average_precision(df.limit(0).selectExpr("x", "1 as y"), "x", "y").first()[0] is None
+    assert metrics.threshold_costs(df.limit(0).selectExpr("x", "1 as y"), "x", "y").count() == 0

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .windows import sliced
+
 
 def linked(key: str, window_s: float, cap: int = 32, payload: tuple[str, ...] = (), also: tuple[str, ...] = ()) -> Column:
     w = Window.partitionBy(*also, key).orderBy("ts_s", "seq").rowsBetween(-cap, -1)
@@ -15,10 +17,21 @@ def linked(key: str, window_s: float, cap: int = 32, payload: tuple[str, ...] =
     return F.when(F.col(key).isNull(), F.slice(got, 1, 0)).otherwise(F.filter(got, lambda x: x["ts_s"] >= F.col("ts_s") - window_s))
 
 
+def long_links(df: DataFrame, relations: tuple[str, ...], window_s: float, cap: int = 32, also: tuple[str, ...] = ()) -> DataFrame:
+    """seq, ts_s, rel, key, l (links): a row for each relation in which a row has a key.
+
+    Unpivoted first so that one shuffle serves all relations and null keys stay out; slices of one window,
+    with the slice before copied in, spread a hot key.
+    """
+    one = [F.struct(F.lit(r).alias("rel"), F.col(r).cast("string").alias("key")) for r in relations]
+    long = df.select("seq", "ts_s", *also, F.explode(F.array(*one)).alias("x")).select("seq", "ts_s", *also, "x.*").where("key is not null")
+    got = sliced(long, window_s).withColumn("l", linked("key", window_s, cap, also=("rel", *also, "slice_")))
+    return got.where("own_").drop("slice_", "own_")
+
+
 def edges(df: DataFrame, relations: tuple[str, ...], window_s: float, cap: int = 32) -> DataFrame:
-    """rel, src, dst over all relations, unpivoted first so that one shuffle serves them."""
-    long = df.select("seq", "ts_s", F.explode(F.array(*[F.struct(F.lit(r).alias("rel"), F.col(r).cast("string").alias("key")) for r in relations])).alias("x")).select("seq", "ts_s", "x.*").where("key is not null")
-    return long.withColumn("l", linked("key", window_s, cap, also=("rel",))).select("rel", F.explode("l.seq").alias("src"), F.col("seq").alias("dst"))
+    """rel, src, dst over all relations."""
+    return long_links(df, relations, window_s, cap).select("rel", F.explode("l.seq").alias("src"), F.col("seq").alias("dst"))
 
 
 def degrees(df: DataFrame, e: DataFrame) -> DataFrame:
@@ -28,21 +41,18 @@ def degrees(df: DataFrame, e: DataFrame) -> DataFrame:
 
 
 def shared_entity_score(df: DataFrame, relations: tuple[str, ...], window_s: float, cap: int = 32, also: tuple[str, ...] = ()) -> DataFrame:
-    """Sum over relations of links / log1p(rows of the key), within groups of `also` (a shard, a tenant).
-
-    Unpivoted to (row, relation, key) first: one shuffle serves all relations, null keys stay out.
-    """
-    one = [F.struct(F.lit(r).alias("rel"), F.col(r).cast("string").alias("key")) for r in relations]
-    long = df.select("seq", "ts_s", *also, F.explode(F.array(*one)).alias("x")).select("seq", "ts_s", *also, "x.*").where("key is not null")
-    links = F.size(linked("key", window_s, cap, also=("rel", *also))) / F.log1p(F.count("*").over(Window.partitionBy("rel", *also, "key")).cast("double"))
-    got = long.withColumn("s_", links).groupBy("seq", *also).agg(F.sum("s_").alias("shared"))
+    """Sum over relations of links / log1p(rows of the key), within groups of `also` (a shard, a tenant)."""
+    long = long_links(df, relations, window_s, cap, also).select("seq", *also, "rel", "key", F.size("l").alias("n_"))
+    per = long.groupBy("rel", *also, "key").agg(F.count("*").alias("rows_"))  # counted before the shuffle
+    s = F.col("n_") / F.log1p(F.col("rows_").cast("double"))
+    got = long.where("n_ > 0").join(per, ["rel", *also, "key"]).groupBy("seq", *also).agg(F.sum(s).alias("shared"))
     return df.join(got, ["seq", *also], "left").withColumn("shared", F.coalesce("shared", F.lit(0.0)))
 
 
 def evidence(df: DataFrame, rel: str, window_s: float, cap: int = 32, most: int = 6) -> DataFrame:
     """Of rows with links: the shared value, the newest ids first (at most `most`), and how many there are."""
-    got = df.withColumn("l_", linked(rel, window_s, cap)).where(F.size("l_") > 0)
-    return got.select("seq", F.col(rel).alias("value"), F.slice(F.reverse(F.col("l_.seq")), 1, most).alias("ids"), F.size("l_").alias("total"))
+    got = long_links(df, (rel,), window_s, cap).where(F.size("l") > 0)
+    return got.select("seq", F.col("key").cast(df.schema[rel].dataType).alias("value"), F.slice(F.reverse(F.col("l.seq")), 1, most).alias("ids"), F.size("l").alias("total"))
 
 
 def softmax(att) -> list[float]:

@@ -12,12 +12,30 @@ def alert(score: Column, threshold: float) -> Column:
     return F.coalesce(~F.isnan(score) & (score >= threshold), F.lit(False))
 
 
+def running(g: DataFrame, by: str, sums: tuple[str, ...], keys: tuple[str, ...] = (), parts: int = 128) -> DataFrame:
+    """g, whose values of `by` are distinct (within keys), with upto_ and total_ of each summed column.
+
+    Values are dealt to ranges between approximate percentiles, as even as the values are; totals of the
+    ranges run in a window of at most parts + 1 rows a key, the values within a range in one of its own.
+    """
+    marks = [i / parts for i in range(1, parts)]
+    cuts = g.groupBy(*keys).agg(F.percentile_approx(by, marks, 10_000).alias("cuts_"))
+    cuts = g.join(cuts, list(keys)) if keys else g.join(F.broadcast(cuts))  # without keys one row
+    d = cuts.withColumn("part_", F.size(F.filter(F.coalesce("cuts_", F.array()), lambda c: F.col(by) >= c))).drop("cuts_")
+    ranges = d.groupBy(*keys, "part_").agg(*[F.sum(c).alias(f"sum_{c}") for c in sums])
+    w = Window.partitionBy(*keys)
+    before = w.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(*keys, "part_", *[F.coalesce(F.sum(f"sum_{c}").over(before), F.lit(0)).alias(f"before_{c}") for c in sums], *[F.sum(f"sum_{c}").over(w).alias(f"total_{c}") for c in sums])
+    d = d.join(ranges, [*keys, "part_"])
+    here = Window.partitionBy(*keys, "part_").orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return d.select("*", *[(F.col(f"before_{c}") + F.sum(c).over(here)).alias(f"upto_{c}") for c in sums]).drop("part_", *[f"before_{c}" for c in sums])
+
+
 def average_precision(df: DataFrame, score: str, y: str) -> DataFrame:
     """Step-wise: over distinct scores from the top, recall gained times precision. Null without positives."""
     g = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(y).cast("long")).alias("p"), F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("s"))  # distinct scores only
-    g = g.withColumn("tp", F.sum("p").over(w)).withColumn("all", F.sum("n").over(w)).withColumn("t", F.sum("p").over(Window.partitionBy()))
-    return g.agg(F.sum(F.when(F.col("t") > 0, F.col("p") / F.col("t") * F.col("tp") / F.col("all"))).alias("average_precision"))
+    g = running(g, "s", ("p", "n")).withColumn("tp", F.col("total_p") - F.col("upto_p") + F.col("p")).withColumn("all", F.col("total_n") - F.col("upto_n") + F.col("n"))
+    return g.agg(F.sum(F.when(F.col("total_p") > 0, F.col("p") / F.col("total_p") * F.col("tp") / F.col("all"))).alias("average_precision"))
 
 
 def bin_of(score: Column, bins: int) -> Column:
@@ -42,16 +60,10 @@ def calibration_error(rel: DataFrame) -> DataFrame:
 def threshold_costs(df: DataFrame, score: str, y: str, c_miss: float = COST_MISS, c_false: float = COST_FALSE) -> DataFrame:
     """Cost of every candidate threshold (distinct scores to 4 places, half to even), applied to unrounded scores."""
     s = df.select(F.col(score).alias("at"), F.col(y).cast("long").alias("y"))
-    marks = s.select(F.bround("at", 4).alias("at")).distinct().select("at", F.lit(None).cast("long").alias("y"), F.lit(True).alias("cand"))
-    g = s.groupBy("at").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"), F.lit(False).alias("cand"))
-    axis = g.unionByName(marks.select("at", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("n"), "cand"))
-    w = Window.orderBy("at")
-    below = F.coalesce(F.sum("p").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0))
-    here_p = F.sum("p").over(Window.partitionBy("at"))
-    here_n = F.sum("n").over(Window.partitionBy("at"))
-    upto_n = F.sum("n").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    all_n = F.sum("n").over(Window.partitionBy())
-    return axis.withColumn("missed", below - here_p).withColumn("false_alarms", all_n - upto_n + here_n).where("cand").select(
+    marks = s.select(F.bround("at", 4).alias("at")).distinct().select("at", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("cand"))
+    axis = s.groupBy("at").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"), F.lit(False).alias("cand")).unionByName(marks)
+    axis = running(axis.groupBy("at").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.max("cand").alias("cand")), "at", ("p", "n")).where("cand")
+    return axis.withColumn("missed", F.col("upto_p") - F.col("p")).withColumn("false_alarms", F.col("total_n") - F.col("upto_n") + F.col("n")).select(
         F.col("at").alias("threshold"), "missed", "false_alarms", (F.col("missed") * c_miss + F.col("false_alarms") * c_false).alias("cost"))
 
 
@@ -89,9 +101,25 @@ def latency_curve(df: DataFrame, hit: Column, campaign: str, checkpoints: tuple[
                       F.try_divide(F.col("tp").cast("double"), (F.col("tp") + F.col("fn")).cast("double")).alias("recall"))
 
 
+def exact_quantiles(df: DataFrame, keys: tuple[str, ...], value: str, qs: tuple[float, ...]) -> DataFrame:
+    """keys and q: an array of exact, linearly interpolated quantiles. Nulls are left out, a key of nulls only has nulls.
+
+    Ranks come from running counts over ranges of values, so no task holds all values of a key.
+    """
+    g = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("x_")).agg(F.count("*").alias("m_"))
+    r = running(g, "x_", ("m_",), keys)
+    at = [(F.col("total_m_") - 1) * F.lit(q) for q in qs]
+    holds = lambda rank: (F.col("upto_m_") > rank) & (F.col("upto_m_") - F.col("m_") <= rank)
+    ends = r.groupBy(*keys).agg(*[F.max(F.when(holds(end(p)), F.col("x_"))).alias(f"{name}{i}") for i, p in enumerate(at) for name, end in (("low", F.floor), ("high", F.ceil))], F.max("total_m_").alias("total_m_"))
+    between = lambda i, p: F.when(F.floor(p) == F.ceil(p), F.col(f"low{i}")).otherwise((F.ceil(p) - p) * F.col(f"low{i}") + (p - F.floor(p)) * F.col(f"high{i}"))
+    got = ends.select(*keys, F.array(*[between(i, p) for i, p in enumerate(at)]).alias("q"))
+    return df.select(*keys).distinct().join(got, list(keys), "left") if keys else got
+
+
 def quantiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Exact, linearly interpolated median and 2.5 and 97.5 percentiles; nulls are left out."""
-    return df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("median"), F.percentile(value, F.lit(0.025)).alias("low"), F.percentile(value, F.lit(0.975)).alias("high"))
+    got = exact_quantiles(df, tuple(keys), value, (0.5, 0.025, 0.975))
+    return got.select(*keys, *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("median", "low", "high"))])
 
 
 def latency_percentiles(df: DataFrame, ms: str) -> DataFrame:

@@ -38,4 +38,4 @@ def test_matches_sql(spark, duck, name):
 def test_psi_has_all_features(spark):
     from tollgate.operators import drift
 
-    assert {r.feature for r in catalog.queries()["psi_feature_all"](spark, SF).collect()} == set(drift.FEATURES)
+    assert {r.feature for r in catalog.queries()["psi_feature"](spark, SF).collect()} == set(drift.FEATURES)

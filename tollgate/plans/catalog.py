@@ -415,8 +415,7 @@ def drift_signature(spark, d):
     return drift.signature(_ev(spark, d)).withColumn("log_amount", _r("log_amount")).withColumn("log_interarrival", _r("log_interarrival"))
 
 
-PSI_FEATURES = ("log_amount", "declined", "reuse_ip", "log_interarrival")
-PSI_SQL = f"""{SIG_SQL}, l AS ({' UNION ALL '.join(f"SELECT CASE WHEN seq % 3 = 0 THEN 'live' ELSE 'base' END AS which, '{f}' AS feature, {f} AS x FROM sig" for f in PSI_FEATURES)}),
+PSI_SQL = f"""{SIG_SQL}, l AS ({' UNION ALL '.join(f"SELECT CASE WHEN seq % 3 = 0 THEN 'live' ELSE 'base' END AS which, '{f}' AS feature, {f} AS x FROM sig" for f in drift.FEATURES)}),
 e AS (SELECT feature, list_sort(list_distinct([{', '.join(f'quantile_cont(x, {i / 10})' for i in range(11))}])) AS e FROM l WHERE which = 'base' GROUP BY 1),
 h AS (SELECT l.feature, which, len(list_filter(e.e[2:len(e.e) - 1], lambda y: l.x >= y)) AS bin, len(e.e) AS edges, count(*) AS n FROM l JOIN e USING (feature) GROUP BY 1, 2, 3, 4),
 s AS (SELECT feature, which, bin, edges, n / sum(n) OVER (PARTITION BY feature, which)::DOUBLE AS share FROM h),
@@ -426,7 +425,7 @@ psi AS (SELECT feature, sum(CASE WHEN edges >= 3 THEN (l - b) * ln(l / b) ELSE 0
 
 def _psi(spark, d):
     s = drift.signature(_ev(spark, d))
-    return drift.psi(s.where("seq % 3 != 0"), s.where("seq % 3 = 0"), PSI_FEATURES)
+    return drift.psi(s.where("seq % 3 != 0"), s.where("seq % 3 = 0"))
 
 
 @query(f"WITH {PSI_SQL} SELECT feature, round(psi, 6) AS psi FROM psi")
@@ -439,26 +438,6 @@ def psi_overall(spark, d):
     return _psi(spark, d).agg(_r(F.avg("psi")).alias("psi"))
 
 
-# The same over all features of the signature; psi_feature and psi_overall keep their four.
-_long_psi = lambda fs: " UNION ALL ".join(f"SELECT CASE WHEN seq % 3 = 0 THEN 'live' ELSE 'base' END AS which, '{f}' AS feature, {f} AS x FROM sig" for f in fs)
-PSI_ALL_SQL = PSI_SQL.replace(_long_psi(PSI_FEATURES), _long_psi(drift.FEATURES))
-
-
-def _psi_all(spark, d):
-    s = drift.signature(_ev(spark, d))
-    return drift.psi(s.where("seq % 3 != 0"), s.where("seq % 3 = 0"))
-
-
-@query(f"WITH {PSI_ALL_SQL} SELECT feature, round(psi, 6) AS psi FROM psi")
-def psi_feature_all(spark, d):
-    return _psi_all(spark, d).select("feature", _r("psi").alias("psi"))
-
-
-@query(f"WITH {PSI_ALL_SQL} SELECT round(avg(psi), 6) AS psi FROM psi")
-def psi_overall_all(spark, d):
-    return _psi_all(spark, d).agg(_r(F.avg("psi")).alias("psi"))
-
-
 @query(f"WITH {_edges_sql(CAP)}, s AS (SELECT seq, seq % 8 AS shard FROM ev) SELECT rel, count(*) AS edges, CAST(sum(CASE WHEN a.shard = b.shard THEN 1 ELSE 0 END) AS BIGINT) AS kept, round(sum(CASE WHEN a.shard = b.shard THEN 1 ELSE 0 END) / count(*)::DOUBLE, 6) AS share FROM edges JOIN s a ON a.seq = src JOIN s b ON b.seq = dst GROUP BY 1")
 def edges_preserved_mod_n(spark, d):
     s = _ev(spark, d).select("seq", (F.col("seq") % 8).alias("shard"))

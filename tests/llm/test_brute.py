@@ -78,6 +78,20 @@ def test_packing_query_round_trip(spark, monkeypatch, salt_rows):
         assert at <= 4096
 
 
+def test_packing_short_texts(spark):
+    """Short pieces are packed by their exact lengths: texts of one id fill whole sequences."""
+    for lengths in ([1] * 20_000, [1 + i % 64 for i in range(5000)] + [3000] * 40, [29] * 3000, [65] * 30 + [1], [4096, 4095, 1, 1]):
+        got = packing.pack(spark.createDataFrame([(i, 0, n) for i, n in enumerate(lengths)], "doc_id long, start long, length long")).collect()
+        assert sorted(x.doc_id for x in got) == list(range(len(lengths)))
+        ends = {}
+        for x in sorted(got, key=lambda x: (x.sequence_id, x.offset)):
+            assert x.offset == ends.get(x.sequence_id, 0)
+            ends[x.sequence_id] = x.offset + x.length
+        assert max(ends.values()) <= 4096 and sorted(ends) == list(range(len(ends)))
+        if 65 not in lengths:
+            assert len(ends) <= -(-sum(lengths) // 4096) * 1.05 + 1
+
+
 def test_near_duplicate_link_recall(spark):
     """Pairs just over the threshold, the hardest to find: each is a link of its own, so a lost one shows as two classes."""
     r, data = random.Random(8), []

@@ -1,8 +1,10 @@
 """Packing by cutting-stock column generation.
 
 Documents are cut at every `room` ids; what remains is rounded up to bins of `grain` ids,
-and the histogram of bins (at most room / grain rows, whatever the corpus) is all that the
-driver sees. A linear program over patterns (how many pieces of each bin one sequence
+and the histogram of bins (at most room / grain + SHORT rows, whatever the corpus) is all that
+the driver sees. Pieces of at most SHORT ids, which rounding would swell, keep their exact
+lengths as bins: patterns of them fill cartons of at most CARTON ids, and a carton is one more
+piece of the sequences. A linear program over patterns (how many pieces of each bin one sequence
 takes) is solved by a revised simplex; a knapsack dynamic program over the duals prices new
 columns. Patterns are rounded down, what demand is left is packed by repeating the
 knapsack's best pattern over it, and pieces, ranked within their bin, take the slots.
@@ -23,6 +25,8 @@ from .common import cut, drop_cut, table
 from .tokenbin import with_ids
 
 ROOM, GRAIN, SALT_ROWS = 4096, 16, 20_000
+#: Longest pieces that go into cartons, and a carton's ids.
+SHORT, CARTON = 64, 1024
 
 
 def knapsack(value: np.ndarray, size: np.ndarray, room: int, most: np.ndarray | None = None) -> tuple[float, np.ndarray]:
@@ -115,6 +119,33 @@ def patterns(demand: np.ndarray, size: np.ndarray, room: int, rounds: int = 3000
     return full
 
 
+def _slots(plan: list[tuple[np.ndarray, int]]) -> dict[int, np.ndarray]:
+    """Slots of each bin in rank order: from, pieces a sequence, first sequence, slot there."""
+    slots: dict[int, list[tuple[int, int, int, int]]] = {}
+    first, filled = 0, {}
+    for col, times in plan:
+        at = 0
+        for b in sorted(np.flatnonzero(col) + 1, reverse=True):
+            k = int(col[b - 1])
+            slots.setdefault(int(b), []).append((filled.get(b, 0), k, first, at))
+            filled[b] = filled.get(b, 0) + k * times
+            at += k
+        first += times
+    return {b: np.array(v, dtype=np.int64) for b, v in slots.items()}
+
+
+def _look_up(slots: dict[int, np.ndarray], b: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence and slot of the pieces of these bins and ranks."""
+    sequence, slot = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
+    for x in np.unique(b):
+        m = b == x
+        t = slots[int(x)]
+        row = t[np.searchsorted(t[:, 0], rank[m], side="right") - 1]
+        k = rank[m] - row[:, 0]
+        sequence[m], slot[m] = row[:, 2] + k // row[:, 1], row[:, 3] + k % row[:, 1]
+    return sequence, slot
+
+
 def pieces(docs: DataFrame, tokenizer: str, end_id: int | None, room: int = ROOM, id_col="doc_id", text_col="text") -> DataFrame:
     """Whole texts' ids cut at every room ids: doc_id, start, length, doc_tokens, ids (binary)."""
     def cut_up(i, ids):
@@ -136,44 +167,43 @@ def pack(found: DataFrame, room: int = ROOM, grain: int = GRAIN) -> DataFrame:
         raise ValueError(f"columns {sorted(clash)} are needed here")
     if room % grain:
         raise ValueError("grain must divide room")
-    top = room // grain
-    named = found.withColumn("bin_", F.ceil(F.col("length") / grain).cast("int"))
+    short, carton = min(SHORT, room), min(CARTON, room)
+    # Bins of short pieces are their lengths below zero, those of the others are grains.
+    size = F.col("length")
+    named = found.withColumn("bin_", F.when(size <= short, -size).otherwise(F.ceil(size / grain)).cast("int"))
     named = cut(named, "pieces")
     n = named.count()
     salts = max(1, -(-n // SALT_ROWS))
     named = named.withColumn("salt_", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int"))
-    hist = {r["bin_"]: r["n"] for r in named.groupBy("bin_").agg(F.count("*").alias("n")).collect()}  # at most top rows
-    plan = patterns(np.array([hist.get(b, 0) for b in range(1, top + 1)]), np.arange(1, top + 1), top)  # in grains
-    # Slots of each bin in rank order: from, pieces a sequence, first sequence, slot there.
-    slots: dict[int, list[tuple[int, int, int, int]]] = {}
-    first, filled = 0, {}
-    for col, times in plan:
-        at = 0
-        for b in sorted(np.flatnonzero(col) + 1, reverse=True):
-            k = int(col[b - 1])
-            slots.setdefault(int(b), []).append((filled.get(b, 0), k, first, at))
-            filled[b] = filled.get(b, 0) + k * times
-            at += k
-        first += times
-    tables = {b: np.array(v, dtype=np.int64) for b, v in slots.items()}
+    hist = {r["bin_"]: r["n"] for r in named.groupBy("bin_").agg(F.count("*").alias("n")).collect()}  # at most room / grain + SHORT rows
+    inner = patterns(np.array([hist.get(-b, 0) for b in range(1, short + 1)]), np.arange(1, short + 1), carton)
+    demand = np.array([hist.get(b, 0) for b in range(1, room // grain + 1)])
+    cartons = []  # of each inner pattern: bin, and rank there of its first carton, behind the pieces
+    for col, times in inner:
+        b = -(-int(col @ np.arange(1, short + 1)) // grain)
+        cartons.append((b, int(demand[b - 1])))
+        demand[b - 1] += times
+    outer = _slots(patterns(demand, np.arange(1, room // grain + 1), room // grain))  # in grains
+    boxes = _slots(inner)
+    kinds = np.array(cartons, np.int64).reshape(-1, 2)
+    begins = np.cumsum([0, *(times for _, times in inner)])
     per = named.groupBy("bin_", "salt_").agg(F.count("*").alias("n"))
     per = per.withColumn("base_", F.sum("n").over(Window.partitionBy("bin_").orderBy("salt_").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).drop("n")
     ranked = named.withColumn("rank_", F.row_number().over(Window.partitionBy("bin_", "salt_").orderBy("doc_id", "start", F.xxhash64(*found.columns))) - 1)
     ranked = ranked.join(per, ["bin_", "salt_"]).withColumn("rank_", F.col("rank_") + F.col("base_"))
 
-    @F.pandas_udf("sequence_id long, slot long")
+    @F.pandas_udf("sequence_id long, slot long, inner long")
     def place(b: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        seq, slot = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
-        bv, rv = b.to_numpy(), rank.to_numpy()
-        for x in np.unique(bv):
-            m = bv == x
-            t = tables[int(x)]
-            row = t[np.searchsorted(t[:, 0], rv[m], side="right") - 1]
-            k = rv[m] - row[:, 0]
-            seq[m], slot[m] = row[:, 2] + k // row[:, 1], row[:, 3] + k % row[:, 1]
-        return pd.DataFrame({"sequence_id": seq, "slot": slot})
-
-    got = ranked.withColumn("at_", place("bin_", "rank_")).select(*found.columns, F.col("at_.sequence_id").alias("sequence_id"), F.col("at_.slot").alias("slot_"))
+        b, rank = b.to_numpy().copy(), rank.to_numpy().copy()
+        within = np.zeros(len(b), np.int64)
+        if (small := np.flatnonzero(b < 0)).size:
+            box, within[small] = _look_up(boxes, -b[small], rank[small])
+            kind = np.searchsorted(begins, box, side="right") - 1
+            b[small], rank[small] = kinds[kind, 0], kinds[kind, 1] + box - begins[kind]
+        sequence, slot = _look_up(outer, b, rank)
+        return pd.DataFrame({"sequence_id": sequence, "slot": slot, "inner": within})
+
+    got = ranked.withColumn("at_", place("bin_", "rank_")).select(*found.columns, F.col("at_.sequence_id").alias("sequence_id"), F.struct("at_.slot", "at_.inner").alias("slot_"))
     w = Window.partitionBy("sequence_id").orderBy("slot_").rowsBetween(Window.unboundedPreceding, -1)
     return got.withColumn("offset", F.coalesce(F.sum("length").over(w), F.lit(0))).drop("slot_")
 

@@ -27,6 +27,8 @@ from .tokenbin import with_ids
 ROOM, GRAIN, SALT_ROWS = 4096, 16, 20_000
 #: Longest pieces that go into cartons, and a carton's ids.
 SHORT, CARTON = 64, 1024
+#: How far prices are drawn to those of the best bound.
+DRAWN = 0.9
 
 
 def knapsack(value: np.ndarray, size: np.ndarray, room: int, most: np.ndarray | None = None) -> tuple[float, np.ndarray]:
@@ -81,12 +83,23 @@ def patterns(demand: np.ndarray, size: np.ndarray, room: int, rounds: int = 3000
     d, s = demand[use].astype(float), size[use]
     a = np.diag(np.maximum(room // s, 1)).astype(float)  # starting basis: one size a pattern
     inv = np.linalg.inv(a)
+    # Prices are drawn towards those of the best bound so far, as the basis' own swing widely.
+    bound, centre = 0.0, np.zeros(len(s))
     for step in range(rounds):
-        dual = inv.sum(axis=0)  # every pattern costs one sequence
-        value, col = knapsack(dual, s, room)
-        if value <= 1 + 1e-7:
+        dual, x = inv.sum(axis=0), inv @ d  # every pattern costs one sequence
+        least = max(bound, float(s @ d) / room)
+        if x.sum() <= max(np.ceil(least - 1e-6), least * (1 + 1e-5)):
             break
-        x, y = inv @ d, inv @ col
+        for share in (DRAWN, 0.0) if bound else (0.0,):
+            price = np.maximum(share * centre + (1 - share) * dual, 0)
+            value, col = knapsack(price, s, room)
+            if price @ d / value > bound:  # prices over their best pattern's give a lower bound
+                bound, centre = float(price @ d / value), price / value
+            if dual @ col > 1 + 1e-7:
+                break
+        else:
+            break
+        y = inv @ col
         up = np.flatnonzero(y > 1e-9)
         j = int(up[np.argmin(x[up] / y[up])])
         a[:, j] = col

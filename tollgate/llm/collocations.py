@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import cut, drop_cut, table
 
 #: Words of a phrase at most, words of a task's block, rows that a merging task gathers before it merges them.
-DEPTH, BLOCK_WORDS, MERGE_ROWS = 5, 1 << 21, 1 << 21
+DEPTH, BLOCK_WORDS, MERGE_ROWS = 5, 1 << 20, 1 << 20
 #: Text bytes that a prefix range stands for, bounds at most, and sampled windows a range that bounds come from.
 RANGE_BYTES, MOST_BOUNDS, SAMPLES = 8 << 20, 1 << 20, 32
 # What ends a piece of words.

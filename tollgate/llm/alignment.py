@@ -11,6 +11,7 @@ chunks as its keys, and `by_document` adds chunks' results up along each documen
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import re
 
@@ -123,34 +124,44 @@ def encode_blocks(docs: DataFrame, path_a: str, path_b: str, id_col="doc_id", te
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, TOKENS)
 
 
+@contextlib.contextmanager
+def one_deal(spark):
+    """Joins on more columns than rows are dealt by leave them where they are: all of align's work is within a key."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def align(tokens: DataFrame, key: str = "c") -> DataFrame:
     """key, n_a, n_b, groups, n_groups, links: tokens (arrays a and b of (id, n: bytes)) cut into groups where both sides' tokens end.
 
     Both sides must cover the same bytes and every token at least one. groups is text, `a1,a2|b1;...`; links holds the
-    ids (a, b) of each pair of tokens that overlap. Keys must be distinct; rows without tokens have no
-    groups. The work of a group is the product of its sides' tokens.
+    ids (a, b) of each pair of tokens that overlap. Keys must be distinct; rows without tokens are
+    left out. Rows are dealt once, by key; run it within `one_deal`, or joins deal them again. The
+    work of a group is the product of its sides' tokens.
     """
-    order = Window.partitionBy(key).orderBy("end")
+    tokens, before = tokens.repartition(key), Window.partitionBy(key).orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
 
     def side(col):
         one = tokens.select(key, F.posexplode(col).alias("pos", "t")).select(key, "pos", "t.id", "t.n")
         ends = one.withColumn("end", F.sum("n").over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
-        return ends.select(key, "id", "end", (F.col("end") - F.col("n")).alias("start"))
+        return ends.select(key, "id", (F.col("end") - F.col("n")).cast("int").alias("start"), F.col("end").cast("int").alias("end"))
 
-    def grouped(one, other):
-        ends = other.select(key, "end", F.lit(1).alias("cut"))
-        before = F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, -1))
-        return one.join(ends, [key, "end"], "left").withColumn("g", F.coalesce(before, F.lit(0)))
+    def grouped(one, other, name):
+        got = one.join(other.select(key, "end", F.lit(1).alias("cut")), [key, "end"], "left").withColumn("g", F.coalesce(F.sum("cut").over(before), F.lit(0)))
+        return got.groupBy(key, "g").agg(F.sort_array(F.collect_list(F.struct("start", "end", "id"))).alias(name))
 
     a, b = side("a"), side("b")
-    a, b = grouped(a, b), grouped(b, a)
-    text = lambda d, name: d.groupBy(key, "g").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("end", "id"))), lambda x: x["id"].cast("string")), ",").alias(name))
-    groups = text(a, "x").join(text(b, "y"), [key, "g"]).groupBy(key).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("g", F.concat_ws("|", "x", "y").alias("s")))), lambda x: x["s"]), ";").alias("groups"), F.count("*").alias("n_groups"))
-    over = a.select(key, "g", F.col("id").alias("a"), "start", "end").join(b.select(key, "g", F.col("id").alias("b"), F.col("start").alias("start_b"), F.col("end").alias("end_b")), [key, "g"])
-    links = over.where("start < end_b and start_b < end").groupBy(key).agg(F.collect_list(F.struct("a", "b")).alias("links"))
-    size = tokens.select(key, F.size("a").alias("n_a"), F.size("b").alias("n_b"))
-    return size.join(groups, key).join(links, key)
+    both = grouped(a, b, "x").join(grouped(b, a, "y"), [key, "g"])
+    ids = lambda c: F.array_join(F.transform(c, lambda t: t["id"].cast("string")), ",")
+    links = F.flatten(F.transform("x", lambda t: F.transform(F.filter("y", lambda u: (u["start"] < t["end"]) & (t["start"] < u["end"])), lambda u: F.struct(t["id"].alias("a"), u["id"].alias("b")))))
+    got = both.select(key, F.struct("g", F.concat_ws("|", ids("x"), ids("y")).alias("s"), links.alias("links"), F.size("x").alias("n_a"), F.size("y").alias("n_b")).alias("e"))
+    got = got.groupBy(key).agg(F.sum("e.n_a").cast("int").alias("n_a"), F.sum("e.n_b").cast("int").alias("n_b"), F.sort_array(F.collect_list("e")).alias("e"))
+    return got.select(key, "n_a", "n_b", F.array_join(F.col("e.s"), ";").alias("groups"), F.size("e").cast("long").alias("n_groups"), F.flatten("e.links").alias("links"))
 
 
 DOCS = "kind int, block long, c long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a int, b int, docs long"
@@ -291,8 +302,13 @@ def by_document(docs: DataFrame, path_a: str, path_b: str, id_col="doc_id", text
     """
     tokens = cut(encode_blocks(docs, path_a, path_b, id_col, text_col), "tokens")
     chunks = tokens.where("kind = 0")
-    aligned = align(chunks.where("ok").select("c", "a", "b"))
-    facts = cut(chunks.select("block", "c", "ok").join(aligned, "c", "left").select("block", "c", "ok", "n_a", "n_b", "n_groups", "groups", "links"), "facts")
+    with one_deal(docs.sparkSession):
+        # Chunks that a side can't give back have no tokens here, but keep their number.
+        some = [F.when(F.col("ok"), F.col(x)).otherwise(F.array().cast(tokens.schema[x].dataType)).alias(x) for x in ("a", "b")]
+        facts = cut(align(chunks.select("c", *some)), "facts")
+    bad = chunks.where("not ok").select("c")  # as a rule none
+    facts = facts.select("*", F.lit(True).alias("ok")).unionByName(bad.withColumn("ok", F.lit(False)), allowMissingColumns=True)
+    facts = facts.withColumn("block", F.shiftright("c", LOCAL_BITS))
     papers = _shaped(tokens.where("kind = 1"), 2, "block", "c", "doc_id", "seq")
     got = cut(_streamed(_shaped(facts, 0, *facts.columns).unionByName(papers), _first_pass, DOCS), "counted")
     pairs = cut(got.where("kind = 1").groupBy("a", "b").agg(F.sum("docs").alias("n")), "pairs")

@@ -15,7 +15,7 @@ def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     s = (SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1")
-         .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('ckpt')}").getOrCreate())
+         .config("spark.sql.session.timeZone", "UTC").config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider").config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('ckpt')}").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

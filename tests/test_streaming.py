@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tollgate.functions import features
 from tollgate.operators import boosting, drift, graphnet, incidents, links
 from tollgate.sources import generator as g
-from tollgate.streaming import incidents as online, sketch, velocity
+from tollgate.streaming import sketch
 
 FEATS = ("f_log_amount", "f_small", "f_approved", "f_hour", "f_free_mail", "f_one")
 RELS = ("device_id", "ip_id", "bin_id")
@@ -21,26 +21,6 @@ def stream(spark):
     return d.withColumn("score", F.when(F.col("label") == 1, 0.95).otherwise(0.1)).checkpoint()
 
 
-def parts(df, n=3):
-    """The stream in n batches by time."""
-    t = [df.agg(F.percentile("ts_s", F.lit(i / n))).first()[0] for i in range(1, n)]
-    lows, highs = [float("-inf"), *t], [*t, float("inf")]
-    return [df.where((F.col("ts_s") > lo) & (F.col("ts_s") <= hi)) for lo, hi in zip(lows, highs)]
-
-
-@pytest.mark.parametrize("depth", [1, 3])
-def test_relational_scorer_equals_batch(spark, stream, tmp_path, depth):
-    d = stream.join(features.node_features(stream), "seq")
-    net = graphnet.fit(d, FEATS, RELS, 3600.0, width=4, depth=depth, epochs=3)
-    assert set(graphnet.relation_attention(net)) == set(RELS) and abs(sum(graphnet.relation_attention(net).values()) - 1) < 1e-9
-    want = {r.seq: r.score for r in graphnet.score(d.drop("score"), net, FEATS).select("seq", "score").collect()}
-    body = velocity.RelationalScorer(f"file://{tmp_path}/state", f"file://{tmp_path}/out", net, features.node_features, FEATS, 0.5)
-    for i, p in enumerate(parts(stream.drop("score"))):
-        body(p, i)
-    got = {r.seq: r.score for r in spark.read.parquet(f"file://{tmp_path}/out/scored").collect()}
-    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-5
-
-
 def test_network_ranks_the_campaign_first(spark, stream):
     d = stream.join(features.node_features(stream), "seq")
     net = graphnet.fit(d, FEATS, RELS, 3600.0, width=8, depth=2, epochs=60)
@@ -61,22 +41,6 @@ def test_gate_weighs_links(spark):
         links.message_layer(d, "x", ("device_id",), [[1.0, 0.0]], [0.0], [], [1.0], 10.0)
 
 
-def test_online_incidents_track_batch(spark, stream, tmp_path):
-    # The cap is taken of the rows seen so far, so early on it binds where the whole stream would not; it is off here.
-    body = online.OnlineIncidents(f"file://{tmp_path}/inc", RELS, 0.9, share=0.5)
-    batches = parts(stream)
-    for i, p in enumerate(batches):
-        body(p, i)
-    got = {r.seq: r.component for r in body.groups(spark, len(batches)).collect()}
-    s = incidents.sessions(stream, F.col("score") >= 0.9, RELS, share=0.5)
-    want = {r.seq: r.component for r in incidents.label(s.select("seq", F.concat_ws("|", "rel", "value", F.col("session").cast("string")).alias("grp"))).collect()}
-    assert got.keys() == {r.seq for r in stream.where("score >= 0.9").collect()}
-    pairs = [(a, b) for a in want for b in want if a < b]
-    same = np.mean([(got[a] == got[b]) == (want[a] == want[b]) for a, b in pairs])
-    assert same == 1.0
-    assert body.stats(spark, len(batches))["sketch_bytes"] == 3 * 4096 * 4 * 8 * 8
-
-
 def test_sketch_never_underestimates(spark):
     r = random.Random(0)
     rows = [(f"k{r.randrange(400)}", r.uniform(0, 3600.0)) for _ in range(3000)]

@@ -41,8 +41,9 @@ def hour(ts: Column) -> Column:
     return F.pmod(F.floor(ts / 3600), F.lit(24))
 
 
-def node_features(df: DataFrame, use_approved: bool = True, domains=FREE_MAIL[:2]) -> DataFrame:
-    return df.select("seq", F.log1p("amount").alias("f_log_amount"), (F.col("amount") < 25).cast("double").alias("f_small"),
+def node_features(df: DataFrame, use_approved: bool = True, domains=FREE_MAIL[:2], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Features of the network; keep names columns to carry along, so that a stream needs no join."""
+    return df.select("seq", *keep, F.log1p("amount").alias("f_log_amount"), (F.col("amount") < 25).cast("double").alias("f_small"),
                      (F.col("approved").cast("double") if use_approved else F.lit(0.0)).alias("f_approved"), (hour(F.col("ts_s")) / F.lit(24.0)).alias("f_hour"),
                      F.col("email_domain").isin(*domains).cast("double").alias("f_free_mail"), F.lit(1.0).alias("f_one"))
 

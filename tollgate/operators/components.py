@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def ensure_checkpoint(spark) -> None:
-    """The session's checkpoint folder; a temporary one only where none is set."""
+    """The session's checkpoint folder. Where none is set, a temporary one in local mode and an error on a cluster, whose executors would not see it."""
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tollgate-"))
 
 

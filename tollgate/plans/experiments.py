@@ -223,21 +223,19 @@ def policy_study(spark: SparkSession) -> DataFrame:
 
 
 def online(spark: SparkSession) -> DataFrame:
-    """Incidents of a replay in batches against those of the whole stream."""
+    """Incidents of a replayed stream, four files by arrival, against those of the whole table."""
     from ..operators.components import ensure_checkpoint
-    from ..streaming.incidents import OnlineIncidents
+    from ..streaming import incidents as streaming_incidents
     import uuid
 
     ensure_checkpoint(spark)
     d = _alerts(campaign_stream(spark)).withColumn("score", F.col("alert").cast("double")).checkpoint()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    body = OnlineIncidents(f"{folder}/online-{uuid.uuid4().hex}", RELATIONS, 1.0)
-    ends = [d.agg(F.percentile("ts_s", F.lit(q))).first()[0] for q in (0.0, 0.25, 0.5, 0.75, 1.0)]
-    for i, (lo, hi) in enumerate(zip(ends, ends[1:])):
-        body(d.where((F.col("ts_s") <= hi) & ((F.col("ts_s") > lo) | (F.lit(i == 0)))), i)
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/online-{uuid.uuid4().hex}"
+    d.repartitionByRange(4, "seq").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    log = streaming_incidents.run(stream, f"{folder}/log", f"{folder}/offsets", RELATIONS, 1.0)
     whole = incidents.incidents(d, F.col("alert"), RELATIONS)
-    s = body.stats(spark, 4)
-    return whole.agg(F.count("*").alias("batch_incidents")).select("batch_incidents", *[F.lit(v).alias(f"online_{k}") for k, v in s.items()])
+    return whole.agg(F.count("*").alias("batch_incidents")).select("batch_incidents", *[F.lit(v).alias(f"online_{k}") for k, v in log.stats(spark).items()])
 
 
 def frontier(spark: SparkSession) -> DataFrame:

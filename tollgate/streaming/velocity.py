@@ -1,6 +1,6 @@
-"""Streaming forms: replay in micro-batches over a state table, quarantine, sliding counts.
+"""Streaming counts by event time: replay in micro-batches over a state table, quarantine, sliding counts.
 
-Late rows are scored, never dropped, among the rows that are earlier in time and still held. State older than the
+`rings` scores by order of arrival instead. Here late rows are scored, never dropped, among the rows that are earlier in time and still held. State older than the
 window behind the largest event time seen is left out of the next state table. The state
 is a Parquet table in the checkpoint folder, a new version per batch, so a restarted batch
 reads the version it started from.
@@ -10,8 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.features import reasons
-from ..operators import graphnet, metrics
+from ..functions.features import entity_key, reasons
 from ..operators.links import linked
 from ..operators.windows import trailing_count
 
@@ -37,43 +36,14 @@ class TrailingCounts:
         all_ = good.withColumn("new_", F.lit(True))
         if old is not None:
             all_ = all_.unionByName(old.select(*cols).withColumn("new_", F.lit(False)))
-        got = all_.withColumn("count", trailing_count(self.key, self.window_s)).withColumn("links", F.size(linked(self.key, self.window_s)))
-        got.where("new_").drop("new_").write.mode("overwrite").parquet(f"{self.out_dir}/scored/batch={batch_id}")
+        got = all_.withColumn("key_", entity_key(F.col(self.key)))  # null where the value only marks absence
+        got = got.withColumn("count", F.when(F.col("key_").isNotNull(), trailing_count("key_", self.window_s)).otherwise(0)).withColumn("links", F.size(linked("key_", self.window_s)))
+        got.where("new_").drop("new_", "key_").write.mode("overwrite").parquet(f"{self.out_dir}/scored/batch={batch_id}")
         high = all_.agg(F.max("ts_s")).first()[0]  # one number
         keep = all_.where(F.col("ts_s") >= (high if high is not None else 0.0) - self.window_s).drop("new_")
         keep.write.mode("overwrite").parquet(f"{self.state_dir}/v{batch_id + 1}")
 
 
-class RelationalScorer:
-    """foreachBatch body: scores of the relational network over state and batch, with each layer's vectors kept.
-
-    State rows bring the vectors of their own time, so links that have left the window since do
-    not change them; in order, the scores are those of one batch over the whole stream.
-    """
-
-    def __init__(self, state_dir: str, out_dir: str, net, features, feature_cols: tuple[str, ...], threshold: float):
-        self.state_dir, self.out_dir, self.net, self.features, self.feature_cols, self.threshold = state_dir, out_dir, net, features, feature_cols, threshold
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        why = reasons(batch)
-        good, bad = batch.where(F.size(why) == 0), batch.where(F.size(why) > 0)
-        bad.withColumn("reasons", why).write.mode("overwrite").parquet(f"{self.out_dir}/quarantine/batch={batch_id}")
-        layers = [f"h{i}_" for i in range(len(self.net.layers) + 1)]
-        cols = ["seq", "ts_s", *self.net.relations]
-        new = good.select(*cols).join(self.features(good), "seq").withColumn("new_", F.lit(True)).withColumn("h0_", F.array(*[F.col(c).cast("double") for c in self.feature_cols]))
-        new = new.select(*cols, "new_", "h0_", *[F.lit(None).cast("array<double>").alias(h) for h in layers[1:]])
-        old = state(spark, self.state_dir, batch_id)
-        all_ = new if old is None else new.unionByName(old.withColumn("new_", F.lit(False)))
-        got = graphnet.score(all_, self.net, self.feature_cols, keep_layers=True).persist()
-        mine = got.where("new_").select("seq", "ts_s", "score", metrics.alert(F.col("score"), self.threshold).alias("alert"))
-        mine.write.mode("overwrite").parquet(f"{self.out_dir}/scored/batch={batch_id}")
-        high = got.agg(F.max("ts_s")).first()[0]  # one number
-        keep = got.where(F.col("ts_s") >= (high if high is not None else 0.0) - self.net.window_s)
-        keep.select(*cols, *layers).write.mode("overwrite").parquet(f"{self.state_dir}/v{batch_id + 1}")
-        got.unpersist()
-
-
 def replay(stream: DataFrame, checkpoint: str, state_dir: str, out_dir: str, key: str, window_s: float):
     """Run a stream of attempts to its end, with trailing counts of a key."""
     return run(stream, checkpoint, TrailingCounts(state_dir, out_dir, key, window_s))
@@ -90,6 +60,6 @@ def sliding_counts(df: DataFrame, rel: str, window_s: float, slices: int = 8) ->
     """Rows of each value in the current and the slices - 1 earlier slices of a window: what a
     sliding sketch estimates, exactly, from counts by (value, slice)."""
     width = window_s / slices
-    per = df.where(F.col(rel).isNotNull()).groupBy(F.col(rel).alias("value"), F.floor(F.col("ts_s") / width).alias("slice")).agg(F.count("*").alias("n"))
+    per = df.where(entity_key(F.col(rel)).isNotNull()).groupBy(entity_key(F.col(rel)).alias("value"), F.floor(F.col("ts_s") / width).alias("slice")).agg(F.count("*").alias("n"))
     w = Window.partitionBy("value").orderBy("slice").rangeBetween(-(slices - 1), 0)
     return per.withColumn("count", F.sum("n").over(w))

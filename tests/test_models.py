@@ -45,9 +45,13 @@ def test_network_ranks_linked_campaigns(stream):
 
 def test_policies(spark):
     inc = spark.createDataFrame([(1, 20, 0.9, 100.0, 200.0, True, 100), (2, 2, 0.1, 1.0, 3.0, False, 0)], "component long, n_attempts long, risk double, p50 double, p90 double, is_true boolean, remaining long")
-    got = {r.policy: r.cost for r in policies.evaluate(inc).collect()}
+    rows = {r.policy: r for r in policies.evaluate(inc).collect()}
+    got = {p: r.merchant_cost for p, r in rows.items()}
     assert got["always_allow"] == 7300.0 and got["oracle_policy"] <= min(got.values())
     assert abs(got["always_hold"] - (2 * (900 + 108) + 100 * 73 * 0.03 + 6000)) < 1e-6
+    causal, tickets = rows["causal_policy"], rows["event_thresholding"]
+    assert tickets.analyst_minutes == 11.0 and abs(tickets.merchant_cost - causal.merchant_cost - 22 * 0.5 * 9) < 1e-6 and tickets.actions_matching_oracle == causal.actions_matching_oracle
+    assert rows["oracle_policy"].regret_vs_oracle == 0 and rows["oracle_policy"].actions_matching_oracle == 2 and rows["always_hold"].false_incidents == 1
 
 
 def test_forecaster_covers():

@@ -21,6 +21,12 @@ def entity_key(c: Column) -> Column:
     return F.when(F.lower(s).isin(*ABSENT), None).otherwise(s)
 
 
+def link_key(df: DataFrame, name: str) -> Column:
+    """An identifier column as rows may be linked by it: text without markers of absence, numbers as text."""
+    c = F.col(name)
+    return entity_key(c) if df.schema[name].dataType.typeName() == "string" else c.cast("string")
+
+
 def finite(c: Column) -> Column:
     x = c.try_cast("double")
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))

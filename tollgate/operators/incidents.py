@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.features import link_key
 from .components import label
 
 # Action, friction, false harm, share stopped, analyst minutes; costs of a miss and a minute.
@@ -14,13 +15,13 @@ MISS, MINUTE = 73.0, 9.0
 def capped_values(df: DataFrame, rel: str, share: float = 0.02) -> DataFrame:
     """Values too common to link over: more than max(share * rows, 1) of the whole stream."""
     n = df.count()
-    return df.where(F.col(rel).isNotNull()).groupBy(F.col(rel).cast("string").alias("value")).agg(F.count("*").alias("n")).where(F.col("n") > max(share * n, 1.0))
+    return df.groupBy(link_key(df, rel).alias("value")).agg(F.count("*").alias("n")).where(F.col("value").isNotNull() & (F.col("n") > max(share * n, 1.0)))
 
 
 def sessions(df: DataFrame, alert: Column, relations: tuple[str, ...], gap_s: float = 900.0, share: float = 0.02) -> DataFrame:
     """seq, rel, value, session: alerts of one value, parted where the gap exceeds gap_s."""
     n = df.count()
-    long = df.withColumn("a_", alert).select("seq", "ts_s", "a_", F.explode(F.array(*[F.struct(F.lit(r).alias("rel"), F.col(r).cast("string").alias("value")) for r in relations])).alias("x")).select("seq", "ts_s", "a_", "x.*").where("value is not null")
+    long = df.withColumn("a_", alert).select("seq", "ts_s", "a_", F.explode(F.array(*[F.struct(F.lit(r).alias("rel"), link_key(df, r).alias("value")) for r in relations])).alias("x")).select("seq", "ts_s", "a_", "x.*").where("value is not null")
     often = long.groupBy("rel", "value").agg(F.count("*").alias("n")).where(F.col("n") > max(share * n, 1.0))
     w = Window.partitionBy("rel", "value").orderBy("ts_s", "seq")
     d = long.where("a_").join(often.select("rel", "value"), ["rel", "value"], "left_anti")
@@ -73,6 +74,12 @@ def expected_costs(df: DataFrame, risk: str = "risk", remaining: str = "remainin
     return d.withColumn("cost", F.col("friction") + MINUTE * F.col("minutes") + F.col(risk) * F.col(remaining) * MISS * (1 - F.col("stops")) + (1 - F.col(risk)) * F.col("harm"))
 
 
+def cheapest(risk: Column, remaining: Column) -> Column:
+    """The name of the cheapest of the four autonomous actions, the first declared of equals."""
+    cost = lambda f, h, s, m: F.lit(f + MINUTE * m) + risk * remaining * MISS * (1 - s) + (1 - risk) * h
+    return F.array_min(F.array(*[F.struct(cost(f, h, s, m).alias("cost"), F.lit(i).alias("ord"), F.lit(n).alias("action")) for i, (n, f, h, s, m) in enumerate(ACTIONS[:4])]))["action"]
+
+
 def choose(df: DataFrame, key: str, risk: str = "risk", remaining: str = "remaining") -> DataFrame:
     """The cheapest of the four autonomous actions, the first declared of equals."""
     d = expected_costs(df, risk, remaining, ACTIONS[:4])

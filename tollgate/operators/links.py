@@ -6,8 +6,12 @@ of cap rows carries them, so there is no self-join and memory per row is bounded
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.features import link_key
 from .windows import sliced
 
 
@@ -17,15 +21,18 @@ def linked(key: str, window_s: float, cap: int = 32, payload: tuple[str, ...] =
     return F.when(F.col(key).isNull(), F.slice(got, 1, 0)).otherwise(F.filter(got, lambda x: x["ts_s"] >= F.col("ts_s") - window_s))
 
 
+def _long(df: DataFrame, relations: tuple[str, ...], also: tuple[str, ...] = (), more: tuple[str, ...] = ()) -> DataFrame:
+    one = [F.struct(F.lit(r).alias("rel"), link_key(df, r).alias("key")) for r in relations]
+    return df.select("seq", "ts_s", *also, *more, F.explode(F.array(*one)).alias("x")).select("seq", "ts_s", *also, *more, "x.*").where("key is not null")
+
+
 def long_links(df: DataFrame, relations: tuple[str, ...], window_s: float, cap: int = 32, also: tuple[str, ...] = ()) -> DataFrame:
-    """seq, ts_s, rel, key, l (links): a row for each relation in which a row has a key.
+    """seq, ts_s, rel, key, l (links): a row for each relation in which a row has a key that marks no absence.
 
     Unpivoted first so that one shuffle serves all relations and null keys stay out; slices of one window,
     with the slice before copied in, spread a hot key.
     """
-    one = [F.struct(F.lit(r).alias("rel"), F.col(r).cast("string").alias("key")) for r in relations]
-    long = df.select("seq", "ts_s", *also, F.explode(F.array(*one)).alias("x")).select("seq", "ts_s", *also, "x.*").where("key is not null")
-    got = sliced(long, window_s).withColumn("l", linked("key", window_s, cap, also=("rel", *also, "slice_")))
+    got = sliced(_long(df, relations, also), window_s).withColumn("l", linked("key", window_s, cap, also=("rel", *also, "slice_")))
     return got.where("own_").drop("slice_", "own_")
 
 
@@ -64,32 +71,79 @@ def softmax(att) -> list[float]:
     return [x / sum(e) for x in e]
 
 
+def _means(dim: int, window_s: float, cap: int, gates: dict):
+    """Over rows sorted by (grp, ts_s, seq): each own row's mean over its links, which are a stretch of the rows before it.
+
+    A group's last `cap` rows are carried from batch to batch, so a hot key takes no more memory.
+    """
+
+    def run(batches):
+        tail = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("grp", "rel", "ts_s", "own_", "seq")}
+            now["x"] = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            old = 0
+            if tail is not None:
+                old = len(tail["seq"])
+                now = {c: np.concatenate([tail[c], now[c]]) for c in now}
+            n, grp, ts, x = len(now["seq"]), now["grp"], now["ts_s"], now["x"]
+            ends = [*(np.flatnonzero(grp[1:] != grp[:-1]) + 1).tolist(), n]
+            lo, start = np.zeros(n, "i8"), 0
+            for end in ends:
+                lo[start:end] = start + np.searchsorted(ts[start:end], ts[start:end] - window_s)
+                start = end
+            first = np.repeat([0, *ends[:-1]], np.diff([0, *ends]))
+            lo = np.maximum(np.maximum(lo, first), np.arange(n) - cap)
+            rows = np.flatnonzero(now["own_"] & (lo < np.arange(n)) & (np.arange(n) >= old))
+            if len(rows):
+                out = np.zeros((len(rows), dim))
+                for some in np.array_split(np.arange(len(rows)), -(-len(rows) * cap * dim // (1 << 22))):
+                    k = rows[some] - lo[rows[some]]
+                    at = np.cumsum(k) - k
+                    src = np.arange(k.sum()) - np.repeat(at, k) + np.repeat(lo[rows[some]], k)
+                    w = np.ones(len(src))
+                    if gates:
+                        dst = np.repeat(rows[some], k)
+                        g = np.stack([gates[r] for r in now["rel"][dst]])
+                        w = 1 / (1 + np.exp(-(np.abs(x[src] - x[dst]) * g).sum(1)))
+                    out[some] = np.add.reduceat(x[src] * w[:, None], at) / np.maximum(np.add.reduceat(w, at), 1.0)[:, None]
+                yield pa.record_batch([pa.array(now["seq"][rows]), pa.array(now["grp"][rows], pa.string()), pa.array(now["rel"][rows], pa.string()),
+                                       pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * dim, pa.int32()), pa.array(out.ravel()))], names=["seq", "grp", "rel", "m"])
+            keep = np.arange(max(int(first[-1]), n - cap), n)
+            tail = {c: v[keep] for c, v in now.items()}
+
+    return run
+
+
 def message_layer(df: DataFrame, state: str, relations: tuple[str, ...], w_self, bias, w_rel, mix, window_s: float, cap: int = 32, out: str = "h", gate=None, also: tuple[str, ...] = ()) -> DataFrame:
     """ReLU(W_self x + b + sum over relations of mix * W_r m_r), with fixed weights.
 
     m_r is the mean of the links' vectors; with a gate (a vector a relation) their sum weighted by
-    sigmoid(gate . |x_src - x_dst|), over the weights' sum or 1. It goes first, as it commutes with
-    the linear map: one vector a row and relation.
+    sigmoid(gate . |x_src - x_dst|), over the weights' sum or 1. seq (a long) must be distinct within
+    `also`. One shuffle deals all relations' rows by key and slice of a window, with the slice before
+    copied in, so hot keys are spread and rows without a key stay out; one brings means back.
     """
     if not len(relations) == len(w_rel) == len(mix):
         raise ValueError("one matrix and one weight a relation")
-
-    def matmul(rows, vec):
-        return [sum((F.lit(float(a)) * F.get(vec, F.lit(j)) for j, a in enumerate(r)), F.lit(0.0)) for r in rows]
-
-    dim = len(w_self[0])
-    for k, r in enumerate(relations):
-        df = df.withColumn(f"l_{r}", linked(r, window_s, cap, (state,), also))  # the frame's rows carry the vectors
-        if gate is None:
-            df = df.withColumn(f"g_{r}", F.transform(f"l_{r}", lambda x: F.lit(1.0)))
-        else:
-            dot = lambda x: sum((F.lit(float(g)) * F.abs(F.get(x[state], F.lit(j)) - F.get(state, F.lit(j))) for j, g in enumerate(gate[k])), F.lit(0.0))  # noqa: B023, E731
-            df = df.withColumn(f"g_{r}", F.transform(f"l_{r}", lambda x: 1 / (1 + F.exp(-dot(x)))))
-        total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
-        n = F.greatest(total(F.col(f"g_{r}")), F.lit(1.0))
-        part = lambda j: total(F.zip_with(f"l_{r}", f"g_{r}", lambda x, g: F.get(x[state], F.lit(j)) * g)) / n  # noqa: B023, E731
-        df = df.withColumn(f"m_{r}", F.array(*[part(j) for j in range(dim)])).drop(f"l_{r}", f"g_{r}")
-    own = matmul(w_self, F.col(state))
-    parts = [matmul(w, F.col(f"m_{r}")) for r, w in zip(relations, w_rel)]
-    rows = [own[i] + float(bias[i]) + sum((F.lit(float(m)) * p[i] for m, p in zip(mix, parts)), F.lit(0.0)) for i in range(len(w_self))]
-    return df.withColumn(out, F.array(*[F.greatest(x, F.lit(0.0)) for x in rows])).drop(*[f"m_{r}" for r in relations])
+    own, shift, maps = np.array(w_self, float), np.array(bias, float), {r: float(m) * np.array(w, float) for r, w, m in zip(relations, w_rel, mix)}
+    dim, gates = own.shape[1], {} if gate is None else {r: np.array(g, float) for r, g in zip(relations, gate)}
+    long = sliced(_long(df.withColumn("x_", F.col(state)), relations, also, ("x_",)), window_s)
+    where = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in also]
+    grp = F.concat_ws("\x01", "rel", *where, F.col("slice_").cast("string"), "key")
+    dealt = long.select(grp.alias("grp"), "rel", "ts_s", "own_", "seq", F.col("x_").alias("x")).repartition("grp").sortWithinPartitions("grp", "ts_s", "seq")
+    means = dealt.mapInArrow(_means(dim, window_s, cap, gates), "seq long, grp string, rel string, m array<double>")
+    means = means.withColumn("also_", F.slice(F.split("grp", "\x01"), 2, len(also))).groupBy("seq", "also_").agg(F.collect_list("rel").alias("rels_"), F.flatten(F.collect_list("m")).alias("ms_"))
+
+    @F.pandas_udf("array<double>")
+    def combined(x: pd.Series, rels: pd.Series, ms: pd.Series) -> pd.Series:
+        z = np.stack(x.tolist()) @ own.T + shift
+        for i, (rel, m) in enumerate(zip(rels, ms)):
+            if rel is not None:
+                for r, v in zip(rel, np.asarray(m, float).reshape(-1, dim)):
+                    z[i] += maps[r] @ v
+        return pd.Series(np.maximum(z, 0).tolist())
+
+    got = df.withColumn("also_", F.array(*where).cast("array<string>")).join(means, ["seq", "also_"], "left")
+    return got.withColumn(out, combined(F.col(state), "rels_", "ms_")).drop("also_", "rels_", "ms_")

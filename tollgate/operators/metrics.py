@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .components import ensure_checkpoint
+
 COST_MISS, COST_FALSE = 73.0, 40.0
 
 
@@ -12,14 +14,26 @@ def alert(score: Column, threshold: float) -> Column:
     return F.coalesce(~F.isnan(score) & (score >= threshold), F.lit(False))
 
 
-def running(g: DataFrame, by: str, sums: tuple[str, ...], keys: tuple[str, ...] = (), parts: int = 128) -> DataFrame:
+#: Distinct values that one task takes running totals over.
+RANGE_ROWS = 100_000
+
+
+def running(g: DataFrame, by: str, sums: tuple[str, ...], keys: tuple[str, ...] = ()) -> DataFrame:
     """g, whose values of `by` are distinct (within keys), with upto_ and total_ of each summed column.
 
-    Values are dealt to ranges between approximate percentiles, as even as the values are; totals of the
-    ranges run in a window of at most parts + 1 rows a key, the values within a range in one of its own.
+    g is computed once. Up to RANGE_ROWS values, one window a key does. Beyond, values are dealt to
+    ranges between approximate percentiles, as many as the values call for; totals of the ranges
+    run in a window of a row a range, the values within a range in one of its own.
     """
+    ensure_checkpoint(g.sparkSession)
+    g = g.checkpoint()
+    parts = -(-g.count() // RANGE_ROWS)
+    if parts < 2:
+        w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+        upto = w.orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return g.select("*", *[F.sum(c).over(w).alias(f"total_{c}") for c in sums], *[F.sum(c).over(upto).alias(f"upto_{c}") for c in sums])
     marks = [i / parts for i in range(1, parts)]
-    cuts = g.groupBy(*keys).agg(F.percentile_approx(by, marks, 10_000).alias("cuts_"))
+    cuts = g.groupBy(*keys).agg(F.percentile_approx(by, marks, max(10_000, 8 * parts)).alias("cuts_"))
     cuts = g.join(cuts, list(keys)) if keys else g.join(F.broadcast(cuts))  # without keys one row
     d = cuts.withColumn("part_", F.size(F.filter(F.coalesce("cuts_", F.array()), lambda c: F.col(by) >= c))).drop("cuts_")
     ranges = d.groupBy(*keys, "part_").agg(*[F.sum(c).alias(f"sum_{c}") for c in sums])
@@ -31,9 +45,14 @@ def running(g: DataFrame, by: str, sums: tuple[str, ...], keys: tuple[str, ...]
     return d.select("*", *[(F.col(f"before_{c}") + F.sum(c).over(here)).alias(f"upto_{c}") for c in sums]).drop("part_", *[f"before_{c}" for c in sums])
 
 
+def scored(df: DataFrame, score: str) -> DataFrame:
+    """Rows with a score that can be ranked: null and NaN scores are left out."""
+    return df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+
+
 def average_precision(df: DataFrame, score: str, y: str) -> DataFrame:
-    """Step-wise: over distinct scores from the top, recall gained times precision. Null without positives."""
-    g = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(y).cast("long")).alias("p"), F.count("*").alias("n"))
+    """Step-wise: over distinct scores from the top, recall gained times precision. Null without positives. Rows without a score are left out."""
+    g = scored(df, score).groupBy(F.col(score).alias("s")).agg(F.sum(F.col(y).cast("long")).alias("p"), F.count("*").alias("n"))
     g = running(g, "s", ("p", "n")).withColumn("tp", F.col("total_p") - F.col("upto_p") + F.col("p")).withColumn("all", F.col("total_n") - F.col("upto_n") + F.col("n"))
     return g.agg(F.sum(F.when(F.col("total_p") > 0, F.col("p") / F.col("total_p") * F.col("tp") / F.col("all"))).alias("average_precision"))
 
@@ -59,7 +78,7 @@ def calibration_error(rel: DataFrame) -> DataFrame:
 
 def threshold_costs(df: DataFrame, score: str, y: str, c_miss: float = COST_MISS, c_false: float = COST_FALSE) -> DataFrame:
     """Cost of every candidate threshold (distinct scores to 4 places, half to even), applied to unrounded scores."""
-    s = df.select(F.col(score).alias("at"), F.col(y).cast("long").alias("y"))
+    s = scored(df, score).select(F.col(score).alias("at"), F.col(y).cast("long").alias("y"))
     marks = s.select(F.bround("at", 4).alias("at")).distinct().select("at", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("cand"))
     axis = s.groupBy("at").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"), F.lit(False).alias("cand")).unionByName(marks)
     axis = running(axis.groupBy("at").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.max("cand").alias("cand")), "at", ("p", "n")).where("cand")
@@ -107,13 +126,18 @@ def exact_quantiles(df: DataFrame, keys: tuple[str, ...], value: str, qs: tuple[
     Ranks come from running counts over ranges of values, so no task holds all values of a key.
     """
     g = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("x_")).agg(F.count("*").alias("m_"))
+    got = counted_quantiles(g, keys, qs)
+    return df.select(*keys).distinct().join(got, list(keys), "left") if keys else got
+
+
+def counted_quantiles(g: DataFrame, keys: tuple[str, ...], qs: tuple[float, ...]) -> DataFrame:
+    """As exact_quantiles, of values x_ that come with their counts m_."""
     r = running(g, "x_", ("m_",), keys)
     at = [(F.col("total_m_") - 1) * F.lit(q) for q in qs]
     holds = lambda rank: (F.col("upto_m_") > rank) & (F.col("upto_m_") - F.col("m_") <= rank)
     ends = r.groupBy(*keys).agg(*[F.max(F.when(holds(end(p)), F.col("x_"))).alias(f"{name}{i}") for i, p in enumerate(at) for name, end in (("low", F.floor), ("high", F.ceil))], F.max("total_m_").alias("total_m_"))
     between = lambda i, p: F.when(F.floor(p) == F.ceil(p), F.col(f"low{i}")).otherwise((F.ceil(p) - p) * F.col(f"low{i}") + (p - F.floor(p)) * F.col(f"high{i}"))
-    got = ends.select(*keys, F.array(*[between(i, p) for i, p in enumerate(at)]).alias("q"))
-    return df.select(*keys).distinct().join(got, list(keys), "left") if keys else got
+    return ends.select(*keys, F.array(*[between(i, p) for i, p in enumerate(at)]).alias("q"))
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -123,8 +147,10 @@ def quantiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def latency_percentiles(df: DataFrame, ms: str) -> DataFrame:
-    """p50, p95, p99 and mean of times in ms, and rows a second at one after another."""
-    return df.agg(*[F.percentile(ms, F.lit(q)).alias(f"p{round(q * 100)}") for q in (0.5, 0.95, 0.99)], F.avg(ms).alias("mean"), (F.count(ms) * 1000 / F.sum(ms)).alias("per_s"))
+    """p50, p95, p99 and mean of times in ms, and rows a second at one after another; exact, from running counts."""
+    g = df.where(F.col(ms).isNotNull()).groupBy(F.col(ms).cast("double").alias("x_")).agg(F.count("*").alias("m_"))
+    at = counted_quantiles(g, (), (0.5, 0.95, 0.99)).select(*[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("p50", "p95", "p99"))])
+    return at.join(F.broadcast(df.agg(F.avg(ms).alias("mean"), (F.count(ms) * 1000 / F.sum(ms)).alias("per_s"))))  # one row against one
 
 
 def against_baseline(runs: DataFrame, baseline: DataFrame, on: str = "seed", fp: str = "fp") -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.features import link_key
+
 
 def _span(agg: str, keys: list[str], window_s: float, ts: str = "ts_s") -> Column:
     """agg over [ts - window, ts] of the keys; the window may be a fraction of a second."""
@@ -22,10 +24,10 @@ def trailing_count(key, window_s: float, seq: str | list[str] = "seq", ts: str =
 def counts_by_entity(df: DataFrame, entities: tuple[str, ...], window_s: float) -> DataFrame:
     """seq, entity, c: the trailing count of each identifier that a row has.
 
-    One shuffle serves all entities; null identifiers never enter it, and a key's rows are
+    One shuffle serves all entities; identifiers that mark absence never enter it, and a key's rows are
     dealt by slices of the window, so a hot key is spread over its slices.
     """
-    one = [F.struct(F.lit(e).alias("entity"), F.col(e).cast("string").alias("key")) for e in entities]
+    one = [F.struct(F.lit(e).alias("entity"), link_key(df, e).alias("key")) for e in entities]
     long = df.select("seq", "ts_s", F.explode(F.array(*one)).alias("x")).select("seq", "ts_s", "x.*").where("key is not null")
     got = sliced(long, window_s).withColumn("c", trailing_count(["entity", "key", "slice_"], window_s))
     return got.where("own_").select("seq", "entity", "c")

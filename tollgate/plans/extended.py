@@ -58,6 +58,29 @@ def message_pass_gated_3(spark, d):
     return _net(spark, d, 3)
 
 
+# Links over values that mark absence in two of five rows: those rows have none.
+CLEAN_SQL = f"""{EV}, {catalog.DIRTY}, keys AS ({" UNION ALL ".join(f"SELECT '{r}' AS rel, {catalog.KEY_SQL.format(r)} AS key, seq, ts_s FROM dirty" for r in ("device_id", "ip_id", "bin_id"))}),
+rn AS (SELECT *, row_number() OVER (PARTITION BY rel, key ORDER BY ts_s, seq) AS rn FROM keys WHERE key IS NOT NULL),
+le AS (SELECT b.rel, b.key, a.seq AS src, b.seq AS dst FROM rn b JOIN rn a ON a.rel = b.rel AND a.key = b.key AND a.rn < b.rn AND a.rn >= b.rn - {CAP} AND a.ts_s >= b.ts_s - {DAY})"""
+
+
+@query(f"WITH {CLEAN_SQL} SELECT rel, src, dst FROM le")
+def edges_markers(spark, d):
+    return links.edges(catalog._dirty(spark, d), ("device_id", "ip_id", "bin_id"), DAY, CAP)
+
+
+@query(f"""WITH {CLEAN_SQL}, k AS (SELECT rel, key, dst AS seq, count(*) AS k FROM le GROUP BY 1, 2, 3), n AS (SELECT rel, key, count(*) AS n FROM rn GROUP BY 1, 2),
+s AS (SELECT seq, sum(k / ln(1 + n::DOUBLE)) AS s FROM k JOIN n USING (rel, key) GROUP BY 1) SELECT dirty.seq, round(coalesce(s, 0), 6) AS shared FROM dirty LEFT JOIN s USING (seq)""")
+def shared_entity_markers(spark, d):
+    return links.shared_entity_score(catalog._dirty(spark, d), ("device_id", "ip_id", "bin_id"), DAY, CAP).select("seq", _r("shared").alias("shared"))
+
+
+@query(f"""WITH {CLEAN_SQL}, c AS (SELECT rel, seq, count(*) OVER (PARTITION BY rel, key ORDER BY ts_s RANGE BETWEEN {DAY} PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY rel, key, ts_s) + row_number() OVER (PARTITION BY rel, key, ts_s ORDER BY seq) AS c FROM keys WHERE key IS NOT NULL)
+SELECT dirty.seq, CAST(coalesce(max(greatest(c - CASE rel WHEN 'device_id' THEN 2 WHEN 'ip_id' THEN 3 END, 0)), 0) AS BIGINT) AS velocity FROM dirty LEFT JOIN c ON c.seq = dirty.seq AND rel <> 'bin_id' GROUP BY 1""")
+def velocity_markers(spark, d):
+    return windows.multi_velocity(catalog._dirty(spark, d), {"device_id": 2, "ip_id": 3}, DAY).select("seq", F.col("velocity").cast("long"))
+
+
 SHARED = "round(sum(k / ln(1 + n::DOUBLE)), 6)"
 
 
@@ -131,19 +154,24 @@ def forecast_evaluation(spark, d):
     return got.select(*[c if c in ("n_snapshots", "median_abs_err_p50") else _r(c).alias(c) for c in got.columns])
 
 
-POLICY_SQL = f"""{EV}, {catalog.ACTION_SQL}, i AS (SELECT seq, (seq % 50 + 1) AS n_attempts, score AS risk, (seq % 40)::DOUBLE AS p50, (seq % 400)::DOUBLE AS p90, label = 1 AS is_true, (seq % 60)::DOUBLE AS remaining FROM ev),
-best AS (SELECT seq, arg_min(action, cost * 10 + ord) FILTER (who = 'c') AS c, arg_min(action, cost * 10 + ord) FILTER (who = 'o') AS o FROM (
-  SELECT i.seq, who, action, ord, round(friction + 9 * minutes + k * rem * 73 * (1 - stops) + (1 - k) * harm, 6) AS cost FROM i, a, LATERAL (SELECT 'c' AS who, risk AS k, p50 AS rem UNION ALL SELECT 'o', CASE WHEN is_true THEN 1.0::DOUBLE ELSE 0 END, remaining) WHERE ord < 4) GROUP BY 1),
-p AS (SELECT i.*, unnest(['always_allow', 'always_hold', 'event_thresholding', 'causal_policy', 'oracle_policy']) AS policy, unnest(['monitor', 'hold_review', CASE WHEN risk > 0.5 THEN 'step_up' ELSE 'monitor' END,
-  CASE WHEN c = 'monitor' AND p90 > 4 * greatest(p50, 1) AND risk > 0.5 THEN 'hold_review' ELSE c END, o]) AS action FROM i JOIN best USING (seq)),
-b AS (SELECT policy, friction + 9 * minutes + CASE WHEN is_true THEN remaining * 73 * (1 - stops) ELSE harm END AS bill, minutes, CASE WHEN policy = 'event_thresholding' THEN n_attempts * 0.5::DOUBLE ELSE 0 END AS triage FROM p JOIN a USING (action))"""
+POLICY_SQL = f"""{EV}, {catalog.ACTION_SQL},
+i AS (SELECT seq, (seq % 50 + 1) AS n_attempts, score AS risk, (seq % 400) / 2.0::DOUBLE AS p50, (seq % 1400)::DOUBLE AS p90, label = 1 AS is_true, CASE WHEN label = 1 THEN (seq % 60)::DOUBLE ELSE 0 END AS rem FROM ev),
+k AS (SELECT i.*, action, ord, friction + 9 * minutes + (1 - risk) * harm AS fixed, risk * 73 * (1 - stops) AS each FROM i, a WHERE ord < 4),
+c AS (SELECT seq, any_value(n_attempts) AS n_attempts, any_value(risk) AS risk, any_value(p50) AS p50, any_value(p90) AS p90, any_value(is_true) AS is_true, any_value(rem) AS rem,
+  min({{'cost': fixed + each * rem, 'ord': ord, 'action': action}}).action AS oracle, min({{'cost': fixed + each * round_even(p50, 0), 'ord': ord, 'action': action}}).action AS first FROM k GROUP BY seq),
+d AS (SELECT *, CASE WHEN p90 > greatest(p50, 1) * 4 AND risk > 0.5 AND first = 'monitor' THEN 'hold_review' ELSE first END AS causal FROM c),
+p AS (SELECT d.*, unnest(['always_allow', 'always_hold', 'event_thresholding', 'causal_policy', 'oracle_policy']) AS policy, unnest(['monitor', 'hold_review', causal, causal, oracle]) AS action FROM d),
+g AS (SELECT policy, count(*) FILTER (action <> 'monitor') AS incidents_actioned, count(*) FILTER (action <> 'monitor' AND NOT is_true) AS false_incidents, sum(CASE WHEN is_true THEN rem * stops ELSE 0 END) AS stopped, sum(minutes) AS own,
+  sum(n_attempts) AS alerts, sum(friction + 9 * minutes + CASE WHEN is_true THEN rem * 73 * (1 - stops) ELSE harm END) AS bill, count(*) FILTER (action = oracle) AS same, count(*) AS formed FROM p JOIN a USING (action) GROUP BY policy),
+t AS (SELECT *, CASE WHEN policy = 'event_thresholding' THEN alerts * 0.5::DOUBLE ELSE own END AS mins, round(bill + CASE WHEN policy = 'event_thresholding' THEN alerts * 0.5::DOUBLE * 9 ELSE 0 END, 2) AS cost FROM g)"""
 
 
-@query(f"WITH {POLICY_SQL} SELECT policy, round(sum(bill + 9 * triage), 2) AS cost, round(sum(minutes + triage), 2) AS minutes, count(*) AS n FROM b GROUP BY 1")
+@query(f"""WITH {POLICY_SQL} SELECT policy, incidents_actioned, false_incidents, CAST(round_even(stopped, 0) AS BIGINT) AS campaign_attempts_stopped, round(mins, 1) AS analyst_minutes, cost AS merchant_cost,
+  round(cost - (SELECT cost FROM t WHERE policy = 'oracle_policy'), 2) AS regret_vs_oracle, same AS actions_matching_oracle, CAST(alerts AS BIGINT) AS events_alerted, formed AS incidents_formed FROM t""")
 def policy_costs(spark, d):
     s = F.col("seq")
-    inc = _ev(spark, d).select(s.alias("component"), (s % 50 + 1).alias("n_attempts"), F.col("score").alias("risk"), (s % 40).cast("double").alias("p50"), (s % 400).cast("double").alias("p90"), (F.col("label") == 1).alias("is_true"), (s % 60).cast("double").alias("remaining"))
-    return policies.evaluate(inc).select("policy", _r("cost", 2).alias("cost"), _r("minutes", 2).alias("minutes"), "n")
+    inc = _ev(spark, d).select(s.alias("component"), (s % 50 + 1).alias("n_attempts"), F.col("score").alias("risk"), ((s % 400) / F.lit(2.0)).alias("p50"), (s % 1400).cast("double").alias("p90"), (F.col("label") == 1).alias("is_true"), (s % 60).cast("double").alias("remaining"))
+    return policies.evaluate(inc)
 
 
 @query(f"""WITH {EV}, e AS (SELECT (score >= 0.2)::INT + (score >= 0.4)::INT + (score >= 0.6000000000000001::DOUBLE)::INT + (score >= 0.8)::INT AS bin, score, label FROM ev)

@@ -67,7 +67,12 @@ def word_order(docs: DataFrame, text_col="text") -> list[str]:
 
 
 def block_scores(low: Column, order: list[str], threshold: float = THRESHOLD) -> Column:
-    """Array of (label, containment) of the matches of lines and windows, for a lowered text."""
+    """Array of (label, containment) of the matches of blocks, for a lowered text.
+
+    A block is as many words in a row as a template has, a quarter more at threshold 0.8, so a long
+    line does not collect a template's words from afar. Lines no longer than that are blocks that go through the join's
+    filters; windows of words cover longer lines and line ends.
+    """
     rank = {w: i for i, w in enumerate(order)}
     plans = {}
     for label, ws in _template_words().items():
@@ -76,6 +81,8 @@ def block_scores(low: Column, order: list[str], threshold: float = THRESHOLD) ->
         plans[label] = (ws, need)
     prefix = sorted({w for ws, need in plans.values() for w in ws[:len(ws) - need + 1]})
     least = min(need for _, need in plans.values())
+    window = lambda label: math.ceil(len(re.findall(WORD, TEMPLATES[label])) / threshold - 1e-9)
+    longest = max(map(window, plans))
     # Lines with a prefix word, before any is split into words.
     some = "(?<!" + WORD[:-1] + ")(?:" + "|".join(prefix) + ")(?!" + WORD[:-1] + ")"
     lines = F.filter(F.split(low, "\n"), lambda x: x.rlike(some))
@@ -85,26 +92,27 @@ def block_scores(low: Column, order: list[str], threshold: float = THRESHOLD) ->
         are left out), then per template the length, prefix and positional filters before any full intersection."""
         words = F.array_intersect(F.array(*map(F.lit, order)), F.regexp_extract_all(line, F.lit(WORD), F.lit(0)))
         none = F.array().cast("array<struct<label:string,containment:double>>")
-        return F.when(words_in(line) >= least, let(words, lambda held: F.filter(F.array(*[joined(held, label, *plan) for label, plan in plans.items()]), lambda x: x.isNotNull()))).otherwise(none)
+        every = lambda n: let(words, lambda held: F.filter(F.array(*[joined(held, n, label, *plan) for label, plan in plans.items()]), lambda x: x.isNotNull()))
+        return let(words_in(line), lambda n: F.when((n >= least) & (n <= longest), every(n)).otherwise(none))
 
     def words_in(line: Column) -> Column:
         return F.regexp_count(line, F.lit(WORD))
 
-    def joined(held: Column, label: str, ws: list[str], need: int) -> Column:
+    def joined(held: Column, n_words: Column, label: str, ws: list[str], need: int) -> Column:
         head = F.array(*map(F.lit, ws[:len(ws) - need + 1]))
         first = F.array_position(held, F.get(F.array_intersect(head, held), F.lit(0)))  # null without a prefix word
-        fits = F.when(F.size(held) >= need, F.size(held) - first + 1 >= need)  # the rest of the block, from its first match on
+        fits = F.when((n_words <= window(label)) & (F.size(held) >= need), F.size(held) - first + 1 >= need)  # the rest of the block, from its first match on
         n = F.size(F.array_intersect(F.array(*map(F.lit, ws)), held))
         return F.when(fits, let(n, lambda n: F.when(n >= need, F.struct(F.lit(label).alias("label"), (n / F.lit(float(len(ws)))).alias("containment")))))
 
     def windows(words: Column) -> Column:
-        """The best windows at prefix words; those within a line give no more than the line does."""
+        """The best windows at prefix words; those within a short line give no more than the line does."""
         at = F.filter(F.transform(words, lambda w, i: F.when(w.isin(*prefix), i + 1)), lambda i: i.isNotNull())
         return let(at, lambda at: F.flatten(F.array(*[near(words, at, label, *plan) for label, plan in plans.items()])))
 
     def near(words: Column, at: Column, label: str, ws: list[str], need: int) -> Column:
         t = F.array(*map(F.lit, ws))
-        size = math.ceil(len(re.findall(WORD, TEMPLATES[label])) / threshold - 1e-9)
+        size = window(label)
         start = lambda i: F.greatest(i - size + 1, F.lit(1))
         held = lambda a, n: F.size(F.array_intersect(t, F.slice(words, a, F.lit(n))))
         at = F.filter(at, lambda i: F.element_at(words, i).isin(*ws[:len(ws) - need + 1]) & (held(start(i), 2 * size - 1) >= need))
@@ -112,7 +120,7 @@ def block_scores(low: Column, order: list[str], threshold: float = THRESHOLD) ->
         return F.transform(F.filter(best, lambda n: n >= need), lambda n: F.struct(F.lit(label).alias("label"), (n / F.lit(float(len(ws)))).alias("containment")))
 
     def both(lines: Column) -> Column:
-        wrapped = F.when((F.size(lines) > 0) & low.contains("\n"), let(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)), windows))
+        wrapped = F.when(F.size(lines) > 0, let(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)), windows))
         found = F.flatten(F.transform(lines, scores))
         return F.concat(found, F.coalesce(wrapped, F.array().cast("array<struct<label:string,containment:double>>")))
 
@@ -123,7 +131,7 @@ def scan(docs: DataFrame, id_col="doc_id", text_col="text", threshold: float = T
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Null and empty texts have no words and no labels (empty strings) and score 0. Words are
-    numbered from 0. score is the best containment of a template in a block, 1 where a base
+    numbered from 0; texts may be of any length. score is the best containment of a template in a block, 1 where a base
     phrase stands. Repeated rows give repeated rows; a null id is kept.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -56,15 +56,20 @@ def test_sketch_never_underestimates(spark):
     assert sketch.memory_bytes() == 2048 * 4 * 8 * 8
 
 
-def test_drift_monitor(spark):
-    base = [drift.signature(g.inject(g.background(spark, 1500, s), [])) for s in (1, 2, 3)]
-    m = drift.DriftMonitor().fit(base)
-    assert len(m.null) == 6 and m.null[0] <= m.threshold <= m.null[-1]
-    assert not m.check(base[0])["drifted"]
-    plain = m.check(drift.signature(g.inject(g.background(spark, 1500, 9), [])))
-    bad = m.check(drift.signature(g.inject(g.background(spark, 1500, 9, shapes={**g.SHAPES, "device_id": (0.01, 0.9)}), [])))
-    assert bad["drifted"] and bad["psi"] > 2 * plain["psi"] and bad["largest_shift"] == "reuse_device" and bad["reuse_vs_base"]["reuse_device"] > 2
-    assert drift.DriftMonitor().check(base[0])["drifted"] is False
+def test_stored_profile(spark, tmp_path):
+    """A profile is built stream by stream, appended and read back; no base stream is needed after."""
+    for k in (1, 2, 3):
+        drift.profile(drift.signature(g.inject(g.background(spark, 1500, k), [])), F.lit(f"base{k}")).write.mode("append").parquet(f"{tmp_path}/profile")
+    base = spark.read.parquet(f"{tmp_path}/profile")
+    limit = drift.threshold(base).checkpoint()
+    null = [r.psi for r in drift.null_scores(base).collect()]
+    assert len(null) == 6 and abs(limit.first()[0] - float(np.quantile(null, 0.95))) < 1e-9
+    check = lambda d: drift.check(base, limit, drift.signature(d)).first()
+    assert not check(g.inject(g.background(spark, 1500, 1), [])).drifted
+    plain = check(g.inject(g.background(spark, 1500, 9), []))
+    bad = check(g.inject(g.background(spark, 1500, 9, shapes={**g.SHAPES, "device_id": (0.01, 0.9)}), []))
+    assert bad.drifted and bad.psi > 2 * plain.psi and bad.largest_shift == "reuse_device" and bad.reuse_vs_base["reuse_device"] > 2 and set(bad.per_feature) == set(drift.FEATURES)
+    assert drift.threshold(base.limit(0)).first()[0] == float("inf") and not drift.check(base.limit(0), drift.threshold(base.limit(0)), drift.signature(g.inject(g.background(spark, 300, 2), []))).first().drifted
 
 
 def test_boosted_trees(spark, stream):

@@ -31,10 +31,14 @@ def sessions(df: DataFrame, alert: Column, relations: tuple[str, ...], gap_s: fl
 
 def incidents(df: DataFrame, alert: Column, relations: tuple[str, ...], gap_s: float = 900.0, share: float = 0.02) -> DataFrame:
     """Per component of linked alerts: members and their sums; an alert without links is its own."""
+    return summarise(members(df, alert, relations, gap_s, share))
+
+
+def members(df: DataFrame, alert: Column, relations: tuple[str, ...], gap_s: float = 900.0, share: float = 0.02) -> DataFrame:
+    """The alerts of df, each with its component."""
     s = sessions(df, alert, relations, gap_s, share)
     comp = label(s.select("seq", F.concat_ws("|", "rel", "value", F.col("session").cast("string")).alias("grp")))
-    a = df.withColumn("a_", alert).where("a_").join(comp, "seq", "left").withColumn("component", F.coalesce("component", "seq"))
-    return summarise(a)
+    return df.withColumn("a_", alert).where("a_").drop("a_").join(comp, "seq", "left").withColumn("component", F.coalesce("component", "seq"))
 
 
 def summarise(a: DataFrame) -> DataFrame:
@@ -123,6 +127,13 @@ def snapshot_features(a: DataFrame, sizes=SNAPSHOT_SIZES) -> DataFrame:
                     (m / F.greatest(F.col("n_devices") + F.col("n_ips") + F.col("n_bins"), F.lit(1.0))).alias("entity_density"), "remaining", "t_snapshot")
 
 
+def build_snapshots(df: DataFrame, stream: str, alert: Column, relations: tuple[str, ...], gap_s: float = 900.0, share: float = 0.02, sizes=SNAPSHOT_SIZES) -> DataFrame:
+    """snapshot_features of a stream's incidents, with incident_id (the stream, then the number), so that several streams' snapshots can be put together."""
+    a = members(df, alert, relations, gap_s, share).checkpoint()
+    ids = numbered(a.groupBy("component").agg(F.min("ts_s").alias("t_start"))).select("component", F.concat_ws(":", F.lit(stream), "incident_id").alias("incident_id"))
+    return snapshot_features(a, sizes).join(ids, "component")
+
+
 def numbered(inc: DataFrame, slice_s: float = 86_400.0) -> DataFrame:
     """Incidents with incident_id, INC-000 on, by start, then least member; slices of time are numbered apart."""
     d = inc.withColumn("slice_", F.floor(F.col("t_start") / slice_s))

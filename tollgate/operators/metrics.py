@@ -50,11 +50,11 @@ def scored(df: DataFrame, score: str) -> DataFrame:
     return df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
 
 
-def average_precision(df: DataFrame, score: str, y: str) -> DataFrame:
-    """Step-wise: over distinct scores from the top, recall gained times precision. Null without positives. Rows without a score are left out."""
-    g = scored(df, score).groupBy(F.col(score).alias("s")).agg(F.sum(F.col(y).cast("long")).alias("p"), F.count("*").alias("n"))
-    g = running(g, "s", ("p", "n")).withColumn("tp", F.col("total_p") - F.col("upto_p") + F.col("p")).withColumn("all", F.col("total_n") - F.col("upto_n") + F.col("n"))
-    return g.agg(F.sum(F.when(F.col("total_p") > 0, F.col("p") / F.col("total_p") * F.col("tp") / F.col("all"))).alias("average_precision"))
+def average_precision(df: DataFrame, score: str, y: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Step-wise, within keys: over distinct scores from the top, recall gained times precision. Null without positives. Rows without a score are left out."""
+    g = scored(df, score).groupBy(*keys, F.col(score).alias("s")).agg(F.sum(F.col(y).cast("long")).alias("p"), F.count("*").alias("n"))
+    g = running(g, "s", ("p", "n"), keys).withColumn("tp", F.col("total_p") - F.col("upto_p") + F.col("p")).withColumn("all", F.col("total_n") - F.col("upto_n") + F.col("n"))
+    return g.groupBy(*keys).agg(F.sum(F.when(F.col("total_p") > 0, F.col("p") / F.col("total_p") * F.col("tp") / F.col("all"))).alias("average_precision"))
 
 
 def bin_of(score: Column, bins: int) -> Column:

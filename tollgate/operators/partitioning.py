@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .links import edges, shared_entity_score
+from .metrics import COST_FALSE, COST_MISS, average_precision
+
 
 def shard(strategy: str, n: int) -> Column:
     if n == 1:
@@ -44,3 +47,32 @@ def score_sharded(df: DataFrame, shards: DataFrame, scorer, out: str = "score")
     0 at least, and how many copies it had."""
     got = scorer(df.join(shards.select("seq", "shard"), "seq"), ("shard",))
     return got.groupBy("seq").agg(F.greatest(F.max(out), F.lit(0.0)).alias(out), F.count("*").alias("copies"))
+
+
+def routed(df: DataFrame, shards: dict[str, Column]) -> DataFrame:
+    """seq, routing, shard: every row under each named way to route it."""
+    return df.select("seq", F.explode(F.array(*[F.struct(F.lit(n).alias("routing"), c.cast("int").alias("shard")) for n, c in shards.items()])).alias("x")).select("seq", "x.*")
+
+
+def sweep(df: DataFrame, placed: DataFrame, relations: tuple[str, ...], threshold: float, window_s: float, cap: int = 32, y: str = "label") -> DataFrame:
+    """A row a routing: what the shared-entity score of each shard's own links detects, what of the whole stream's links is left, and how even shards are.
+
+    placed has seq, routing, shard, a row for each place (several under replication: the best score
+    counts, and a link is left if its ends meet anywhere). All routings go through one link job,
+    kept apart by a key, and metrics are groups of it; nothing is run once a routing.
+    """
+    rows = df.join(placed, "seq")
+    got = shared_entity_score(rows, relations, window_s, cap, ("routing", "shard")).groupBy("routing", "seq").agg(F.max("shared").alias("score"), F.first(y).alias("y"))
+    hit = F.col("score") >= threshold
+    quality = got.groupBy("routing").agg(F.count_if(hit & (F.col("y") == 1)).alias("tp"), F.count_if(hit & (F.col("y") != 1)).alias("false_positives"), F.count_if(~hit & (F.col("y") == 1)).alias("missed"), F.count("*").alias("rows"))
+    e = edges(df, relations, window_s, cap)
+    end = lambda n: placed.select("routing", "shard", F.col("seq").alias(n))
+    left = e.join(end("src"), "src").join(end("dst"), ["dst", "routing", "shard"]).select("routing", "rel", "src", "dst").distinct().groupBy("routing").agg(F.count("*").alias("left"), *[F.count_if(F.col("rel") == r).alias(f"left_{r}") for r in relations])
+    whole = e.agg(F.count("*").alias("all"), *[F.count_if(F.col("rel") == r).alias(f"all_{r}") for r in relations])  # one row
+    load = placed.groupBy("routing", "shard").agg(F.count("*").alias("n")).groupBy("routing").agg(F.max("n").alias("most"), F.sum("n").alias("places"))
+    d = quality.join(average_precision(got, "score", "y", ("routing",)), "routing").join(load, "routing").join(left, "routing", "left").join(F.broadcast(whole))
+    share = lambda part, of: F.coalesce(F.col(part), F.lit(0)) / F.greatest(F.col(of), F.lit(1))
+    return d.select("routing", F.round("average_precision", 4).alias("pr_auc"), F.round(F.coalesce(F.try_divide("tp", F.col("tp") + F.col("false_positives")), F.lit(0.0)), 4).alias("precision"),
+                    F.round(F.coalesce(F.try_divide("tp", F.col("tp") + F.col("missed")), F.lit(0.0)), 4).alias("recall"), "false_positives", "missed", F.round(F.col("missed") * COST_MISS + F.col("false_positives") * COST_FALSE, 1).alias("decision_cost"),
+                    F.round(share("left", "all"), 4).alias("edges_kept"), *[F.round(share(f"left_{r}", f"all_{r}"), 4).alias(f"{r[:-3]}_edges_kept") for r in relations],
+                    F.round(F.col("most") / F.col("rows"), 4).alias("largest_shard_share"), F.round(F.col("places") / F.col("rows"), 3).alias("duplication"))

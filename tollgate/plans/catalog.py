@@ -324,10 +324,16 @@ def shared_label_values(spark, d):
 
 
 RELS = ("device_id", "ip_id", "bin_id", "email_domain")
-LONG_SQL = f"""{EV}, long AS ({' UNION ALL '.join(f"SELECT seq, ts_s, score, '{r}' AS rel, {r} AS value FROM ev" for r in RELS)}),
+
+
+def _long_sql(rels, gap):
+    return f"""{EV}, long AS ({' UNION ALL '.join(f"SELECT seq, ts_s, score, '{r}' AS rel, {r} AS value FROM ev" for r in rels)}),
 often AS (SELECT rel, value FROM long GROUP BY 1, 2 HAVING count(*) > greatest(0.02::DOUBLE * (SELECT count(*) FROM ev), 1)),
 lk AS (SELECT seq, rel, value, ts_s - lag(ts_s) OVER (PARTITION BY rel, value ORDER BY ts_s, seq) AS gap, ts_s FROM long WHERE score >= 0.9::DOUBLE AND (rel, value) NOT IN (SELECT (rel, value) FROM often)),
-sess AS (SELECT seq, rel, value, CAST(sum(CASE WHEN gap > {LINK} THEN 1 ELSE 0 END) OVER (PARTITION BY rel, value ORDER BY ts_s, seq) AS BIGINT) AS session FROM lk)"""
+sess AS (SELECT seq, rel, value, CAST(sum(CASE WHEN gap > {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY rel, value ORDER BY ts_s, seq) AS BIGINT) AS session FROM lk)"""
+
+
+LONG_SQL = _long_sql(RELS, LINK)
 
 
 @query(f"WITH {LONG_SQL} SELECT seq, rel, value, session FROM sess")
@@ -341,16 +347,17 @@ def link_cap_values(spark, d):
 
 
 # Components by a recursive walk from every alert over shared sessions.
-INC_SQL = f"""RECURSIVE {LONG_SQL}, pairs AS (SELECT DISTINCT a.seq AS a, b.seq AS b FROM sess a JOIN sess b USING (rel, value, session)),
+def _inc_sql(rels, gap):
+    return f"""RECURSIVE {_long_sql(rels, gap)}, pairs AS (SELECT DISTINCT a.seq AS a, b.seq AS b FROM sess a JOIN sess b USING (rel, value, session)),
 walk AS (SELECT DISTINCT seq AS root, seq FROM sess UNION SELECT walk.root, pairs.b FROM walk JOIN pairs ON pairs.a = walk.seq),
 comp AS (SELECT seq, min(root) AS component FROM walk GROUP BY 1),
 al AS (SELECT ev.*, coalesce(comp.component, ev.seq) AS component FROM ev LEFT JOIN comp USING (seq) WHERE score >= 0.9::DOUBLE),
 inc AS (SELECT component, count(*) AS n_attempts, min(ts_s) AS t_start, max(ts_s) AS t_end, count(DISTINCT device_id) AS n_devices, count(DISTINCT ip_id) AS n_ips, count(DISTINCT bin_id) AS n_bins,
   avg(score) AS mean_score, max(score) AS max_score, avg(label::DOUBLE) AS campaign_share FROM al GROUP BY 1)"""
-INC_RELS = ("device_id", "ip_id")
-_INC = INC_SQL.replace(LONG_SQL, LONG_SQL.replace(" UNION ALL ".join(f"SELECT seq, ts_s, score, '{r}' AS rel, {r} AS value FROM ev" for r in RELS), " UNION ALL ".join(f"SELECT seq, ts_s, score, '{r}' AS rel, {r} AS value FROM ev" for r in INC_RELS)))
-GAP = 3600.0
-_INC = _INC.replace(f"gap > {LINK}", f"gap > {GAP}")
+
+
+INC_RELS, GAP = ("device_id", "ip_id"), 3600.0
+_INC = _inc_sql(INC_RELS, GAP)
 
 
 def _incidents(spark, d):

@@ -82,21 +82,20 @@ def relations(spark: SparkSession) -> DataFrame:
 
 
 def sharding(spark: SparkSession) -> DataFrame:
+    """All strategies and numbers of shards in one sweep."""
     d = campaign_stream(spark)
-    e, out = links.edges(d, MODEL_RELATIONS, WINDOW_S), []
-    for n in SHARDS:
-        for how in ("random", "bin_id", "device_id"):
-            kept = partitioning.edges_preserved(e, d.select("seq", partitioning.shard(how, n).alias("shard")))
-            out.append(kept.agg((F.sum("kept") / F.sum("edges")).alias("share")).select(F.lit(how).alias("strategy"), F.lit(n).alias("shards"), "share"))
-    return _union(out)
+    placed = partitioning.routed(d, {f"{how}/{n}": partitioning.shard(how, n) for n in SHARDS for how in ("random", "bin_id", "device_id")})
+    return partitioning.sweep(d, placed, MODEL_RELATIONS, 20.0, WINDOW_S)
 
 
 def replicate(spark: SparkSession) -> DataFrame:
-    d, out = campaign_stream(spark), []
+    """Routing by BIN, without and with replication of shared devices and addresses."""
+    d = campaign_stream(spark)
+    placed = partitioning.routed(d, {"bin_id": partitioning.shard("bin_id", 8)})
     for least in (2, 4):
         p = partitioning.placements(d, partitioning.shard("bin_id", 8), {c: partitioning.shard(c, 8) for c in ("device_id", "ip_id")}, least)
-        out.append(p.agg((F.count("*") / F.count_distinct("seq")).alias("duplication")).select(F.lit(least).alias("least"), "duplication"))
-    return _union(out)
+        placed = placed.unionByName(p.select("seq", F.lit(f"bin_id, copies from {least} on").alias("routing"), F.col("shard").cast("int").alias("shard")))
+    return partitioning.sweep(d, placed, MODEL_RELATIONS, 20.0, WINDOW_S)
 
 
 def aperture(spark: SparkSession) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import forecast, incidents, links, metrics, partitioning, policies, windows
-from ..sources import attempts
+from ..operators import drift, forecast, incidents, links, metrics, partitioning, policies, windows
+from ..functions import features
+from ..sources import attempts, json_lines
 from . import catalog
 from .catalog import CAP, DAY, ENTITIES, EV, LINK, _edges, _edges_sql, _ev, _r
 
@@ -120,23 +121,41 @@ def edges_surviving_replication(spark, d):
 
 
 # Snapshots of long groups: every user's events stand for an incident.
-GROUP_SQL = f"""{EV}, rk AS (SELECT *, CAST(substr(device_id, 2) AS BIGINT) AS component, row_number() OVER (PARTITION BY device_id ORDER BY ts_s, seq) AS rn, count(*) OVER (PARTITION BY device_id) AS len FROM ev),
-m AS (SELECT unnest([{', '.join(map(str, incidents.SNAPSHOT_SIZES))}]) AS m), x AS (SELECT rk.*, m, greatest(m // 2, 1) AS half FROM rk, m WHERE m < len AND rn <= m),
+SNAP_SQL = f"""m AS (SELECT unnest([{', '.join(map(str, incidents.SNAPSHOT_SIZES))}]) AS m), x AS (SELECT rk.*, m, greatest(m // 2, 1) AS half FROM rk, m WHERE m < len AND rn <= m),
 g AS (SELECT component, m, max(half)::DOUBLE AS half, min(ts_s) AS t0, max(ts_s) AS t1, max(CASE WHEN rn = half THEN ts_s END) AS th, avg(score) AS ms, avg(CASE WHEN rn > half THEN score END) AS late, avg(CASE WHEN rn <= half THEN score END) AS early,
   avg(CASE WHEN approved THEN 0.0::DOUBLE ELSE 1 END) AS dr, count(DISTINCT device_id)::DOUBLE AS nd, count(DISTINCT ip_id)::DOUBLE AS ni, count(DISTINCT bin_id)::DOUBLE AS nb, (max(len) - m)::DOUBLE AS remaining FROM x GROUP BY 1, 2)"""
+SNAP_COLS = """component, m, m::DOUBLE AS n_observed, round(ln(1 + m::DOUBLE), 6) AS log_n, round(t1 - t0, 6) AS age_s, round(ln(1 + t1 - t0), 6) AS log_age, round(m / greatest(t1 - t0, 1), 6) AS rate,
+round(half / greatest(t1 - th, 1e-6::DOUBLE) / greatest(half / greatest(th - t0, 1e-6::DOUBLE), 1e-9::DOUBLE), 4) AS rate_trend, round(ms, 6) AS mean_score, round(coalesce(late - early, 0), 6) AS score_trend, round(dr, 6) AS decline_ratio,
+nd AS n_devices, ni AS n_ips, nb AS n_bins, round(m / greatest(nd + ni + nb, 1), 6) AS entity_density, remaining, round(t1, 6) AS t_snapshot"""
+GROUP_SQL = f"""{EV}, rk AS (SELECT *, CAST(substr(device_id, 2) AS BIGINT) AS component, row_number() OVER (PARTITION BY device_id ORDER BY ts_s, seq) AS rn, count(*) OVER (PARTITION BY device_id) AS len FROM ev), {SNAP_SQL}"""
+# Incidents over all four relations, linked up to a day apart, so that alerts do merge.
+MERGED_SQL = catalog._inc_sql(catalog.RELS, DAY)
 
 
 def _groups(spark, d):
     return _ev(spark, d).withColumn("component", F.substring("device_id", 2, 20).cast("long"))
 
 
-@query(f"""WITH {GROUP_SQL} SELECT component, m, m::DOUBLE AS n_observed, round(ln(1 + m::DOUBLE), 6) AS log_n, round(t1 - t0, 6) AS age_s, round(ln(1 + t1 - t0), 6) AS log_age, round(m / greatest(t1 - t0, 1), 6) AS rate,
-round(half / greatest(t1 - th, 1e-6::DOUBLE) / greatest(half / greatest(th - t0, 1e-6::DOUBLE), 1e-9::DOUBLE), 4) AS rate_trend, round(ms, 6) AS mean_score, round(coalesce(late - early, 0), 6) AS score_trend, round(dr, 6) AS decline_ratio,
-nd AS n_devices, ni AS n_ips, nb AS n_bins, round(m / greatest(nd + ni + nb, 1), 6) AS entity_density, remaining, round(t1, 6) AS t_snapshot FROM g""")
-def snapshot_features(spark, d):
-    got = incidents.snapshot_features(_groups(spark, d))
+def _snapshot_columns(got, *more):
     six = ("age_s", "log_n", "log_age", "rate", "mean_score", "score_trend", "decline_ratio", "entity_density", "t_snapshot")
-    return got.select("component", "m", "n_observed", *[_r(c).alias(c) for c in six], _r("rate_trend", 4).alias("rate_trend"), "n_devices", "n_ips", "n_bins", "remaining")
+    return got.select("component", "m", "n_observed", *[_r(c).alias(c) for c in six], _r("rate_trend", 4).alias("rate_trend"), "n_devices", "n_ips", "n_bins", "remaining", *more)
+
+
+@query(f"WITH {GROUP_SQL} SELECT {SNAP_COLS} FROM g")
+def snapshot_features(spark, d):
+    return _snapshot_columns(incidents.snapshot_features(_groups(spark, d)))
+
+
+@query(f"WITH {MERGED_SQL} SELECT component, n_attempts, round(t_start, 6) AS t_start, round(t_end, 6) AS t_end, n_devices, n_ips, n_bins, round(mean_score, 6) AS mean_score, max_score, round(campaign_share, 6) AS campaign_share, campaign_share >= 0.5::DOUBLE AS is_true FROM inc")
+def incidents_merged(spark, d):
+    got = incidents.incidents(_ev(spark, d), catalog._alert(), catalog.RELS, DAY)
+    return got.select("component", "n_attempts", _r("t_start").alias("t_start"), _r("t_end").alias("t_end"), "n_devices", "n_ips", "n_bins", _r("mean_score").alias("mean_score"), "max_score", _r("campaign_share").alias("campaign_share"), "is_true")
+
+
+@query(f"""WITH {MERGED_SQL}, rk AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY ts_s, seq) AS rn, count(*) OVER (PARTITION BY component) AS len FROM al), {SNAP_SQL},
+ids AS (SELECT component, format('events:INC-{{:03d}}', row_number() OVER (ORDER BY t_start, component) - 1) AS incident_id FROM inc) SELECT {SNAP_COLS}, incident_id FROM g JOIN ids USING (component)""")
+def snapshots_merged(spark, d):
+    return _snapshot_columns(incidents.build_snapshots(_ev(spark, d), "events", catalog._alert(), catalog.RELS, DAY), "incident_id")
 
 
 FORECAST_SQL = f"{EV}, f AS (SELECT (seq % 60)::DOUBLE AS remaining, (seq % 40)::DOUBLE AS p50, (seq % 40 + seq % 25)::DOUBLE AS p90 FROM ev)"
@@ -244,3 +263,68 @@ def option_costs(spark, d):
     got = incidents.option_costs(catalog._grid(spark, d), "seq")
     pairs = F.transform(F.array_sort(F.map_entries("costs")), lambda x: F.concat(x["key"], F.lit("="), F.round(F.round(x["value"], 6)).cast("long").cast("string")))
     return got.select("seq", F.array_join(pairs, ",").alias("options"))
+
+
+# Base streams by the rest of seq by 3 (1 and 2), halves by what comes before it; the live stream has rest 0.
+DRIFT_SQL = f"""{catalog.SIG_SQL}, lv AS ({' UNION ALL '.join(f"SELECT seq, '{f}' AS feature, {f} AS x FROM sig" for f in drift.FEATURES)}),
+v AS (SELECT 'h' || (seq % 3) AS cmp, feature, x, ((seq // 3) % 2 = 0)::INT AS b, ((seq // 3) % 2 = 1)::INT AS l FROM lv WHERE seq % 3 <> 0
+  UNION ALL SELECT 'p' || s, feature, x, 1, 0 FROM lv, (SELECT unnest([1, 2]) AS s) WHERE seq % 3 <> 0 UNION ALL SELECT 'p' || (seq % 3), feature, x, 0, 1 FROM lv WHERE seq % 3 <> 0
+  UNION ALL SELECT 'live', feature, x, (seq % 3 <> 0)::INT, (seq % 3 = 0)::INT FROM lv),
+e AS (SELECT cmp, feature, list_sort(list_distinct([{', '.join(f'quantile_cont(x, {i / 10})' for i in range(11))}])) AS e FROM v WHERE b = 1 GROUP BY ALL),
+h AS (SELECT cmp, feature, len(list_filter(e.e[2:len(e.e) - 1], lambda y: v.x >= y)) AS bin, len(e.e) AS edges, sum(b) AS b, sum(l) AS l FROM v JOIN e USING (cmp, feature) GROUP BY ALL),
+s AS (SELECT cmp, feature, edges, greatest(b / sum(b) OVER (PARTITION BY cmp, feature)::DOUBLE, 1e-4::DOUBLE) AS b, greatest(l / sum(l) OVER (PARTITION BY cmp, feature)::DOUBLE, 1e-4::DOUBLE) AS l FROM h),
+f AS (SELECT cmp, feature, sum(CASE WHEN edges >= 3 THEN (l - b) * ln(l / b) ELSE 0 END) AS psi FROM s GROUP BY ALL),
+o AS (SELECT cmp, sum(psi) / 6 AS psi FROM f GROUP BY cmp), t AS (SELECT quantile_cont(psi, 0.95) AS threshold FROM o WHERE cmp <> 'live'),
+r AS (SELECT feature, round(avg(x) FILTER (seq % 3 = 0) / avg(x) FILTER (seq % 3 <> 0), 2) AS ratio FROM lv GROUP BY feature)"""
+
+
+@query(f"""WITH {DRIFT_SQL} SELECT round(psi, 4) AS psi, round(threshold, 4) AS threshold, psi > threshold AS drifted, round(psi / threshold, 2) AS ratio, (SELECT arg_max(feature, psi) FROM f WHERE cmp = 'live') AS largest_shift,
+{', '.join(f"(SELECT ratio FROM r WHERE feature = '{c}') AS {c}" for c in drift.REUSE)} FROM o, t WHERE cmp = 'live'""")
+def drift_check(spark, d):
+    s = drift.signature(_ev(spark, d))
+    rest = F.col("seq") % 3
+    base = drift.profile(s.where(rest != 0), rest, F.floor(F.col("seq") / 3) % 2 == 0).checkpoint()  # what a store would hold
+    got = drift.check(base, drift.threshold(base), s.where(rest == 0))
+    return got.select("psi", "threshold", "drifted", "ratio", "largest_shift", *[F.col("reuse_vs_base")[c].alias(c) for c in drift.REUSE])
+
+
+SWEEP = {"one": "0", "by_bin": "CAST(substring(bin_id, 2) AS INT) % 4", "by_seq": "CAST(floor(seq / 7) % 4 AS INT)"}
+SWEEP_SQL = f"""{_edges_sql(CAP)}, pl AS ({' UNION ALL '.join(f"SELECT seq, '{n}' AS routing, {c} AS shard FROM ev" for n, c in SWEEP.items())}),
+lg AS (SELECT long.*, routing, shard FROM long JOIN pl USING (seq)), rr AS (SELECT *, row_number() OVER (PARTITION BY routing, shard, rel, key ORDER BY ts_s, seq) AS rn, count(*) OVER (PARTITION BY routing, shard, rel, key) AS n FROM lg),
+lk AS (SELECT b.routing, b.seq, count(*) / ln(1 + any_value(b.n)::DOUBLE) AS s FROM rr b JOIN rr a ON a.routing = b.routing AND a.shard = b.shard AND a.rel = b.rel AND a.key = b.key AND a.rn < b.rn AND a.rn >= b.rn - {CAP} AND a.ts_s >= b.ts_s - {DAY} GROUP BY b.routing, b.rel, b.seq),
+sc AS (SELECT pl.routing, pl.seq, any_value(ev.label) AS y, coalesce(sum(s), 0) AS score FROM pl JOIN ev USING (seq) LEFT JOIN lk ON lk.routing = pl.routing AND lk.seq = pl.seq GROUP BY 1, 2),
+q AS (SELECT routing, count(*) FILTER (score >= 2 AND y = 1) AS tp, count(*) FILTER (score >= 2 AND y <> 1) AS fp, count(*) FILTER (score < 2 AND y = 1) AS fn, count(*) AS n, sum(y) AS pos FROM sc GROUP BY 1),
+dd AS (SELECT routing, round(score, 9) AS s, sum(y) AS p, count(*) AS n FROM sc GROUP BY 1, 2),
+cu AS (SELECT routing, p, sum(p) OVER w AS tp, sum(n) OVER w AS al FROM dd WINDOW w AS (PARTITION BY routing ORDER BY s DESC)), ap AS (SELECT routing, sum(p / pos::DOUBLE * cu.tp / cu.al) AS ap FROM cu JOIN q USING (routing) GROUP BY 1),
+kp AS (SELECT a.routing, e.rel, count(*) AS k FROM edges e JOIN pl a ON a.seq = e.src JOIN pl b ON b.seq = e.dst AND b.routing = a.routing AND b.shard = a.shard GROUP BY 1, 2),
+ks AS (SELECT routing, sum(k)::DOUBLE AS k, {', '.join(f"sum(k) FILTER (rel = '{r}')::DOUBLE AS {r}" for r in attempts.MODEL_RELATIONS)} FROM kp GROUP BY 1), al AS (SELECT count(*) AS k, {', '.join(f"count(*) FILTER (rel = '{r}') AS {r}" for r in attempts.MODEL_RELATIONS)} FROM edges),
+ld AS (SELECT routing, max(c) AS most FROM (SELECT routing, shard, count(*) AS c FROM pl GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query(f"""WITH {SWEEP_SQL} SELECT routing, round(ap, 4) AS pr_auc, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0 END, 4) AS precision, round(tp / pos::DOUBLE, 4) AS recall, fp AS false_positives, fn AS missed, round(fn * 73.0::DOUBLE + fp * 40, 1) AS decision_cost,
+round(ks.k / al.k, 4) AS edges_kept, {', '.join(f"round(coalesce(ks.{r}, 0) / al.{r}, 4) AS {r[:-3]}_edges_kept" for r in attempts.MODEL_RELATIONS)}, round(most / n::DOUBLE, 4) AS largest_shard_share, 1.0::DOUBLE AS duplication FROM q JOIN ap USING (routing) JOIN ks USING (routing) JOIN ld USING (routing), al""")
+def shard_sweep(spark, d):
+    e = _ev(spark, d)
+    return partitioning.sweep(e, partitioning.routed(e, {n: F.expr(c) for n, c in SWEEP.items()}), attempts.MODEL_RELATIONS, 2.0, DAY, CAP)
+
+
+# Lines of JSON, some cut short, not JSON at all, without a field, or with null or text in place of a number.
+LINE = """CASE WHEN seq % 13 = 0 THEN '{"seq": 1, "ts_s": ' WHEN seq % 17 = 0 THEN 'not json' ELSE '{"seq": ' || CAST(seq AS STRING)
+ || CASE WHEN seq % 7 = 0 THEN '' ELSE ', "ts_s": ' || CASE WHEN seq % 11 = 0 THEN '"soon"' ELSE CAST(CAST(ts_s AS BIGINT) AS STRING) END END
+ || ', "amount": ' || CASE WHEN seq % 19 = 0 THEN 'null' ELSE CAST(CAST(amount AS BIGINT) AS STRING) END
+ || CASE WHEN seq % 5 = 0 THEN '' ELSE ', "approved": ' || CASE WHEN seq % 23 = 0 THEN 'null' WHEN approved THEN 'true' ELSE 'false' END END
+ || ', "email_domain": "' || CASE WHEN seq % 3 = 0 THEN '-' ELSE email_domain END || '", "device_id": "' || CASE WHEN seq % 3 = 0 THEN ' UNK ' ELSE device_id END || '", "ip_id": null, "bin_id": "n/a"}' END"""
+_KEY = "CASE WHEN lower(trim({0})) IN ('', 'none', 'nan', 'null', 'na', 'n/a', 'unknown', 'unk', '-') THEN NULL ELSE trim({0}) END"
+_AT = "json_extract_string(j, '$.{}')"
+LINE_SQL = f"""{EV}, ln AS (SELECT seq, TRY_CAST({LINE} AS JSON) AS j FROM ev), why AS (SELECT seq, CASE WHEN j IS NULL THEN ['malformed record'] ELSE list_filter([
+  {', '.join(f"CASE WHEN NOT list_contains(json_keys(j), '{f}') THEN 'missing field {f}' END" for f in features.REQUIRED)},
+  {', '.join(f"CASE WHEN list_contains(json_keys(j), '{f}') AND TRY_CAST({_AT.format(f)} AS DOUBLE) IS NULL THEN '{f} not finite' END" for f in ("ts_s", "amount"))},
+  CASE WHEN list_contains(json_keys(j), 'approved') AND TRY_CAST({_AT.format('approved')} AS BOOLEAN) IS NULL THEN 'approved is null' END,
+  CASE WHEN {' AND '.join('(' + _KEY.format(_AT.format(r)) + ') IS NULL' for r in attempts.RELATIONS)} THEN 'no usable entity' END], lambda x: x IS NOT NULL) END AS reasons FROM ln)"""
+
+
+@query(f"WITH {LINE_SQL} SELECT seq, array_to_string(reasons, '; ') AS reasons FROM why")
+def malformed_reasons(spark, d):
+    # The line's number comes from the table, as a damaged line can't tell it.
+    got = json_lines.parse(_ev(spark, d).select(F.col("seq").alias("line"), F.expr(LINE).alias("value")), keep=("line",))
+    return got.select(F.col("line").alias("seq"), F.array_join("reasons", "; ").alias("reasons"))

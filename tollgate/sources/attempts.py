@@ -40,9 +40,14 @@ def from_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("doc_id").alias("seq"), F.col("quality").alias("y"), ((F.col("n_chars") % 997) / F.lit(997.0)).alias("score"))
 
 
-def read_csv(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
-    """Attempts from CSV with an explicit schema; refuses a file that lacks a column."""
+def read_csv(spark: SparkSession, path: str, columns: dict[str, str], identity: tuple[str, dict[str, str], str] | None = None) -> DataFrame:
+    """Attempts from CSV with an explicit schema; refuses a file that lacks a column.
+
+    identity (path, columns, id): a second file whose columns are joined on the id; attempts without
+    a row there keep nulls.
+    """
     head = spark.read.option("header", True).csv(path).columns
     if missing := sorted(set(columns) - set(head)):
         raise NotImplementedError(f"{path} lacks {', '.join(missing)}")
-    return spark.read.option("header", True).schema(", ".join(f"`{c}` {columns.get(c, 'string')}" for c in head)).csv(path).select(*columns)
+    got = spark.read.option("header", True).schema(", ".join(f"`{c}` {columns.get(c, 'string')}" for c in head)).csv(path).select(*columns)
+    return got if identity is None else got.join(read_csv(spark, *identity[:2]), identity[2], "left")

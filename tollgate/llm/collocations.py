@@ -22,7 +22,7 @@ from .common import cut, drop_cut, table
 #: Words of a phrase at most, words of a task's block, rows that a merging task gathers before it merges them.
 DEPTH, BLOCK_WORDS, MERGE_ROWS = 5, 1 << 20, 1 << 20
 #: Text bytes that a prefix range stands for, bounds at most, and sampled windows a range that bounds come from.
-RANGE_BYTES, MOST_BOUNDS, SAMPLES = 8 << 20, 1 << 20, 32
+RANGE_BYTES, MOST_BOUNDS, SAMPLES = 4 << 20, 1 << 20, 32
 # What ends a piece of words.
 _ENDS = b".,;:!?\n\v\f\r"
 _PLAIN = bytes.maketrans(_ENDS + b"\t", b"." * len(_ENDS) + b" ")
@@ -127,8 +127,7 @@ class _Block:
 
     def trie(self):
         """Sorted languages, sorted words (numbered from 1), windows, counts; the block is empty then."""
-        parts = [x for p, _, _ in self.parts for x in (p, np.zeros(1, "i4"))]
-        ids = np.concatenate(parts)
+        ids = np.concatenate([x for p, _, _ in self.parts for x in (p, np.zeros(1, "i4"))])
         langs = np.repeat(np.array([g for _, g, _ in self.parts], "i4"), [len(p) + 1 for p, _, _ in self.parts])
         start = np.concatenate([np.arange(len(p) + 1) < n for p, _, n in self.parts])
         words, names = list(self.words)[1:], list(self.langs)
@@ -276,10 +275,11 @@ def trie_nodes(docs: DataFrame, least: int, lang_col="lang", text_col="text") ->
                     yield pa.record_batch([pa.array([x], t) for x, t in zip(row, ("int32", "string", "binary", "binary"))], names=["rng", "langs", "words", "grams"])
 
         for b in batches:
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-                for _ in block.add(lang, tokens(text)):
+            for lang, text in zip(b.column("lang"), b.column("text")):  # one text at a time
+                for _ in block.add(lang.as_py(), tokens(text.as_py())):
                     yield from flush()
         yield from flush()
+        pa.default_memory_pool().release_unused()  # the worker goes on with other tasks
 
     def merge(batches):
         at, tries, rows = None, [], 0
@@ -297,6 +297,7 @@ def trie_nodes(docs: DataFrame, least: int, lang_col="lang", text_col="text") ->
                 rows += len(tries[-1][2])
         if tries:
             yield _nodes(*_merged(tries), least)
+        pa.default_memory_pool().release_unused()
 
     cuts = texts.mapInArrow(shards, PIECES).repartitionById(len(bounds) + 1, F.col("rng")).sortWithinPartitions("rng")
     nodes = cut(cuts.mapInArrow(merge, NODES), "trie")

@@ -160,7 +160,12 @@ def _look_up(slots: dict[int, np.ndarray], b: np.ndarray, rank: np.ndarray) -> t
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int | None, room: int = ROOM, id_col="doc_id", text_col="text") -> DataFrame:
-    """Whole texts' ids cut at every room ids: doc_id, start, length, doc_tokens, ids (binary)."""
+    """Whole texts' ids cut at every room ids: doc_id, start, length, doc_tokens, ids (binary).
+
+    Null and empty texts have the end id alone (nothing without one). Null and repeated ids are
+    kept as they are. A text of any length is encoded whole in one task; its pieces are rows. An
+    empty table gives no rows; other columns are not read.
+    """
     def cut_up(i, ids):
         n = len(ids) // 4
         return [(i, lo, min(room, n - lo), n, ids[4 * lo:4 * min(n, lo + room)]) for lo in range(0, n, room)]

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import cut, table
+from .licenses import let
 
 # The patterns of the base kinds. (?i:...) covers letters of the keywords only.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -30,6 +31,8 @@ WEAK = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9a-z+/_-]*+[A-Z])(?=[0
 FAMILY = {"assign": "secret", "access": "id", "hex": "secret", "client": "id", "endpoint": "endpoint", "weak": "secret"}
 KINDS = tuple(FAMILY)
 SCOPE = 200
+#: Matches whose positions are added up one after another.
+BLOCK = 64
 SPANS = "array<struct<kind:int,start:long,end:long>>"
 
 
@@ -38,7 +41,8 @@ def spans(text: Column, pattern: str, kind: int, when: Column, least: int = 0) -
 
     split() and regexp_extract_all() walk the same matches, so the lengths of the parts
     before and between give the starts. least: code points of group 1 at least, tested
-    after matching.
+    after matching. Positions run within blocks of BLOCK matches, then blocks are moved to
+    their places, so a text of many matches copies no long array for each of them.
     """
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.char_length(x))
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -52,7 +56,15 @@ def spans(text: Column, pattern: str, kind: int, when: Column, least: int = 0) -
         one = F.array(F.struct(F.lit(kind).alias("kind"), start.cast("long").alias("start"), end.cast("long").alias("end")))
         return F.struct(F.coalesce(end, start).cast("long").alias("at"), F.when(x["m"].isNotNull() & (x["v"] >= least), F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
 
-    return F.when(when, F.aggregate(zipped, zero, step, lambda a: a["out"])).otherwise(F.array().cast(SPANS))
+    def moved(parts: Column) -> Column:
+        """The blocks' spans at their places: each block starts where those before it end."""
+        none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("starts"))
+        starts = F.aggregate(parts, none, lambda a, x: F.struct((a["at"] + x["at"]).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")), lambda a: a["starts"])
+        shift = lambda x, by: F.struct(x["kind"].alias("kind"), (x["start"] + by).alias("start"), (x["end"] + by).alias("end"))
+        return F.flatten(F.zip_with(parts, starts, lambda p, by: F.transform(p["out"], lambda x: shift(x, by))))
+
+    blocks = lambda z: F.transform(F.sequence(F.lit(0), F.size(z) - 1, F.lit(BLOCK)), lambda i: F.aggregate(F.slice(z, i + 1, F.lit(BLOCK)), zero, step))
+    return F.when(when, let(let(zipped, blocks), moved)).otherwise(F.array().cast(SPANS))
 
 
 def join_spans(c: Column) -> Column:
@@ -69,7 +81,9 @@ def scan(docs: DataFrame, id_col="doc_id", text_col="text", scope: int = SCOPE)
     """Per row: doc_id, base and all (arrays of (kind number, start, end), by start, then kind).
 
     Null texts count as empty and have no spans. Repeated rows and null ids stay rows of
-    their own. Base spans are always reported; the method's kinds only when linked.
+    their own. Base spans are always reported; the method's kinds only when linked. Texts may be
+    of any length: a row's spans are one array, and links join by blocks of positions. An empty
+    table gives no rows; other columns are not read.
     """
     t = F.col("t")
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))

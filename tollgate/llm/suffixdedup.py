@@ -200,7 +200,9 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", length: in
     """Per row: doc_id, n_bytes, n_removed, n_spans and the bytes kept (or finish of them, under the name and type of out).
 
     Null texts count as empty; texts of under `length` bytes keep everything. Rows that repeat
-    an id and text are places of their own, so both lose all they share. Null ids are kept.
+    an id and text are places of their own, so both lose all they share. Null ids are kept. Texts
+    may be of any length: a task holds one text at a time, and repeats within it count too. An
+    empty table gives no rows; other columns are not read.
     """
     if not gram <= length or length - gram + 1 > 1 << 20:
         raise ValueError("gram must be at most length")

@@ -20,6 +20,7 @@ from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -31,6 +32,8 @@ SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 1000, 4096, 64 << 10
 LEVEL, BLOCK_BYTES = 3, 1 << 18
 #: Text characters that a shard holds about, and ranges of ids that are weighed for each shard.
 SHARD_CHARS, RANGES = 64 << 20, 16
+#: Ranges weighed at most while two a shard are fewer.
+MOST_RANGES = 1 << 16
 #: Parquet row groups, which writers and readers hold whole. Sizes are looked at after every row, not every
 #: hundred, as a row is a block; frames are compressed already.
 PARQUET = {"parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 8,
@@ -80,22 +83,30 @@ def _bounds(sizes: DataFrame) -> list[int]:
     shards = -(-total // SHARD_CHARS)
     if shards < 2:
         return []
-    parts = shards * RANGES
+    parts = min(shards * RANGES, max(2 * shards, MOST_RANGES))
     marks = sorted({int(x) for x in sizes.approxQuantile("i", [j / parts for j in range(1, parts)], 0.2 / parts)})
-    weight = dict(sizes.select(width(F.col("i"), marks).alias("r"), "n").groupBy("r").agg(F.sum("n")).collect())  # a row a range
+    weight = {r["r"]: r["n"] for r in sizes.mapInArrow(_weigh(np.array(marks, "i8")), "r long, n long").groupBy("r").agg(F.sum("n").alias("n")).collect()}  # a row a range
     out, size = [], 0
     for r in range(len(marks) + 1):
-        if size and size + (weight.get(r) or 0) > SHARD_CHARS:
+        if size and size + weight.get(r, 0) > SHARD_CHARS:
             out.append(marks[r - 1])
             size = 0
-        size += weight.get(r) or 0
+        size += weight.get(r, 0)
     return out
 
 
-def width(c, marks: list[int]):
-    """How many of the sorted marks are at most c; null counts as below all."""
-    at = F.array_position(F.transform(F.array(*map(F.lit, marks)), lambda m: m > c), F.lit(True))
-    return F.coalesce(F.when(at > 0, at - 1).when(c.isNotNull(), len(marks)), F.lit(0)).cast("int")
+def _weigh(marks):
+    """Characters by range of ids: a search of the sorted bounds a batch, whatever their number. Null ids lie below all."""
+
+    def run(batches):
+        for b in batches:
+            i, n = b.column("i"), b.column("n").fill_null(0).to_numpy(zero_copy_only=False)
+            at = np.searchsorted(marks, i.fill_null(0).to_numpy(zero_copy_only=False), "right")
+            at[i.is_null().to_numpy(zero_copy_only=False)] = 0
+            some, inverse = np.unique(at, return_inverse=True)
+            yield pa.record_batch([pa.array(some.astype("i8")), pa.array(np.bincount(inverse, n, len(some)).astype("i8"))], names=["r", "n"])
+
+    return run
 
 
 def _dict(data: bytes):

@@ -140,9 +140,9 @@ class _Block:
         return [names[i] for i in by_lang], [words[i] for i in by], grams, counts
 
 
-def _first(langs, words, grams, bound) -> int:
-    """The first of the sorted rows that is not below bound, a tuple of language and words."""
-    lo, hi = 0, len(grams)
+def _first(langs, words, cols, bound) -> int:
+    """The first of the sorted rows (given as columns) that is not below bound, a tuple of language and words."""
+    lo, hi = 0, cols.shape[1]
     for j, w in enumerate(bound):
         if j and not w:
             break
@@ -150,7 +150,7 @@ def _first(langs, words, grams, bound) -> int:
         i = bisect_left(names, w)
         found = i < len(names) and names[i] == w
         i += j > 0
-        col = grams[lo:hi, j]
+        col = cols[j, lo:hi]
         if not found:
             return lo + int(np.searchsorted(col, i))
         lo, hi = lo + int(np.searchsorted(col, i)), lo + int(np.searchsorted(col, i, "right"))
@@ -159,13 +159,16 @@ def _first(langs, words, grams, bound) -> int:
 
 def _pieces(langs, words, grams, counts, bounds):
     """Rows of PIECES: the trie cut at the bounds, each piece with the words that it uses."""
-    at = [0, *(_first(langs, words, grams, b) for b in bounds), len(grams)]
+    cols = np.ascontiguousarray(grams.T)
+    at = [0, *(_first(langs, words, cols, b) for b in bounds), len(grams)]
+    del cols
     for r, (lo, hi) in enumerate(zip(at, at[1:])):
         if lo < hi:
             g = grams[lo:hi].copy()
-            used, used_langs = np.unique(g[:, 1:]), np.unique(g[:, 0])
-            used = used[used > 0]
-            lookup = np.zeros(len(words) + 1, "i4")
+            lookup, used_langs = np.zeros(len(words) + 1, "i4"), np.unique(g[:, 0])
+            lookup[g[:, 1:].ravel()] = 1
+            lookup[0] = 0
+            used = np.flatnonzero(lookup)
             lookup[used] = np.arange(1, len(used) + 1)
             g[:, 1:] = lookup[g[:, 1:]]
             g[:, 0] = np.searchsorted(used_langs, g[:, 0])

@@ -111,7 +111,7 @@ def test_silent_keys_go(spark, tmp_path):
     def wait(n):
         for _ in range(120):
             time.sleep(1)
-            if q.exception() or (tmp_path / "out" / "_spark_metadata").exists() and spark.read.parquet(f"{tmp_path}/out").count() >= n:
+            if q.exception() or (tmp_path / "out" / "_spark_metadata" / "0").exists() and spark.read.schema("seq long, linked int").parquet(f"{tmp_path}/out").count() >= n:
                 return
 
     try:

@@ -25,7 +25,7 @@ from .common import cut, held, table
 from .tokens import _BYTES
 
 #: Text bytes of a block, and bits of a key that number a block's chunks.
-BLOCK_BYTES, LOCAL_BITS = 32 << 20, 25
+BLOCK_BYTES, LOCAL_BITS = 16 << 20, 25
 TOKENS = "kind int, block long, c long, ok boolean, a array<struct<id:int,n:int>>, b array<struct<id:int,n:int>>, doc_id long, seq binary"
 _MARK = "▁"
 
@@ -120,6 +120,7 @@ def encode_blocks(docs: DataFrame, path_a: str, path_b: str, id_col="doc_id", te
                     block, chunks, size, ids, seqs = block + 1, _Numbers(), 0, [], []
         if ids:
             yield from flush()
+        pa.default_memory_pool().release_unused()  # the worker goes on with other tasks
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, TOKENS)
 
@@ -203,7 +204,10 @@ class _Chunks:
         a, b = (flat.field(k).to_numpy(zero_copy_only=False).astype("i8") for k in (0, 1))
         self.flat.append(a << 32 | b)
         self.lens.append(links.value_lengths().fill_null(0).cast("int64").to_numpy(zero_copy_only=False))
-        self.texts += [g or b"" for g in x.column("groups").cast("binary").to_pylist()]
+        if x.column("groups").null_count < x.num_rows:  # the second pass has none
+            self.texts += [g or b"" for g in x.column("groups").cast("binary").to_pylist()]
+        else:
+            self.texts += [b""] * x.num_rows
 
     def close(self):
         lens = np.concatenate(self.lens)

@@ -21,7 +21,7 @@ def test_one_experiment_of_each_shape(spark, monkeypatch):
     for k, v in (("WIDTH", 3), ("DEPTH", 1), ("EPOCHS", 2)):
         monkeypatch.setattr(experiments, k, v)
     assert experiments.ablation(spark).count() == 5
-    got = {(r.strategy, r.shards): r.share for r in experiments.sharding(spark).collect()}
-    assert all(got[k, 1] == 1.0 for k in ("random", "bin_id", "device_id")) and got["random", 4] < 0.5
+    got = {r.routing: r for r in experiments.sharding(spark).collect()}
+    assert all(got[f"{k}/1"].edges_kept == 1.0 for k in ("random", "bin_id", "device_id")) and got["random/4"].edges_kept < 0.5 and got["random/4"].largest_shard_share < 0.5
     faults = {r.fault: r.quarantined for r in experiments.resilience(spark).collect()}
     assert faults["clean"] == 0 and faults["nan_amount"] > 0 and faults["dropped_approved"] > 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .components import ensure_checkpoint
 from .links import edges, shared_entity_score
 from .metrics import COST_FALSE, COST_MISS, average_precision
 
@@ -61,11 +62,12 @@ def sweep(df: DataFrame, placed: DataFrame, relations: tuple[str, ...], threshol
     counts, and a link is left if its ends meet anywhere). All routings go through one link job,
     kept apart by a key, and metrics are groups of it; nothing is run once a routing.
     """
+    ensure_checkpoint(df.sparkSession)
     rows = df.join(placed, "seq")
-    got = shared_entity_score(rows, relations, window_s, cap, ("routing", "shard")).groupBy("routing", "seq").agg(F.max("shared").alias("score"), F.first(y).alias("y"))
+    got = shared_entity_score(rows, relations, window_s, cap, ("routing", "shard")).groupBy("routing", "seq").agg(F.max("shared").alias("score"), F.first(y).alias("y")).checkpoint()  # two readers
     hit = F.col("score") >= threshold
     quality = got.groupBy("routing").agg(F.count_if(hit & (F.col("y") == 1)).alias("tp"), F.count_if(hit & (F.col("y") != 1)).alias("false_positives"), F.count_if(~hit & (F.col("y") == 1)).alias("missed"), F.count("*").alias("rows"))
-    e = edges(df, relations, window_s, cap)
+    e = edges(df, relations, window_s, cap).checkpoint()
     end = lambda n: placed.select("routing", "shard", F.col("seq").alias(n))
     left = e.join(end("src"), "src").join(end("dst"), ["dst", "routing", "shard"]).select("routing", "rel", "src", "dst").distinct().groupBy("routing").agg(F.count("*").alias("left"), *[F.count_if(F.col("rel") == r).alias(f"left_{r}") for r in relations])
     whole = e.agg(F.count("*").alias("all"), *[F.count_if(F.col("rel") == r).alias(f"all_{r}") for r in relations])  # one row

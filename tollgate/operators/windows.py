@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.features import link_key
 
+#: Rows that a step of a sweep takes at least, of a task's sorted rows.
+STEP_ROWS = 1 << 16
+
 
 def _span(agg: str, keys: list[str], window_s: float, ts: str = "ts_s") -> Column:
     """agg over [ts - window, ts] of the keys; the window may be a fraction of a second."""
@@ -72,26 +78,97 @@ def sliced(df: DataFrame, window_s: float, ts: str = "ts_s") -> DataFrame:
     return df.withColumn("slice_", F.explode(F.array(s, s + 1))).withColumn("own_", F.col("slice_") == s)
 
 
-def trailing_rate(df: DataFrame, flag: Column, window_s: float) -> DataFrame:
-    """Share of flagged rows of the whole stream in [ts - window, this row]; no task holds the stream."""
-    d = sliced(df.withColumn("flag_", flag.cast("long")), window_s)
-    tied = Window.partitionBy("slice_", "ts_s")
-    upto = tied.orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n = _span("count(*)", ["slice_"], window_s) - F.count("*").over(tied) + F.count("*").over(upto)
-    k = _span("sum(flag_)", ["slice_"], window_s) - F.sum("flag_").over(tied) + F.sum("flag_").over(upto)
-    return d.withColumn("n_", n).withColumn("k_", k).where("own_").withColumn("rate", F.col("k_") / F.col("n_")).drop("flag_", "slice_", "own_", "n_", "k_")
-
-
-def ring_summary(df: DataFrame, alert: Column, window_s: float) -> DataFrame:
-    """Alerts in the trailing window of the whole stream up to this row, the first one's time, and the seconds since it."""
-    d = sliced(df.withColumn("a_", alert.cast("long")), window_s).withColumn("t_", F.when(F.col("a_") == 1, F.col("ts_s")))
-    tied = Window.partitionBy("slice_", "ts_s")
-    upto = tied.orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n = _span("sum(a_)", ["slice_"], window_s) - F.sum("a_").over(tied) + F.sum("a_").over(upto)
-    # An alert at this very time counts only if its row is not a later one.
-    first = _span("min(t_)", ["slice_"], window_s)
-    d = d.withColumn("alerts", n).withColumn("f_", first).withColumn("first_alert_s", F.when(F.col("f_") < F.col("ts_s"), F.col("f_")).otherwise(F.min("t_").over(upto)))
-    return d.withColumn("since_s", F.col("ts_s") - F.col("first_alert_s")).where("own_").drop("a_", "t_", "f_", "slice_", "own_")
+def swept(d: DataFrame, by: tuple[str, ...], window_s: float, work, fields: list, cap: int | None = None) -> DataFrame:
+    """What work(t, rows, lo, last) gives, called along the sorted rows of each task: rows of the Arrow table t are in
+    order of (by, ts_s, seq), `rows` are the own ones due, lo has every row's first one in its window (and among the
+    newest cap before it), last the last one of its time.
+
+    A frame of Spark's over a range is summed anew for every row, so its work is a key's rows times those in a window,
+    and holds the frame as objects. Here each bound is a search in columns of numbers, and a task holds
+    the columns of a step and of the window before it.
+    """
+    schema, least = T.StructType(fields), STEP_ROWS
+
+    def step(t, done: int, final: bool):
+        t = t.combine_chunks()
+        n, ts = t.num_rows, t["ts_s"].to_numpy()
+        new = np.zeros(n, bool)
+        new[0] = True
+        for c in by:
+            col = t[c].chunk(0)
+            new[1:] |= pc.not_equal(col.slice(1), col.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+        lo = np.flatnonzero(new)[np.cumsum(new) - 1]
+        if cap is not None:
+            lo = np.maximum(lo, np.arange(n) - cap)
+        new[1:] |= ts[1:] != ts[:-1]
+        runs = np.flatnonzero(new)
+        last = np.append(runs[1:], n)[np.cumsum(new) - 1] - 1
+        hi, edge = np.arange(n), ts - window_s
+        while (open_ := lo < hi).any():
+            mid = (lo + hi) >> 1
+            before = ts[mid] < edge
+            lo, hi = np.where(open_ & before, mid + 1, lo), np.where(open_ & ~before, mid, hi)
+        stop = n if final else int(runs[-1])  # rows wait until all of their time are there
+        rows = np.flatnonzero(t["own_"].to_numpy()[done:stop]) + done
+        out = work(t, rows, lo, last) if len(rows) else None
+        keep = n if final else int(lo[stop])
+        return out, t.slice(keep), stop - keep
+
+    def run(batches):
+        held, done, more, size = None, 0, [], 0
+        for b in batches:
+            more.append(b)
+            size += b.num_rows
+            if size >= max(least, 0 if held is None else held.num_rows // 2):
+                out, held, done = step(pa.Table.from_batches([*(held.to_batches() if held is not None else []), *more]), done, False)
+                more, size = [], 0
+                if out is not None:
+                    yield from out.to_batches(max_chunksize=1 << 16)
+        left = [*(held.to_batches() if held is not None else []), *more]
+        if sum(b.num_rows for b in left):
+            out = step(pa.Table.from_batches(left), done, True)[0]
+            if out is not None:
+                yield from out.to_batches(max_chunksize=1 << 16)
+
+    return d.where("ts_s is not null").repartition(*by).sortWithinPartitions(*by, "ts_s", "seq").mapInArrow(run, schema)
+
+
+def _swept_stream(df: DataFrame, flag: Column, window_s: float, peers: bool, more: dict, of) -> DataFrame:
+    """df with the columns `more` (name: type) that of(ts, flags before each row, positions of flags, rows, lo, hi) gives by slices of the whole stream."""
+    names = df.columns
+
+    def work(t, rows, lo, last):
+        a = pc.fill_null(t["flag_"], False).to_numpy().astype(bool)
+        got = of(t["ts_s"].to_numpy(), np.r_[0, np.cumsum(a)], np.flatnonzero(a), rows, lo[rows], last[rows] if peers else rows)
+        out = t.select(names).take(rows)
+        for name, x in zip(more, got):
+            out = out.append_column(name, x if isinstance(x, pa.Array) else pa.array(x))
+        return out
+
+    fields = [*df.schema.fields, *[T.StructField(n, t) for n, t in more.items()]]
+    return swept(sliced(df.withColumn("flag_", flag.cast("boolean")), window_s), ("slice_",), window_s, work, fields)
+
+
+def trailing_rate(df: DataFrame, flag: Column, window_s: float, peers: bool = False) -> DataFrame:
+    """Share of flagged rows of the whole stream in [ts - window, this row]; no task holds the stream.
+
+    With peers, all rows of this row's time count, also those after it.
+    """
+    def of(ts, before, at, rows, lo, hi):
+        return [(before[hi + 1] - before[lo]) / (hi - lo + 1)]
+
+    return _swept_stream(df, flag, window_s, peers, {"rate": T.DoubleType()}, of)
+
+
+def ring_summary(df: DataFrame, alert: Column, window_s: float, peers: bool = False) -> DataFrame:
+    """Alerts in the trailing window of the whole stream up to this row (with peers: all of its time), the first one's time, and the seconds since it."""
+    def of(ts, before, at, rows, lo, hi):
+        n = before[hi + 1] - before[lo]
+        first = np.zeros(len(rows))
+        first[n > 0] = ts[at[before[lo][n > 0]]]
+        return [n, pa.array(first, mask=n == 0), pa.array(ts[rows] - first, mask=n == 0)]
+
+    return _swept_stream(df, alert, window_s, peers, {"alerts": T.LongType(), "first_alert_s": T.DoubleType(), "since_s": T.DoubleType()}, of)
 
 
 def interarrival(df: DataFrame, slice_s: float = 86_400.0) -> DataFrame:

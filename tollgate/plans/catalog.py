@@ -168,13 +168,14 @@ def first_event_links(spark, d):
 
 @query(f"""WITH {EV} SELECT seq, round(sum(CASE WHEN approved THEN 0 ELSE 1 END) OVER w / (count(*) OVER w)::DOUBLE, 6) AS rate FROM ev WINDOW w AS (ORDER BY ts_s RANGE BETWEEN {LINK} PRECEDING AND CURRENT ROW)""")
 def decline_burst(spark, d):
-    return windows.trailing_rate(_ev(spark, d), ~F.col("approved"), LINK).select("seq", _r("rate").alias("rate"))
+    e = _ev(spark, d).select("seq", "ts_s", F.coalesce(~F.col("approved"), F.lit(True)).alias("declined"))
+    return windows.trailing_rate(e, F.col("declined"), LINK, peers=True).select("seq", _r("rate").alias("rate"))
 
 
 @query(f"""WITH {EV} SELECT seq, CAST(sum(CASE WHEN score >= 0.9::DOUBLE THEN 1 ELSE 0 END) OVER w AS BIGINT) AS alerts, round(min(CASE WHEN score >= 0.9::DOUBLE THEN ts_s END) OVER w, 6) AS first_alert_s
 FROM ev WINDOW w AS (ORDER BY ts_s RANGE BETWEEN {LINK} PRECEDING AND CURRENT ROW)""")
 def ring_summary(spark, d):
-    return windows.ring_summary(_ev(spark, d), _alert(), LINK).select("seq", "alerts", _r("first_alert_s").alias("first_alert_s"))
+    return windows.ring_summary(_ev(spark, d).select("seq", "ts_s", "score"), _alert(), LINK, peers=True).select("seq", "alerts", _r("first_alert_s").alias("first_alert_s"))
 
 
 @query(f"WITH {EV} SELECT seq, round(ts_s - lag(ts_s, 1, ts_s) OVER (ORDER BY ts_s, seq), 6) AS gap_s FROM ev")

@@ -253,8 +253,8 @@ b AS (SELECT x.ts_s, coalesce(sum(y.k), 0) AS k, min(y.t) AS t FROM d x LEFT JOI
 SELECT seq, CAST(b.k + u.k AS BIGINT) AS alerts, coalesce(b.t, u.t) AS first_alert_s FROM u JOIN b USING (ts_s)""")
 def ring_summary_ties(spark, d):
     l = attempts.table(spark, d, "lineitem")
-    e = l.select((F.unix_micros(F.col("l_shipdate").cast("timestamp")) / F.lit(1e6)).alias("ts_s"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), "l_linenumber")
-    return windows.ring_summary(e, F.col("l_linenumber") == 1, DAY * 7).select("seq", "alerts", "first_alert_s")
+    e = l.select((F.unix_micros(F.col("l_shipdate").cast("timestamp")) / F.lit(1e6)).alias("ts_s"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), (F.col("l_linenumber") == 1).alias("first"))
+    return windows.ring_summary(e, F.col("first"), DAY * 7).select("seq", "alerts", "first_alert_s")
 
 
 @query(f"""WITH {EV}, {catalog.ACTION_SQL}, c AS (SELECT seq, action, ord, round(friction + 9 * minutes + score * (seq % 400) * 73 * (1 - stops) + (1 - score) * harm, 6) AS cost FROM ev, a WHERE ord < 4)

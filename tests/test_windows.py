@@ -42,3 +42,12 @@ def test_rate_and_ring_of_the_stream(spark, small, peers):
 def test_stream_windows_have_no_frames(spark, of):
     plan = of(spark.createDataFrame(rows(), SCHEMA), F.col("a"), 30.5)._jdf.queryExecution().toString()
     assert "Window" not in plan and "mapinarrow" in plan.lower()
+
+
+def test_counts_by_entity(spark, small):
+    data = rows()
+    df = spark.createDataFrame(data, SCHEMA).repartition(3)
+    got = windows.counts_by_entity(df, ("device_id", "ip_id"), 30.5)
+    assert "Window" not in got._jdf.queryExecution().toString()
+    want = {(x[0], e): sum(b[k] == x[k] and b[1] >= x[1] - 30.5 for b in data[:i + 1]) for i, x in enumerate(data) for e, k in (("device_id", 3), ("ip_id", 4)) if x[k] not in (None, " UNK ")}
+    assert {(r.seq, r.entity): r.c for r in got.collect()} == want

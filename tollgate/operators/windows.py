@@ -35,8 +35,12 @@ def counts_by_entity(df: DataFrame, entities: tuple[str, ...], window_s: float)
     """
     one = [F.struct(F.lit(e).alias("entity"), link_key(df, e).alias("key")) for e in entities]
     long = df.select("seq", "ts_s", F.explode(F.array(*one)).alias("x")).select("seq", "ts_s", "x.*").where("key is not null")
-    got = sliced(long, window_s).withColumn("c", trailing_count(["entity", "key", "slice_"], window_s))
-    return got.where("own_").select("seq", "entity", "c")
+
+    def work(t, rows, lo, last):
+        return pa.table({"seq": t["seq"].take(rows), "entity": t["entity"].take(rows), "c": rows - lo[rows] + 1})
+
+    fields = [T.StructField("seq", df.schema["seq"].dataType), T.StructField("entity", T.StringType()), T.StructField("c", T.LongType())]
+    return swept(sliced(long, window_s), ("entity", "key", "slice_"), window_s, work, fields)
 
 
 def velocity(df: DataFrame, key: str, tau: int, window_s: float, seq="seq") -> Column:

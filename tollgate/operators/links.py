@@ -9,10 +9,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.features import link_key
-from .windows import sliced
+from .windows import sliced, swept
 
 
 def linked(key: str, window_s: float, cap: int = 32, payload: tuple[str, ...] = (), also: tuple[str, ...] = ()) -> Column:
@@ -41,6 +42,46 @@ def edges(df: DataFrame, relations: tuple[str, ...], window_s: float, cap: int =
     return long_links(df, relations, window_s, cap).select("rel", F.explode("l.seq").alias("src"), F.col("seq").alias("dst"))
 
 
+def _matrix(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """An array of lists as a matrix padded on the right, and which of its places hold a value."""
+    n = pc.fill_null(pc.list_value_length(a), 0).to_numpy()
+    has = np.arange(max(n.max(initial=0), 1)) < n[:, None]
+    out = np.zeros(has.shape, np.int64)
+    out[has] = a.flatten().to_numpy()
+    return out, has
+
+
+def kept(df: DataFrame, placed: dict[str, Column], relations: tuple[str, ...], window_s: float, cap: int = 32) -> DataFrame:
+    """rel, routing, edges, kept: how many links there are, and of how many the ends share a number in `placed`, an array column a routing.
+
+    Links are counted in the tasks that find them, so what leaves a task is a few sums.
+    """
+    own = [f"at_{i}_" for i in range(len(placed))]
+    d = df.withColumns({c: F.array_compact(p.cast("array<bigint>")) for c, p in zip(own, placed.values())})
+
+    def work(t, rows, lo, last):
+        rel = np.array(relations)
+        of = pc.index_in(t["rel"], pa.array(relations)).to_numpy().astype("i8")
+        ends = [_matrix(t[c].chunk(0)) for c in own]
+        all_, left = np.zeros(len(rel), "i8"), np.zeros((len(own), len(rel)), "i8")
+        for k in range(1, cap + 1):
+            rows = rows[rows - k >= lo[rows]]
+            if not len(rows):
+                break
+            all_ += np.bincount(of[rows], minlength=len(rel))
+            for j, (x, has) in enumerate(ends):
+                if x.shape[1] == 1:
+                    same = (x[rows, 0] == x[rows - k, 0]) & has[rows, 0] & has[rows - k, 0]
+                else:
+                    same = ((x[rows][:, :, None] == x[rows - k][:, None, :]) & has[rows][:, :, None] & has[rows - k][:, None, :]).any(axis=(1, 2))
+                left[j] += np.bincount(of[rows[same]], minlength=len(rel))
+        return pa.table({"rel": np.tile(rel, len(own)), "routing": pa.array(np.repeat(np.arange(len(own)), len(rel)), pa.int32()), "edges": np.tile(all_, len(own)), "kept": left.ravel()})
+
+    fields = [T.StructField("rel", T.StringType()), T.StructField("routing", T.IntegerType()), T.StructField("edges", T.LongType()), T.StructField("kept", T.LongType())]
+    got = swept(sliced(_long(d, relations, more=tuple(own)), window_s), ("rel", "key", "slice_"), window_s, work, fields, cap).groupBy("rel", "routing").agg(F.sum("edges").alias("edges"), F.sum("kept").alias("kept"))
+    return got.withColumn("routing", F.get(F.array(*map(F.lit, placed)).cast("array<string>"), F.col("routing")))
+
+
 def degrees(df: DataFrame, e: DataFrame) -> DataFrame:
     """Links in and out of every row, zeros included."""
     ends = e.select(F.explode(F.array("src", "dst")).alias("seq")).groupBy("seq").agg(F.count("*").alias("d"))

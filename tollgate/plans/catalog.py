@@ -448,15 +448,17 @@ def psi_overall(spark, d):
 
 @query(f"WITH {_edges_sql(CAP)}, s AS (SELECT seq, seq % 8 AS shard FROM ev) SELECT rel, count(*) AS edges, CAST(sum(CASE WHEN a.shard = b.shard THEN 1 ELSE 0 END) AS BIGINT) AS kept, round(sum(CASE WHEN a.shard = b.shard THEN 1 ELSE 0 END) / count(*)::DOUBLE, 6) AS share FROM edges JOIN s a ON a.seq = src JOIN s b ON b.seq = dst GROUP BY 1")
 def edges_preserved_mod_n(spark, d):
-    s = _ev(spark, d).select("seq", (F.col("seq") % 8).alias("shard"))
-    return partitioning.edges_preserved(_edges(spark, d), s).withColumn("share", _r("share"))
+    return partitioning.edges_preserved(_ev(spark, d), F.col("seq") % 8, attempts.MODEL_RELATIONS, DAY, CAP).withColumn("share", _r("share"))
+
+
+def _replicas():
+    return {c: F.substring(c, 2, 30).cast("long") % 4 for c in ENTITIES}
 
 
 @query(f"""WITH {EV}, p AS (SELECT seq, seq % 4 AS shard FROM ev UNION SELECT seq, length(device_id) + CAST(substr(device_id, 2) AS BIGINT) % 4 - length(device_id) FROM (SELECT *, count(*) OVER (PARTITION BY device_id) AS n FROM ev) WHERE n >= 2
 UNION SELECT seq, CAST(substr(ip_id, 2) AS BIGINT) % 4 FROM (SELECT *, count(*) OVER (PARTITION BY ip_id) AS n FROM ev) WHERE n >= 2) SELECT seq, shard FROM p""")
 def replication_placements(spark, d):
-    number = lambda c: F.substring(c, 2, 30).cast("long") % 4
-    return partitioning.placements(_ev(spark, d), F.col("seq") % 4, {c: number(c) for c in ENTITIES})
+    return partitioning.placements(_ev(spark, d), F.col("seq") % 4, _replicas())
 
 
 @query(f"""WITH {EV}, k AS (SELECT seq, {_trail('device_id', DAY)} AS pooled, {_trail('bin_id, device_id', DAY)} AS per_tenant FROM ev) SELECT count(*) AS n, CAST(sum(pooled) AS BIGINT) AS pooled, CAST(sum(per_tenant) AS BIGINT) AS per_tenant, count(*) FILTER (pooled > 3) AS pooled_alerts, count(*) FILTER (per_tenant > 3) AS tenant_alerts FROM k""")

@@ -8,7 +8,7 @@ from ..operators import drift, forecast, incidents, links, metrics, partitioning
 from ..functions import features
 from ..sources import attempts, json_lines
 from . import catalog
-from .catalog import CAP, DAY, ENTITIES, EV, LINK, _edges, _edges_sql, _ev, _r
+from .catalog import CAP, DAY, ENTITIES, EV, LINK, _edges_sql, _ev, _r
 
 Q, O = {}, {}
 
@@ -117,7 +117,8 @@ def score_replicated(spark, d):
 
 @query(f"WITH {_edges_sql(CAP)}, p AS ({PLACED_SQL}) SELECT rel, count(*) AS edges, CAST(sum(CASE WHEN EXISTS (SELECT 1 FROM p a JOIN p b ON a.shard = b.shard WHERE a.seq = src AND b.seq = dst) THEN 1 ELSE 0 END) AS BIGINT) AS kept FROM edges GROUP BY 1")
 def edges_surviving_replication(spark, d):
-    return partitioning.edges_surviving(_edges(spark, d), catalog.replication_placements(spark, d)).select("rel", "edges", "kept")
+    e = partitioning.places(_ev(spark, d), F.col("seq") % 4, catalog._replicas())
+    return partitioning.edges_surviving(e, F.col("places"), attempts.MODEL_RELATIONS, DAY, CAP).select("rel", "edges", "kept")
 
 
 # Snapshots of long groups: every user's events stand for an incident.

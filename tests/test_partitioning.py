@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tollgate.operators import links, partitioning, windows
@@ -29,3 +30,19 @@ def test_links_kept_are_counted_where_found(spark, monkeypatch):
     of = {x[0]: x[0] % 3 if x[0] % 5 else None for x in data}
     assert {(r.rel, r.edges, r.kept) for r in one.collect()} == {(k, sum(x[0] == k for x in e), sum(x[0] == k and of[x[1]] is not None and of[x[1]] == of[x[2]] for x in e)) for k in RELS}
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_shared_score_counts_links_by_search(spark):
+    data = rows()
+    df = spark.createDataFrame(data, SCHEMA)
+    got = links.shared_entity_score(df, RELS, 30.5, 5, ("label",)).select("seq", "shared")
+    assert "Window" not in got._jdf.queryExecution().toString()
+    want = {x[0]: 0.0 for x in data}
+    for k in (2, 3):
+        for i, b in enumerate(data):
+            if b[k] not in (None, " UNK "):
+                same = [a for a in data if a[k] == b[k] and a[4] == b[4]]
+                near = [a for a in same if a[0] < b[0]][-5:]
+                want[b[0]] += sum(a[1] >= b[1] - 30.5 for a in near) / np.log1p(len(same))
+    for r in got.collect():
+        assert abs(r.shared - want[r.seq]) < 1e-9

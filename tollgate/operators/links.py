@@ -90,8 +90,12 @@ def degrees(df: DataFrame, e: DataFrame) -> DataFrame:
 
 def shared_entity_score(df: DataFrame, relations: tuple[str, ...], window_s: float, cap: int = 32, also: tuple[str, ...] = ()) -> DataFrame:
     """Sum over relations of links / log1p(rows of the key), within groups of `also` (a shard, a tenant)."""
-    long = long_links(df, relations, window_s, cap, also).select("seq", *also, "rel", "key", F.size("l").alias("n_"))
-    per = long.groupBy("rel", *also, "key").agg(F.count("*").alias("rows_"))  # counted before the shuffle
+    def work(t, rows, lo, last):
+        return t.select(["seq", *also, "rel", "key"]).take(rows).append_column("n_", pa.array(rows - lo[rows]))
+
+    fields = [*[df.schema[c] for c in ("seq", *also)], T.StructField("rel", T.StringType()), T.StructField("key", T.StringType()), T.StructField("n_", T.LongType())]
+    long = swept(sliced(_long(df, relations, also), window_s), ("rel", *also, "key", "slice_"), window_s, work, fields, cap)
+    per = _long(df, relations, also).where("ts_s is not null").groupBy("rel", *also, "key").agg(F.count("*").alias("rows_"))  # counted before the shuffle, and the sweep has one reader
     s = F.col("n_") / F.log1p(F.col("rows_").cast("double"))
     got = long.where("n_ > 0").join(per, ["rel", *also, "key"]).groupBy("seq", *also).agg(F.sum(s).alias("shared"))
     return df.join(got, ["seq", *also], "left").withColumn("shared", F.coalesce("shared", F.lit(0.0)))

@@ -100,7 +100,8 @@ def swept(d: DataFrame, by: tuple[str, ...], window_s: float, work, fields: list
         new[0] = True
         for c in by:
             col = t[c].chunk(0)
-            new[1:] |= pc.not_equal(col.slice(1), col.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            a, b = col.slice(1), col.slice(0, n - 1)
+            new[1:] |= pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
         lo = np.flatnonzero(new)[np.cumsum(new) - 1]
         if cap is not None:
             lo = np.maximum(lo, np.arange(n) - cap)

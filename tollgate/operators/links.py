@@ -7,7 +7,6 @@ of cap rows carries them, so there is no self-join and memory per row is bounded
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -116,50 +115,31 @@ def softmax(att) -> list[float]:
     return [x / sum(e) for x in e]
 
 
-def _means(dim: int, window_s: float, cap: int, gates: dict):
-    """Over rows sorted by (grp, ts_s, seq): each own row's mean over its links, which are a stretch of the rows before it.
+def _means(relations: tuple[str, ...], keys: list[str], maps: list[np.ndarray], window_s: float, cap: int, gates: np.ndarray | None):
+    """For swept: each own row's mean over its links, which are a stretch of the rows before it, times its relation's matrix."""
+    dim, wide = maps[0].shape[1], len(maps[0])
 
-    A group's last `cap` rows are carried from batch to batch, so a hot key takes no more memory.
-    """
-
-    def run(batches):
-        tail = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            now = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("grp", "rel", "ts_s", "own_", "seq")}
-            now["x"] = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            old = 0
-            if tail is not None:
-                old = len(tail["seq"])
-                now = {c: np.concatenate([tail[c], now[c]]) for c in now}
-            n, grp, ts, x = len(now["seq"]), now["grp"], now["ts_s"], now["x"]
-            ends = [*(np.flatnonzero(grp[1:] != grp[:-1]) + 1).tolist(), n]
-            lo, start = np.zeros(n, "i8"), 0
-            for end in ends:
-                lo[start:end] = start + np.searchsorted(ts[start:end], ts[start:end] - window_s)
-                start = end
-            first = np.repeat([0, *ends[:-1]], np.diff([0, *ends]))
-            lo = np.maximum(np.maximum(lo, first), np.arange(n) - cap)
-            rows = np.flatnonzero(now["own_"] & (lo < np.arange(n)) & (np.arange(n) >= old))
-            if len(rows):
-                out = np.zeros((len(rows), dim))
-                for some in np.array_split(np.arange(len(rows)), -(-len(rows) * cap * dim // (1 << 22))):
-                    k = rows[some] - lo[rows[some]]
-                    at = np.cumsum(k) - k
-                    src = np.arange(k.sum()) - np.repeat(at, k) + np.repeat(lo[rows[some]], k)
-                    w = np.ones(len(src))
-                    if gates:
-                        dst = np.repeat(rows[some], k)
-                        g = np.stack([gates[r] for r in now["rel"][dst]])
-                        w = 1 / (1 + np.exp(-(np.abs(x[src] - x[dst]) * g).sum(1)))
-                    out[some] = np.add.reduceat(x[src] * w[:, None], at) / np.maximum(np.add.reduceat(w, at), 1.0)[:, None]
-                yield pa.record_batch([pa.array(now["seq"][rows]), pa.array(now["grp"][rows], pa.string()), pa.array(now["rel"][rows], pa.string()),
-                                       pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * dim, pa.int32()), pa.array(out.ravel()))], names=["seq", "grp", "rel", "m"])
-            keep = np.arange(max(int(first[-1]), n - cap), n)
-            tail = {c: v[keep] for c, v in now.items()}
-
-    return run
+    def work(t, rows, lo, last):
+        x = t["v_"].chunk(0).flatten().to_numpy().reshape(-1, dim)
+        of = pc.index_in(t["rel"], pa.array(relations)).to_numpy().astype("i8")
+        rows = rows[lo[rows] < rows]
+        out = np.zeros((len(rows), wide))
+        for some in np.array_split(np.arange(len(rows)), -(-len(rows) * cap * dim // (1 << 22))) if len(rows) else ():
+            k = rows[some] - lo[rows[some]]
+            at = np.cumsum(k) - k
+            src = np.arange(k.sum()) - np.repeat(at, k) + np.repeat(lo[rows[some]], k)
+            w = np.ones(len(src))
+            if gates is not None:
+                dst = np.repeat(rows[some], k)
+                w = 1 / (1 + np.exp(-(np.abs(x[src] - x[dst]) * gates[of[dst]]).sum(1)))
+            mean = np.add.reduceat(x[src] * w[:, None], at) / np.maximum(np.add.reduceat(w, at), 1.0)[:, None]
+            for r, m in enumerate(maps):
+                mine = of[rows[some]] == r
+                out[some[mine]] = mean[mine] @ m.T
+        got = t.select(["seq", *keys]).take(rows)
+        return got.append_column("z", pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * wide, pa.int32()), pa.array(out.ravel())))
+
+    return work
 
 
 def message_layer(df: DataFrame, state: str, relations: tuple[str, ...], w_self, bias, w_rel, mix, window_s: float, cap: int = 32, out: str = "h", gate=None, also: tuple[str, ...] = ()) -> DataFrame:
@@ -172,23 +152,20 @@ def message_layer(df: DataFrame, state: str, relations: tuple[str, ...], w_self,
     """
     if not len(relations) == len(w_rel) == len(mix):
         raise ValueError("one matrix and one weight a relation")
-    own, shift, maps = np.array(w_self, float), np.array(bias, float), {r: float(m) * np.array(w, float) for r, w, m in zip(relations, w_rel, mix)}
-    dim, gates = own.shape[1], {} if gate is None else {r: np.array(g, float) for r, g in zip(relations, gate)}
-    long = sliced(_long(df.withColumn("x_", F.col(state)), relations, also, ("x_",)), window_s)
-    where = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in also]
-    grp = F.concat_ws("\x01", "rel", *where, F.col("slice_").cast("string"), "key")
-    dealt = long.select(grp.alias("grp"), "rel", "ts_s", "own_", "seq", F.col("x_").alias("x")).repartition("grp").sortWithinPartitions("grp", "ts_s", "seq")
-    means = dealt.mapInArrow(_means(dim, window_s, cap, gates), "seq long, grp string, rel string, m array<double>")
-    means = means.withColumn("also_", F.slice(F.split("grp", "\x01"), 2, len(also))).groupBy("seq", "also_").agg(F.collect_list("rel").alias("rels_"), F.flatten(F.collect_list("m")).alias("ms_"))
-
-    @F.pandas_udf("array<double>")
-    def combined(x: pd.Series, rels: pd.Series, ms: pd.Series) -> pd.Series:
-        z = np.stack(x.tolist()) @ own.T + shift
-        for i, (rel, m) in enumerate(zip(rels, ms)):
-            if rel is not None:
-                for r, v in zip(rel, np.asarray(m, float).reshape(-1, dim)):
-                    z[i] += maps[r] @ v
-        return pd.Series(np.maximum(z, 0).tolist())
-
-    got = df.withColumn("also_", F.array(*where).cast("array<string>")).join(means, ["seq", "also_"], "left")
-    return got.withColumn(out, combined(F.col(state), "rels_", "ms_")).drop("also_", "rels_", "ms_")
+    own, shift, maps = np.array(w_self, float), np.array(bias, float), [float(m) * np.array(w, float) for w, m in zip(w_rel, mix)]
+    dim, wide, gates = own.shape[1], own.shape[0], None if gate is None else np.array(gate, float).reshape(len(relations), -1)
+    keys = [f"also_{i}_" for i in range(len(also))]
+    d = df.withColumns({k: F.coalesce(F.col(c).cast("string"), F.lit("")) for k, c in zip(keys, also)})
+    long = _long(d.withColumn("v_", F.col(state).cast("array<double>")), relations, tuple(keys), ("v_",))
+    fields = [df.schema["seq"], *[T.StructField(k, T.StringType()) for k in keys], T.StructField("z", T.ArrayType(T.DoubleType()))]
+    means = swept(sliced(long, window_s), ("rel", *keys, "key", "slice_"), window_s, _means(tuple(relations), keys, maps, window_s, cap, gates), fields, cap)
+    means = means.groupBy("seq", *keys).agg(F.flatten(F.collect_list("z")).alias("zs_"))
+
+    @F.arrow_udf("array<double>")
+    def combined(x: pa.Array, zs: pa.Array) -> pa.Array:
+        z = x.flatten().to_numpy().reshape(len(x), dim) @ own.T + shift
+        n = pc.fill_null(pc.list_value_length(zs), 0).to_numpy() // wide  # relations that a row has means in
+        np.add.at(z, np.repeat(np.arange(len(x)), n), zs.flatten().to_numpy().reshape(-1, wide))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * wide, pa.int32()), pa.array(np.maximum(z, 0).ravel()))
+
+    return d.join(means, ["seq", *keys], "left").withColumn(out, combined(F.col(state).cast("array<double>"), "zs_")).drop(*keys, "zs_")

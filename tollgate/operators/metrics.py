@@ -18,16 +18,16 @@ def alert(score: Column, threshold: float) -> Column:
 RANGE_ROWS = 100_000
 
 
-def running(g: DataFrame, by: str, sums: tuple[str, ...], keys: tuple[str, ...] = ()) -> DataFrame:
+def running(g: DataFrame, by: str, sums: tuple[str, ...], keys: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
     """g, whose values of `by` are distinct (within keys), with upto_ and total_ of each summed column.
 
     g is computed once. Up to RANGE_ROWS values, one window a key does. Beyond, values are dealt to
-    ranges between approximate percentiles, as many as the values call for; totals of the ranges
+    ranges between approximate percentiles, as many as the values call for (or `parts`); totals of the ranges
     run in a window of a row a range, the values within a range in one of its own.
     """
     ensure_checkpoint(g.sparkSession)
     g = g.checkpoint()
-    parts = -(-g.count() // RANGE_ROWS)
+    parts = -(-g.count() // RANGE_ROWS) if parts is None else parts
     if parts < 2:
         w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
         upto = w.orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -63,7 +63,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
     (smallest node reachable) for every node with an edge. The work per round is one
     aggregation and one join over the edges that remain, at most one row per edge; no
     neighbour list is ever gathered, so a node with any number of edges is no
-    bottleneck (AQE splits its join partition).
+    bottleneck (AQE splits its join partition). Joins are sort merges whatever Spark takes
+    a side's size for, so nothing passes through the driver.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u != v")
     e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
@@ -75,10 +76,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(
+        small = large.join(low.hint("merge"), "u").select(F.explode(F.array(
             F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
             F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("e")).select("e.*")
         new = cut(small.where("u != v").distinct(), "edges")

@@ -20,6 +20,10 @@ no comparison with itself, so its rows go to one block each; only the rest is co
 blocks. Work and rows are in proportion to a group's size times its outliers in blocks, not
 to its square. At similarity 0.8 a pair has fewer than MATCH of K collisions with a chance of
 1.3e-6, if the hash functions are taken as independent.
+
+Every join is a sort merge. Left to itself, Spark broadcasts a side by the size it takes it
+for, an array counting as one element: signatures would pass for a fraction of their size and
+go through the driver.
 """
 
 from __future__ import annotations
@@ -139,19 +143,19 @@ def _star(posting: DataFrame, comp: DataFrame | None, classes: DataFrame, base:
     """Links (a, b) of classes with the centre that they share most postings with."""
     p = posting
     if comp is not None:
-        p = posting.join(comp.select(F.col("node").alias("cid"), "component"), "cid", "left").select("cid", "x", F.coalesce("component", "cid").alias("comp"))
+        p = posting.join(comp.select(F.col("node").alias("cid"), "component").hint("merge"), "cid", "left").select("cid", "x", F.coalesce("component", "cid").alias("comp"))
     else:
         p = posting.withColumn("comp", F.col("cid"))
     centre = p.groupBy("x").agg(F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), "cid", "comp")).alias("s"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
-    pairs = p.join(centre.select("x", F.col("s.cid").alias("a"), F.col("s.comp").alias("ca")), "x").where("comp != ca")
+    pairs = p.join(centre.select("x", F.col("s.cid").alias("a"), F.col("s.comp").alias("ca")).hint("merge"), "x").where("comp != ca")
     best = pairs.groupBy("cid", "a").agg(F.count("*").alias("c")).groupBy("cid").agg(F.max(F.struct("c", "a")).alias("m")).select(F.col("m.a").alias("a"), F.col("cid").alias("b"))
     # Only pairs that are likely alike: whoever is not tried here is compared in the merge.
-    side = lambda c: classes.select(F.col("cid").alias(c), F.col("sig").alias(f"s{c}"), F.col("digest").alias(f"d{c}"), F.col("rep").alias(f"r{c}"), F.col("n").alias(f"n{c}"))
+    side = lambda c: classes.select(F.col("cid").alias(c), F.col("sig").alias(f"s{c}"), F.col("digest").alias(f"d{c}"), F.col("rep").alias(f"r{c}"), F.col("n").alias(f"n{c}")).hint("merge")
     same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda v, x: v + x)
     likely = best.join(side("b"), "b").join(side("a"), "a").where((same >= int(0.7 * k)) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
     likely = cut(likely.select("a", "b", "da", "db", "ra", "rb"), "likely")
     sets = cut(_sets(base, likely.select(F.explode(F.array("ra", "rb")).alias("key")), n).dropDuplicates(["digest"]), "sets")
-    got = likely.join(sets.select(F.col("digest").alias("db"), F.col("shingles").alias("tb")), "db").join(sets.select(F.col("digest").alias("da"), F.col("shingles").alias("ta")), "da")
+    got = likely.join(sets.select(F.col("digest").alias("db"), F.col("shingles").alias("tb")).hint("merge"), "db").join(sets.select(F.col("digest").alias("da"), F.col("shingles").alias("ta")).hint("merge"), "da")
     got = cut(got.where(_confirm("ta", "tb", F.lit(percent))).select("a", "b"), "links")
     drop_cut(likely)
     drop_cut(sets)
@@ -169,7 +173,7 @@ def _deal(rows: DataFrame, by: list[str], weight, limit: int) -> DataFrame:
     main = per.groupBy(*by).agg(F.count("*").alias("many"), F.max(F.struct("w", "comp")).alias("top"), F.sum("w").alias("all")).where("many > 1")
     blocks = lambda w: F.ceil(w / limit).cast("int")
     main = main.select(*by, F.col("top.comp").alias("main"), blocks(F.col("top.w")).alias("bd"), blocks(F.col("all") - F.col("top.w")).alias("br"))
-    d = rows.join(main, by).withColumn("is_main", F.col("comp") == F.col("main"))
+    d = rows.join(main.hint("merge"), by).withColumn("is_main", F.col("comp") == F.col("main"))
     d = d.withColumn("own", F.pmod(F.xxhash64("cid"), F.when(F.col("is_main"), F.col("bd")).otherwise(F.col("br"))).cast("int"))
     task = lambda a, b: F.struct(a.cast("int").alias("t1"), b.cast("int").alias("t2"))
     rest, own = F.sequence(F.lit(0), F.col("br") - 1), F.col("own")
@@ -285,12 +289,12 @@ def groups(docs: DataFrame, id_col="doc_id", text_col="text", n: int = 5, percen
     posts = classes.select("cid", F.explode(pair).alias("x"))
     often = posts.groupBy("x").agg(F.count("*").alias("f")).where("f > 1")
     order = F.array_sort(F.collect_list(F.struct("f", "x")))
-    per = posts.join(often, "x").groupBy("cid").agg(order.alias("p")).withColumn("room", F.size("p") - match + 1).where("room > 0")
+    per = posts.join(often.hint("merge"), "x").groupBy("cid").agg(order.alias("p")).withColumn("room", F.size("p") - match + 1).where("room > 0")
     posting = cut(per.select("cid", F.explode(F.slice("p", 1, F.col("room"))).alias("p")).select("cid", "p.x"), "posts")
     # An id with several sets ties their classes.
     several = use.groupBy("key").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo != hi").select("key")
-    tied = use.join(several, "key").join(classes.select("digest", "cid"), "digest").select("key", "cid").distinct()
-    links = cut(tied.join(tied.groupBy("key").agg(F.min("cid").alias("a")), "key").where("cid != a").select("a", F.col("cid").alias("b")), "links")
+    tied = use.join(several.hint("merge"), "key").join(classes.select("digest", "cid").hint("merge"), "digest").select("key", "cid").distinct()
+    links = cut(tied.join(tied.groupBy("key").agg(F.min("cid").alias("a")).hint("merge"), "key").where("cid != a").select("a", F.col("cid").alias("b")), "links")
     # 1. Stars.
     comp = None if links.isEmpty() else cut(components(links), "components")
     for turn in range(STARS):
@@ -300,30 +304,30 @@ def groups(docs: DataFrame, id_col="doc_id", text_col="text", n: int = 5, percen
         links = links.unionByName(found)
         comp = cut(components(links), "components")
     # 2. Merge.
-    of = classes.select("cid", F.col("cid").alias("comp")) if comp is None else classes.select("cid").join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("component", "cid").alias("comp"))
+    of = classes.select("cid", F.col("cid").alias("comp")) if comp is None else classes.select("cid").join(comp.withColumnRenamed("node", "cid").hint("merge"), "cid", "left").select("cid", F.coalesce("component", "cid").alias("comp"))
     of = cut(of, "components")
-    todo = _deal(posting.join(of, "cid"), ["x"], F.lit(1), BLOCK).join(classes.select("cid", "n", "sig"), "cid")
+    todo = _deal(posting.join(of.hint("merge"), "cid"), ["x"], F.lit(1), BLOCK).join(classes.select("cid", "n", "sig").hint("merge"), "cid")
     by = ["x", "t1", "t2"]
     todo = todo.select(*by, "cid", "comp", "n", "sig").repartition(*by).sortWithinPartitions(*by)
     touch = cut(todo.mapInPandas(_by_task(by, _touching(match, percent), ["cid", "comp", "root"]), "cid long, comp long, root long").distinct(), "touching")
     # 3. Proof.
     drop_cut(posting)
     parts = components(touch.select(F.col("comp").alias("a"), F.col("root").alias("b")))
-    listed = touch.select("cid", "comp").distinct().join(parts.select(F.col("node").alias("comp"), F.col("component").alias("part")), "comp").join(classes.select("cid", "digest", "rep", "n"), "cid")
+    listed = touch.select("cid", "comp").distinct().join(parts.select(F.col("node").alias("comp"), F.col("component").alias("part")).hint("merge"), "comp").join(classes.select("cid", "digest", "rep", "n").hint("merge"), "cid")
     listed = cut(listed, "listed")
     dealt = _deal(listed.select("part", "comp", "cid", "digest", "n"), ["part"], F.col("n"), BLOCK_SHINGLES)
     sets = _sets(base, listed.select(F.col("rep").alias("key")), n).dropDuplicates(["digest"])
     by = ["part", "t1", "t2"]
-    near = dealt.join(sets, "digest").select(*by, "comp", "shingles").repartition(*by).sortWithinPartitions(*by)
+    near = dealt.join(sets.hint("merge"), "digest").select(*by, "comp", "shingles").repartition(*by).sortWithinPartitions(*by)
     more = cut(near.mapInPandas(_by_task(by, _proof(percent), ["a", "b"]), "a long, b long").distinct(), "links")
     wider = components(more).select(F.col("node").alias("comp"), F.col("component").alias("wide"))
-    final = classes.select("cid", "digest", "rep").join(of, "cid").join(wider, "comp", "left").withColumn("comp", F.coalesce("wide", "comp"))
+    final = classes.select("cid", "digest", "rep").join(of.hint("merge"), "cid").join(wider.hint("merge"), "comp", "left").withColumn("comp", F.coalesce("wide", "comp"))
     low = final.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    final = cut(final.join(low, "comp").select("digest", "component_id"), "components")
+    final = cut(final.join(low.hint("merge"), "comp").select("digest", "component_id"), "components")
     for done in (touch, listed, classes, of):
         drop_cut(done)
     key = F.col("key")
-    got = all_sets.select("key", "n", F.when(key.isNotNull(), F.col("digest")).alias("digest")).join(final, "digest", "left")
+    got = all_sets.select("key", "n", F.when(key.isNotNull(), F.col("digest")).alias("digest")).join(final.hint("merge"), "digest", "left")
     at = F.coalesce("component_id", key)
     return got.select(key.alias("doc_id"), F.col("n").alias("n_shingles"), at.alias("component_id"), F.coalesce(at == key, F.lit(True)).alias("kept"))
 

@@ -34,10 +34,10 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     groups = neardup.groups(docs, n=5, percent=80)
     # Ids that go, or whose rows are looked at, are far fewer than those that stay, so this side of the join is the small one.
     some = cut(groups.where("doc_id is not null").groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("rows")).where("not kept or rows > 1"), "kept")
-    out = docs.join(some.select("doc_id"), "doc_id", "left_anti")  # rows with a null id match nothing
+    out = docs.join(some.select("doc_id").hint("merge"), "doc_id", "left_anti")  # rows with a null id match nothing
     if not (many := some.where("kept").select("doc_id")).isEmpty():
         row = F.struct(*docs.columns)
-        one = docs.join(many, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("row"))
+        one = docs.join(many.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("row"))
         out = out.unionByName(one.select("row.*"))
     return out.select(*docs.columns)
 

@@ -15,7 +15,10 @@ def held(key, make):
     """What make() gives, kept in this worker process between tasks until another key's takes its place,
     so a worker that serves several operators holds the memo of one at a time."""
     if key not in _held:
+        import pyarrow as pa
+
         _held.clear()
+        pa.default_memory_pool().release_unused()  # what Arrow keeps of batches that are gone
         _held[key] = make()
     return _held[key]
 

@@ -21,8 +21,10 @@ BUCKETS, DIM, NGRAMS, EPOCHS, RATE, SEED = 1 << 17, 8, (3, 4), 6, 2.0, 13
 #: Labelled rows that training takes at most, and the features of one row at most kept in memory at once.
 TRAIN_ROWS = 4000
 #: Bytes that a worker's memo of words holds about.
-MEMO_BYTES = 96 << 20
-#: Words of more characters stay out of the memo; n-grams of a word are hashed in slices of so many.
+MEMO_BYTES = 24 << 20
+#: Words not in the memo that are noted before their features are hashed together.
+NEW = 4000
+#: Words of more characters stay out of the memo; n-grams of such a word are hashed in slices of so many.
 LONG, SLICE = 200, 1 << 16
 
 
@@ -96,23 +98,68 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     return sgd([(np.frombuffer(i, np.int32), np.frombuffer(s, np.float32), y) for _, i, s, y in seen])
 
 
+def short_hashes(columns: list[np.ndarray], seed: int) -> np.ndarray:
+    """xxh32 of many strings of the same length below 16, given as columns of their bytes."""
+    p1, p2, p3, p4, p5 = np.array([2654435761, 2246822519, 3266489917, 668265263, 374761393], np.uint32)
+    turned = lambda h, n: h << np.uint32(n) | h >> np.uint32(32 - n)
+    c = [x.astype(np.uint32) for x in columns]
+    h = np.full(len(c[0]), seed + 374761393 + len(c), np.uint32)
+    whole = len(c) // 4 * 4
+    for i in range(0, whole, 4):
+        h = turned(h + (c[i] | c[i + 1] << np.uint32(8) | c[i + 2] << np.uint32(16) | c[i + 3] << np.uint32(24)) * p3, 17) * p4
+    for x in c[whole:]:
+        h = turned(h + x * p5, 11) * p1
+    h = (h ^ h >> np.uint32(15)) * p2
+    h = (h ^ h >> np.uint32(13)) * p3
+    return h ^ h >> np.uint32(16)
+
+
+def ascii_sums(words: list[str], scalar: np.ndarray) -> list[complex]:
+    """Of each ASCII word the sum of its features' scalars (real) and their count (imaginary), all words at once."""
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    end = np.cumsum(size)
+    text = np.frombuffer("".join([f"<{w}>" for w in words]).encode(), np.uint8)
+    room = np.repeat(end, size) - np.arange(len(text))  # bytes left in the word, from each one on
+    total, count = scalar[[xxhash.xxh32_intdigest(w) % BUCKETS for w in words]], np.ones(len(words))
+    for n in NGRAMS:
+        at = np.flatnonzero(room >= n)
+        of = np.zeros(len(text))
+        of[at] = scalar[short_hashes([text[at + i] for i in range(n)], n) % BUCKETS]
+        total = total + np.add.reduceat(of, end - size)
+        count += np.maximum(size - n + 1, 0)
+    return (total + 1j * count).tolist()
+
+
 class _Memo(dict):
-    """Each word's sum of scalars (real) and count of features (imaginary)."""
+    """Each word's sum of scalars (real) and count of features (imaginary).
+
+    A word that is not there counts nothing and is noted in `new`; settle() gives what it and the rest of `new` come to.
+    """
 
     def __init__(self, scalar):
-        self.scalar, self.size = scalar, 0
+        self.scalar, self.size, self.new = scalar, 0, []
 
     def __missing__(self, word):
-        if len(word) > LONG:
-            return sum(complex(float(self.scalar[f].sum()), len(f)) for f in slices(word))
-        f = []
-        for part in slices(word):
-            f += part
-        self.size += 2 * len(word) + 180  # about what an entry takes
-        if self.size > MEMO_BYTES:
+        self.new.append(word)
+        return 0j
+
+    def settle(self, at: list[int]) -> list[complex]:
+        """Sums of the stretches of `new` that end at the places in at."""
+        words = list(dict.fromkeys(self.new))
+        plain = [w for w in words if len(w) <= LONG and w.isascii()]
+        got = dict(zip(plain, ascii_sums(plain, self.scalar))) if plain else {}
+        for w in words:
+            if w not in got:
+                got[w] = sum(complex(float(self.scalar[f].sum()), len(f)) for f in slices(w))
+        out = [sum(map(got.__getitem__, self.new[lo:hi]), 0j) for lo, hi in zip([0, *at], at)]
+        more = {w: v for w, v in got.items() if len(w) <= LONG}
+        size = sum(2 * len(w) + 180 for w in more)  # about what entries take
+        if self.size + size > MEMO_BYTES:
             self.clear()
             self.size = 0
-        self[word] = out = complex(float(self.scalar[f].sum()), len(f))
+        self.update(more)
+        self.size += size
+        self.new = []
         return out
 
 
@@ -137,11 +184,20 @@ def score(docs: DataFrame, model, id_col="doc_id", text_col="text", keep: tuple[
 
         memo = held(("quality", stamp), lambda: _Memo(bc.value))
         for b in batches:
-            out = []
+            out, sums, at = [], [], []
             for t in b.column(text_col):
-                s = sum(map(memo.__getitem__, (t.as_py() or "").split()), 0j)
-                z = (s.real / s.imag if s.imag else 0.0) + bias
-                out.append(1 / (1 + np.exp(-max(min(z, 500), -500))))
+                words, total = (t.as_py() or "").split(), 0j
+                for lo in range(0, len(words), NEW):
+                    total += sum(map(memo.__getitem__, words[lo:lo + NEW]), 0j)
+                    if len(memo.new) >= NEW:
+                        *rest, own = memo.settle([*at, len(memo.new)])
+                        out += map(complex.__add__, sums, rest)
+                        total, sums, at = total + own, [], []
+                sums.append(total)
+                at.append(len(memo.new))
+            out += map(complex.__add__, sums, memo.settle(at))
+            z = [(s.real / s.imag if s.imag else 0.0) + bias for s in out]
+            out = [1 / (1 + np.exp(-max(min(x, 500), -500))) for x in z]
             yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + [pa.array(out, pa.float64())], names=[*names, out_col])
 
     return kept.mapInArrow(run, out_schema)

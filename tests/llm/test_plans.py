@@ -1,6 +1,7 @@
 """Plans: what may not pass through the driver."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tollgate.llm import common, neardup
@@ -26,3 +27,14 @@ def test_near_duplicates_broadcast_nothing(spark, monkeypatch, stage):
     assert any("SortMergeJoin" in p for p in plans)
     assert not [p for p in plans if "BroadcastExchange" in p]
     assert got.count() == (len(ROWS) if stage == "operator" else 12)
+
+
+def test_license_scan_lowers_ascii_texts_in_bytes(spark):
+    """Only texts with other characters go through translate(), a look-up a character; none but A-Z change."""
+    from tollgate.llm import licenses
+
+    texts = ["MIT License", "ÉCOLE İ K Z", "", None, "ÁZ", "".join(map(chr, range(1, 128)))]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", licenses.lowered(F.col("text")).alias("low"))
+    assert "lower(" in df._jdf.queryExecution().executedPlan().toString()
+    table = str.maketrans(licenses.UPPER, licenses.LOWER)
+    assert all(x.low == (x.text or "").translate(table) for x in df.collect())

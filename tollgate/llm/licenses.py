@@ -55,7 +55,9 @@ def _template_words() -> dict[str, list[str]]:
 
 
 def lowered(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    """text with A-Z lowered and nothing else. Of a text of ASCII alone lower() does the same, in bytes; translate() looks up each character."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def word_order(docs: DataFrame, text_col="text") -> list[str]:

@@ -78,6 +78,25 @@ def test_hard_rows(spark, monkeypatch):
     assert alignment.by_document(df.limit(0), A, B).count() == 0
 
 
+def test_each_chunk_of_the_corpus_is_aligned_once(spark, monkeypatch):
+    """However many blocks hold it; a block's chunks went through the relational steps each for itself before."""
+    monkeypatch.setattr(alignment, "BLOCK_BYTES", 40_000)
+    counts, align = [], alignment.align
+    monkeypatch.setattr(alignment, "align", lambda tokens, *a: counts.append(tokens.count()) or align(tokens, *a))
+    texts = [r["text"] for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()][:100]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts)], "doc_id long, text string").repartition(2)
+    alignment.by_document(df, A, B)
+    split = alignment.Pair(A, B).split
+    assert counts == [len({c for t in texts if t for c in split(" " + t)})]
+
+
+def test_groups_text_is_read_and_written():
+    r = random.Random(5)
+    side = lambda: ",".join(str(r.choice([0, 9, 10, 99, 100, 32000, 50256])) for _ in range(r.randrange(1, 4)))
+    text = "".join(f"{side()}|{side()};" for _ in range(300)).encode()
+    assert alignment._written(*alignment._read(text))[0] == text and alignment._written(*alignment._read(b""))[0] == b""
+
+
 def test_texts_split_where_no_token_crosses():
     pair, whole_b = alignment.Pair(A, B), sentencepiece.SentencePieceProcessor(model_file=B)
     for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()[:60]:

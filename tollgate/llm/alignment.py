@@ -373,7 +373,9 @@ class _Chunks:
         is_b = upto(marks == 1)[:-1] > groups[:-1]
         start = (linked - np.arange(len(linked)))[:-1] + groups[:-1][~is_b]
         pairs = np.repeat(ids[~is_b], spans) << 32 | ids[is_b][_spans(start, spans)]
-        self.pairs, self.link = np.unique(pairs, return_inverse=True)
+        del at, got, n_a, n_b, ids, marks, spans, ends, ends_a, groups, linked, text, cuts, is_b, start
+        self.pairs, link = np.unique(pairs, return_inverse=True)
+        self.link = link.astype("i4")
 
     def links(self, chunks: np.ndarray) -> np.ndarray:
         """Indexes into pairs of the links of some chunks."""
@@ -384,6 +386,7 @@ def _first_pass(batches):
     """Rows of DOCS: documents (kind 0), and of a block: pairs of ids of one part with how many of its documents hold them linked
     (kind 1: steps between their numbers, a, b, counts), its chunks' links in order of number (kind 2: how many, numbers of pairs)."""
     block, packed, chunks, held_by = None, [], None, None
+    held(("pair", None), lambda: None)  # no tokenizers from here on
 
     def rest():
         if chunks is not None:

@@ -63,3 +63,21 @@ def test_serialised_tries():
     g, n = C._sorted(g.astype("i4"), None)
     a, b = C.decode(C.encode(g, n))
     assert (a == g).all() and (b == n).all()
+
+
+@pytest.mark.parametrize("shuffles,parts", [(4, 3), (200, 3), (4, 200)])
+def test_as_many_ranges_however_rows_lie(spark, monkeypatch, shuffles, parts):
+    """With few samples a partition there were no bounds at all, and one task merged everything."""
+    monkeypatch.setattr(C, "RANGE_BYTES", 1 << 14)
+    texts = C._texts(spark.read.parquet(f"{SF}/documents.parquet"), "lang", "text").repartition(parts)
+    conf = {"spark.sql.shuffle.partitions": str(shuffles), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = C.range_bounds(texts)
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0]
+    assert got == sorted(set(got)) and 0.6 < len(got) / (size / C.RANGE_BYTES) < 1.2

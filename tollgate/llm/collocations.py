@@ -15,6 +15,7 @@ from bisect import bisect_left
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import cut, drop_cut, table
@@ -228,7 +229,8 @@ def _texts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
 def range_bounds(texts: DataFrame) -> list[tuple]:
     """Bounds of prefix ranges that hold about RANGE_BYTES of text each, from windows sampled at even steps.
 
-    They decide only how the work is dealt. At most MOST_BOUNDS, so what tasks are sent is bounded.
+    They decide only how the work is dealt. At most MOST_BOUNDS, so what tasks are sent is bounded. However many
+    partitions texts or samples lie in, they are as many: steps begin anywhere, and every SAMPLES-th sample of all counts.
     """
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     per = max(RANGE_BYTES, -(-size // MOST_BOUNDS))
@@ -238,7 +240,7 @@ def range_bounds(texts: DataFrame) -> list[tuple]:
     names = ["lang", *(f"w{i}" for i in range(DEPTH))]
 
     def sample(batches):
-        rest = step // 2
+        rest = int(step * (0.618034 * (TaskContext.get().partitionId() + 0.5) % 1))  # a partition may be shorter than a step
         for b in batches:
             rows = []
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
@@ -252,15 +254,22 @@ def range_bounds(texts: DataFrame) -> list[tuple]:
                 rest -= len(text)
             yield pa.record_batch([pa.array([r[j] for r in rows], "binary") for j in range(DEPTH + 1)], names=names)
 
+    got = cut(texts.mapInArrow(sample, ", ".join(f"{c} binary" for c in names)), "samples")
+    # The number's high part is the partition, the low part a row's place there.
+    ranked = cut(got.orderBy(*names).withColumn("at", F.monotonically_increasing_id()), "ranked")
+    counts = dict(map(tuple, ranked.groupBy(F.shiftright("at", 33)).count().collect()))
+    before, total = {}, 0
+    for k in sorted(counts):
+        before[k], total = total, total + counts[k]
+
     def every(batches):
-        n = SAMPLES // 2
         for b in batches:
-            yield b.take(pa.array(range(n, b.num_rows, SAMPLES), "int64"))
-            n = (n - b.num_rows) % SAMPLES
+            at = b.column("at").to_pylist()
+            yield b.take(pa.array([i for i, x in enumerate(at) if (before[x >> 33] + (x & (1 << 33) - 1)) % SAMPLES == SAMPLES // 2], "int64"))
 
-    got = cut(texts.mapInArrow(sample, ", ".join(f"{c} binary" for c in names)), "samples")
-    out = sorted({tuple(map(bytes, r)) for r in got.orderBy(*names).mapInArrow(every, got.schema).collect()})
+    out = sorted({tuple(map(bytes, r[:-1])) for r in ranked.mapInArrow(every, ranked.schema).collect()})
     drop_cut(got)
+    drop_cut(ranked)
     return out
 
 

@@ -1,7 +1,9 @@
 """Token alignment against a plain version that encodes whole texts, and the relational operator on its own."""
 
 import collections
+import glob
 import hashlib
+import os
 import random
 
 import public_tokenizers as P
@@ -10,7 +12,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from tollgate.llm import alignment
+from tollgate.llm import alignment, common
 
 A, B = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
 SF = "/root/testdata/sf0.001"
@@ -90,6 +92,19 @@ def test_each_chunk_of_the_corpus_is_aligned_once(spark, monkeypatch):
     assert counts == [len({c for t in texts if t for c in split(" " + t)})]
 
 
+def test_disk_is_let_go(spark):
+    """Shuffle files and blocks' chunks stayed while later steps wrote theirs."""
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    shuffles = lambda: {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    splits = lambda: set(glob.glob(common.shared_dir(spark).removeprefix("file:") + "/tollgate/split-*"))
+    was, had = shuffles(), splits()
+    got = alignment.op13_token_alignment(spark, SF)
+    assert not shuffles() - was
+    split, = splits() - had
+    assert {f for f in os.listdir(split) if f[0] not in "_."} == {"kind=1"}
+    assert got.count() and shuffles() - was
+
+
 def test_groups_text_is_read_and_written():
     r = random.Random(5)
     side = lambda: ",".join(str(r.choice([0, 9, 10, 99, 100, 32000, 50256])) for _ in range(r.randrange(1, 4)))

@@ -226,13 +226,10 @@ def encode_parts(pieces: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
 
 @contextlib.contextmanager
-def one_deal(spark):
-    """Joins on more columns than rows are dealt by leave them where they are: all of align's work is within a key.
-    A side's tokens are read whole by both its uses, so that one exchange serves them."""
-    names = ["spark.sql.requireAllClusterKeysForCoPartition", "spark.sql.optimizer.expression.nestedPruning.enabled", "spark.sql.optimizer.nestedSchemaPruning.enabled"]
+def _set(spark, value: str, *names: str):
     was = [spark.conf.get(name) for name in names]
     for name in names:
-        spark.conf.set(name, "false")
+        spark.conf.set(name, value)
     try:
         yield
     finally:
@@ -240,6 +237,17 @@ def one_deal(spark):
             spark.conf.set(name, value)
 
 
+def one_deal(spark):
+    """Joins on more columns than rows are dealt by leave them where they are: all of align's work is within a key.
+    A side's tokens are read whole by both its uses, so that one exchange serves them."""
+    return _set(spark, "false", "spark.sql.requireAllClusterKeysForCoPartition", "spark.sql.optimizer.expression.nestedPruning.enabled", "spark.sql.optimizer.nestedSchemaPruning.enabled")
+
+
+def shuffles_end(spark):
+    """Shuffle files go as soon as what reads them is written; else they stay until the driver happens to collect its garbage."""
+    return _set(spark, "true", "spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+
+
 def align(tokens: DataFrame, key: str = "c") -> DataFrame:
     """key, n_a, n_b, groups, n_groups, links, spans: tokens (arrays a and b of (id, n: bytes)) cut into groups where both sides' tokens end.
 
@@ -489,12 +497,13 @@ def by_document(docs: DataFrame, path_a: str, path_b: str, id_col="doc_id", text
     is split into chunks; what one task holds is a block's or a part's distinct chunks. Other columns are not
     read. An empty table gives no rows.
     """
-    split = cut(split_blocks(docs, path_a, path_b, id_col, text_col), "split")
-    tokens = cut(encode_parts(split.where("kind = 0").select("part", "block", "data"), path_a, path_b), "tokens")
-    chunks, packed = tokens.where("kind = 0"), dict(x.split() for x in PACKED.split(", "))
-    papers = _shaped(split.where("kind = 1"), packed, 2)
-    part = F.shiftright("c", 32).alias("part")
-    with one_deal(docs.sparkSession):
+    with shuffles_end(docs.sparkSession), one_deal(docs.sparkSession):
+        split = cut(split_blocks(docs, path_a, path_b, id_col, text_col), "split", "kind")
+        tokens = cut(encode_parts(split.where("kind = 0").select("part", "block", "data"), path_a, path_b), "tokens")
+        drop_cut(split, "kind=0")
+        chunks, packed = tokens.where("kind = 0"), dict(x.split() for x in PACKED.split(", "))
+        papers = _shaped(split.where("kind = 1"), packed, 2)
+        part = F.shiftright("c", 32).alias("part")
         # Chunks that a side can't give back have no tokens here, but keep their number.
         some = [F.when(F.col("ok"), F.col(x)).otherwise(F.array().cast(tokens.schema[x].dataType)).alias(x) for x in ("a", "b")]
         facts = _shaped(align(chunks.select("c", *some)).select("*", part), FACTS, 0)

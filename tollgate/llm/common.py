@@ -37,21 +37,21 @@ def shared_dir(spark: SparkSession) -> str:
     return got.rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+def cut(df: DataFrame, name: str = "cut", *by: str) -> DataFrame:
     """Write df to the shared folder as Parquet and read it back: lineage ends there,
-    lost executors cost no recomputation, and later readers prune columns."""
+    lost executors cost no recomputation, and later readers prune columns. Rows lie in a folder for each value of `by`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tollgate/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=list(by) or None)
     out = spark.read.schema(df.schema).parquet(path)
     out.tollgate_path = path
     return out
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Delete the files behind a frame made by cut() that nothing reads any more."""
+def drop_cut(df: DataFrame, part: str = ".") -> None:
+    """Delete the files behind a frame made by cut(), or one folder of them, that nothing reads any more."""
     spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.tollgate_path)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{df.tollgate_path}/{part}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

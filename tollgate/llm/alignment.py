@@ -319,10 +319,10 @@ def _read(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def _written(ids: np.ndarray, marks: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The text that _read reads, and where each mark stands."""
-    width = np.ones(len(ids), "i8")
+    width = np.ones(len(ids), "i4")
     for k in range(1, len(str(int(ids.max(initial=0))))):
         width += ids >= 10**k
-    ends = np.cumsum(width + 1) - 1
+    ends = np.cumsum(width + 1, dtype="i8") - 1
     out = np.empty(int(ends[-1]) + 1 if len(ends) else 0, "u1")
     out[ends] = MARKS[marks]
     for k in range(int(width.max(initial=0))):
@@ -366,8 +366,8 @@ class _Chunks:
         for steps, *rest in map(_unpack, packed):
             at.append(np.cumsum(steps, dtype="i8"))
             got.append(rest)
-        n_a, n_b, ids, marks, spans = (np.concatenate(y).astype("i8") for y in zip(*got))
-        at = np.concatenate(at)
+        n_a, n_b, ids, marks, spans = (np.concatenate(y).astype(kind) for y, kind in zip(zip(*got), ("i8", "i8", "i4", "u1", "i4")))
+        at, got = np.concatenate(at), None
         self.at = np.zeros(len(at), "i8")
         self.at[at] = np.arange(len(at))
         upto = lambda x: np.concatenate([[0], np.cumsum(x)])
@@ -379,8 +379,8 @@ class _Chunks:
         self.texts = [text[lo:hi] for lo, hi in zip(cuts, cuts[1:])]
         is_b = upto(marks == 1)[:-1] > groups[:-1]
         start = (linked - np.arange(len(linked)))[:-1] + groups[:-1][~is_b]
-        pairs = np.repeat(ids[~is_b], spans) << 32 | ids[is_b][_spans(start, spans)]
-        del at, got, n_a, n_b, ids, marks, spans, ends, ends_a, groups, linked, text, cuts, is_b, start
+        pairs = np.repeat(ids[~is_b].astype("i8"), spans) << 32 | ids[is_b][_spans(start, spans)]
+        del at, n_a, n_b, ids, marks, spans, ends, ends_a, groups, linked, text, cuts, is_b, start
         self.pairs, link = np.unique(pairs, return_inverse=True)
         self.link = link.astype("i4")
 
